@@ -1,0 +1 @@
+"""No streaming operators: the behaviour this library covers is batch only (README, "Not built")."""
