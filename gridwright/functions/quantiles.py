@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-BRACKET_MARGIN = 4.0 / SKETCH_ACCURACY
+BRACKET_MARGIN = 8.0 / SKETCH_ACCURACY
+SMALL_GROUP = 4096  # up to here a group is counted whole; above, the margin spans at least three ranks
 
 
 def exact_quantiles(
@@ -43,11 +44,12 @@ def exact_quantiles(
         F.percentile_approx("_v", F.array(*[F.lit(b) for b in brackets]), SKETCH_ACCURACY).alias("_cut"),
     )
     marked = _attach(rows, sketch, by)
+    small = F.col("_n") <= SMALL_GROUP
     edges = F.array(*[
         F.struct(
             F.lit(i).alias("i"),
-            (F.when(F.lit(brackets[2 * i]) <= 0.0, F.col("_min")).otherwise(F.col("_cut")[2 * i])).alias("lo"),
-            (F.when(F.lit(brackets[2 * i + 1]) >= 1.0, F.col("_max")).otherwise(F.col("_cut")[2 * i + 1])).alias("hi"),
+            F.when(small | F.lit(brackets[2 * i] <= 0.0), F.col("_min")).otherwise(F.col("_cut")[2 * i]).alias("lo"),
+            F.when(small | F.lit(brackets[2 * i + 1] >= 1.0), F.col("_max")).otherwise(F.col("_cut")[2 * i + 1]).alias("hi"),
         )
         for i in range(len(probs))
     ])

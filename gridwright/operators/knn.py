@@ -16,16 +16,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwright.session import settle, spread
 
-BLOCK_ROWS = 256
+BLOCK_ROWS = 64
 MAX_K = 128
-FLAT_DIRECTORY = 4096  # train blocks; up to here the whole block directory is matched in one step
+FLAT_DIRECTORY = 8192  # train blocks; up to here the whole block directory is matched in one step
 BROADCAST_ROWS = 200_000  # train rows; up to here the packed train side is small enough to ship
 
 
@@ -259,40 +258,49 @@ def knn_join(
         tx = np.concatenate([np.asarray(v, float) for v in cand["t_xs"]]).reshape(-1, d)
         tid = np.concatenate([np.asarray(v) for v in cand["t_ids"]])
         extra = {c: np.concatenate([np.array(v, dtype=float) for v in cand[f"c_{c}"]]) for c in carry}
-        order = np.argsort(tid, kind="stable")  # a stable sort on distance then breaks ties by id
-        tx, tid = tx[order], tid[order]
-        extra = {c: v[order] for c, v in extra.items()}
-        parts = []
-        rows_at_once = max(1, 4_000_000 // max(1, len(tx)))
-        for a in range(0, len(qx), rows_at_once):
-            block = qx[a:a + rows_at_once]
-            sq = np.zeros((len(block), len(tx)))
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in cand["t_ids"]])])
+        # nearest blocks first; stop once the next block lies beyond every row's k-th distance
+        lows = np.array([tx[a:b].min(0) for a, b in zip(offsets, offsets[1:])])
+        highs = np.array([tx[a:b].max(0) for a, b in zip(offsets, offsets[1:])])
+        gap = np.maximum(np.maximum(lows - qx.max(0), qx.min(0) - highs), 0.0)
+        near = np.sqrt((gap * gap).sum(axis=1))
+        visit = np.argsort(near, kind="stable")
+        best = np.full((len(qx), want), np.inf)
+        kth = best.max(axis=1)
+        kept, at = [], 0
+        while at < len(visit) and near[visit[at]] <= kth.max() * (1 + 1e-12):
+            index = [np.arange(offsets[visit[at]], offsets[visit[at] + 1])]
+            at += 1
+            while at < len(visit) and sum(map(len, index)) < 1024:
+                index.append(np.arange(offsets[visit[at]], offsets[visit[at] + 1]))
+                at += 1
+            index = np.concatenate(index)
+            sq = np.zeros((len(qx), len(index)))
             for i in range(d):
-                diff = block[:, i, None] - tx[None, :, i]
+                diff = qx[:, i, None] - tx[index, i]
                 sq = sq + diff * diff
             dist = np.sqrt(sq)
-            width = min(want, len(tx))
-            if len(tx) > 4 * width:
-                kth = np.partition(dist, width - 1, axis=1)[:, width - 1]
-                r, c = np.nonzero(dist <= kth[:, None])
-            else:
-                r, c = (v.ravel() for v in np.indices(dist.shape))
-            dv = dist[r, c]
-            o = np.lexsort((c, dv, r))
-            r, c, dv = r[o], c[o], dv[o]
-            if exclude_same_id:
-                other = tid[c] != qid[a + r]
-                r, c, dv = r[other], c[other], dv[other]
-            pos = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-            keep = pos < k
-            if radius is not None:
-                keep &= dv <= radius
-            r, c, dv, pos = r[keep], c[keep], dv[keep], pos[keep]
-            frame = {b: [q[b]] * len(r) for b in by}
-            frame.update(query_id=qid[a + r], train_id=tid[c], rank=(pos + 1).astype("int32"), d=dv)
-            frame.update({name: v[c] for name, v in extra.items()})
-            parts.append(pd.DataFrame(frame, columns=names))
-        return pd.concat(parts, ignore_index=True)
+            best = np.partition(np.concatenate([best, dist], axis=1), want - 1, axis=1)[:, :want]
+            kth = best.max(axis=1)
+            r, c = np.nonzero(dist <= kth[:, None])
+            kept.append((r, index[c], dist[r, c]))
+        r, c, dv = (np.concatenate(v) for v in zip(*kept))
+        inside = dv <= kth[r]
+        r, c, dv = r[inside], c[inside], dv[inside]
+        o = np.lexsort((tid[c], dv, r))
+        r, c, dv = r[o], c[o], dv[o]
+        if exclude_same_id:
+            other = tid[c] != qid[r]
+            r, c, dv = r[other], c[other], dv[other]
+        pos = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+        keep = pos < k
+        if radius is not None:
+            keep &= dv <= radius
+        r, c, dv, pos = r[keep], c[keep], dv[keep], pos[keep]
+        frame = {b: [q[b]] * len(r) for b in by}
+        frame.update(query_id=qid[r], train_id=tid[c], rank=(pos + 1).astype("int32"), d=dv)
+        frame.update({name: v[c] for name, v in extra.items()})
+        return pd.DataFrame(frame, columns=names)
 
     left = qb.select(*by, "q_block", "ids", "xs")
     result = left.groupBy("q_block").cogroup(candidates.groupBy("for_block")).applyInPandas(
