@@ -41,11 +41,11 @@ def global_position(
     )
     joined = placed.withColumn("_piece", piece)
     if by:
-        renamed = shift.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_piece").alias("_p"), "_shift")
-        match = F.col("_piece") == F.col("_p")
+        renamed = shift.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_piece").alias("_at_piece"), "_shift")
+        match = F.col("_piece") == F.col("_at_piece")
         for c in by:
             match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        joined = joined.join(renamed, match).drop(*[f"_k_{c}" for c in by], "_p")
+        joined = joined.join(renamed, match).drop(*[f"_k_{c}" for c in by], "_at_piece")
     else:
         joined = joined.join(shift, "_piece")
     return joined.withColumn(name, F.col("_slot") + F.col("_shift")).drop("_slot", "_piece", "_shift")

@@ -216,31 +216,36 @@ def supported_calibration(
     state = _with(_with(counts, quart, keys), start, keys).withColumn("slope", F.lit(0.5)).withColumn(
         "taper", F.greatest(F.col("_q3") - F.col("_q1"), F.lit(1.0))).drop("_q1", "_q3")
     from gridwright.session import settle
-    fixed = ["n", "x_min", "x_max", "center", "taper"]
-    state = settle(state)
-    rows = settle(rows)
-    for step in range(steps):
-        joined = attach(rows, state.select(*keys, "center", "slope", "bias"), keys)
-        u = F.col("_x") - F.col("center")
-        r = (F.col("slope") * u + F.col("bias") - F.col("_y")) / f_scale
-        w = 1.0 / F.sqrt(1.0 + r * r)
-        joined = joined.select(*keys, u.alias("_u"), "_y", w.alias("_w"))
-        u, y, w = F.col("_u"), F.col("_y"), F.col("_w")
-        sums = joined.groupBy(*keys).agg(
-            F.sum(w).alias("sw"), F.sum(w * u).alias("su"), F.sum(w * u * u).alias("suu"), F.sum(w * y).alias("sy"),
-            F.sum(w * u * y).alias("suy"))
-        det = F.col("sw") * F.col("suu") - F.col("su") * F.col("su")
-        slope = F.when(det > 1e-12, (F.col("sw") * F.col("suy") - F.col("su") * F.col("sy")) / det).otherwise(0.0)
-        clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), slope))
-        new = sums.select(*keys, clipped.alias("slope"), ((F.col("sy") - clipped * F.col("su")) / F.col("sw")).alias("bias"))
-        # bounded by splits x 2 rows: written out each step, so the lineage never grows
-        previous = state
-        state = settle(_with(state.select(*keys, *fixed), new, keys))
+    fixed = settle(state.select(*keys, "n", "x_min", "x_max", "center", "taper"))
+    rows = settle(attach(rows, state.select(*keys, "center"), keys).select(*keys, (F.col("_x") - F.col("center")).alias("_u"), "_y"))
+    current = settle(state.select(*keys, "slope", "bias"))
+    for done in range(0, steps, 6):
+        previous = current
+        for _ in range(min(6, steps - done)):
+            current = _reweighted(rows, current, keys, f_scale)
+        # splits x 2 rows, written out every few steps, so the lineage stays short
+        current = settle(current)
         old = previous.select(*keys, F.col("slope").alias("_os"), F.col("bias").alias("_ob"))
-        moved = _with(state, old, keys).agg(F.max(F.greatest(F.abs(F.col("slope") - F.col("_os")), F.abs(F.col("bias") - F.col("_ob"))))).first()[0]
+        moved = _with(current, old, keys).agg(F.max(F.greatest(
+            F.abs(F.col("slope") - F.col("_os")), F.abs(F.col("bias") - F.col("_ob"))))).first()[0]
         if moved is None or moved < 1e-9:
             break
-    return state
+    return _with(fixed, current, keys)
+
+
+def _reweighted(rows: DataFrame, state: DataFrame, keys: Sequence[str], f_scale: float) -> DataFrame:
+    """One soft-L1 step: weighted least squares of _y on _u with the slope clipped to [0, 1]."""
+    joined = attach(rows, state, keys)
+    r = (F.col("slope") * F.col("_u") + F.col("bias") - F.col("_y")) / f_scale
+    joined = joined.select(*keys, "_u", "_y", (1.0 / F.sqrt(1.0 + r * r)).alias("_w"))
+    u, y, w = F.col("_u"), F.col("_y"), F.col("_w")
+    sums = joined.groupBy(*keys).agg(
+        F.sum(w).alias("sw"), F.sum(w * u).alias("su"), F.sum(w * u * u).alias("suu"), F.sum(w * y).alias("sy"),
+        F.sum(w * u * y).alias("suy"))
+    det = F.col("sw") * F.col("suu") - F.col("su") * F.col("su")
+    slope = F.when(det > 1e-12, (F.col("sw") * F.col("suy") - F.col("su") * F.col("sy")) / det).otherwise(0.0)
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), slope))
+    return sums.select(*keys, clipped.alias("slope"), ((F.col("sy") - clipped * F.col("su")) / F.col("sw")).alias("bias"))
 
 
 def apply_supported(df: DataFrame, fit: DataFrame, by: Sequence[str], fallback: str, raw: str = "raw", los: str = "los",

@@ -153,55 +153,80 @@ def local_kernel(
 
 
 def local_kriging(
-    nbrs: DataFrame, by: Sequence[str], value: str, length: Sequence[float], signal: float, noise: float,
+    nbrs: DataFrame, by: Sequence[str], values: dict[str, str], length: Sequence[float], signal: float, noise: float,
     kernel: str = "matern32", feats: Sequence[str] = ("tx", "ty"), query_feats: Sequence[str] = ("qx", "qy"),
-    center: str | None = None, variance: bool = True, name: str = "pred",
+    centers: dict[str, str] | None = None, variance: str | None = None,
 ) -> DataFrame:
-    """Kriging mean (and latent variance) on each query's own neighbours.
+    """Kriging means on each query's own neighbours; several targets share one factorisation.
 
-    ``center`` names a per-query constant subtracted before and added after (the split mean); without
-    it the neighbour mean is used.  Each Arrow group is one query's ≤128 rows, stacked by width.
+    ``values`` maps output name -> train value column; ``centers`` names per-query constants (such as the
+    split mean) subtracted before and added after, else the neighbour mean is used; ``variance`` names an
+    output for the latent variance.  At most 128 rows per query, stacked by width in Arrow batches.
     """
-    f, q = list(feats), list(query_feats)
+    f, q, names = list(feats), list(query_feats), list(values)
+    centers = centers or {}
     ell = np.asarray(length, float)
-    rows = nbrs.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct("rank", F.col(value).alias("v"), *f))).alias("_n"),
-        *[F.first(c).alias(c) for c in q], *([F.first(center).alias("_c")] if center else []))
-    fields = [rows.schema[c] for c in by] + [T.StructField(name, T.DoubleType())]
+    keep = list(dict.fromkeys([*q, *centers.values()]))
+    packed = nbrs.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("rank", *[F.col(values[n]).alias(f"v_{n}") for n in names], *f))).alias("_n"),
+        *[F.first(c).alias(c) for c in keep])
+    fields = [packed.schema[c] for c in by] + [T.StructField(n, T.DoubleType()) for n in names]
     if variance:
-        fields.append(T.StructField(f"{name}_var", T.DoubleType()))
-    flat = rows.select(
-        *by, *q, F.expr("transform(_n, n -> n.v)").alias("_v"),
-        *[F.expr(f"transform(_n, n -> n.{c})").alias(f"_f_{c}") for c in f], *(["_c"] if center else []))
+        fields.append(T.StructField(variance, T.DoubleType()))
+    flat = packed.select(
+        *by, *keep, *[F.expr(f"transform(_n, n -> n.v_{n})").alias(f"_v_{n}") for n in names],
+        *[F.expr(f"transform(_n, n -> n.{c})").alias(f"_f_{c}") for c in f])
 
     def cov(r2):
-        r = np.sqrt(np.maximum(r2, 1e-24))
         if kernel == "rbf":
             return signal * np.exp(-0.5 * r2)
-        z = np.sqrt(3.0) * r
+        z = np.sqrt(3.0) * np.sqrt(np.maximum(r2, 1e-24))
         return signal * (1.0 + z) * np.exp(-z)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = frame[list(by)].copy()
-            mean, var = np.empty(len(frame)), np.empty(len(frame))
-            sizes = frame["_v"].map(len).to_numpy() if len(frame) else np.array([], int)
+            n, out = len(frame), frame[list(by)].copy()
+            mean, var = np.empty((n, len(names))), np.empty(n)
+            sizes = np.array([len(v) for v in frame[f"_f_{f[0]}"]], int)
             for m in np.unique(sizes):
-                at = np.flatnonzero(sizes == m)
-                part = frame.iloc[at]
-                y = np.stack([np.asarray(v, float) for v in part["_v"]])
-                x = np.stack([np.stack([np.asarray(v, float) for v in part[f"_f_{c}"]]) for c in f], axis=2) / ell
-                p = part[q].to_numpy(float) / ell
-                mu = part["_c"].to_numpy(float) if center else y.mean(axis=1)
-                gram = cov(((x[:, :, None, :] - x[:, None, :, :]) ** 2).sum(-1))
-                gram[:, range(m), range(m)] += noise + 1e-8
-                cross = cov(((x - p[:, None, :]) ** 2).sum(-1))
-                sol = np.linalg.solve(gram, np.stack([y - mu[:, None], cross], axis=2))
-                mean[at] = mu + (cross * sol[:, :, 0]).sum(1)
-                var[at] = np.maximum(signal - (cross * sol[:, :, 1]).sum(1), 0.0)
-            out[name] = mean
+                for at in np.array_split(np.flatnonzero(sizes == m), max(1, n // 512)):
+                    part = frame.iloc[at]
+                    y = np.stack([np.stack([np.asarray(v, float) for v in part[f"_v_{k}"]]) for k in names], axis=2) if len(at) else None
+                    if y is None:
+                        continue
+                    x = np.stack([np.stack([np.asarray(v, float) for v in part[f"_f_{c}"]]) for c in f], axis=2) / ell
+                    p = part[q].to_numpy(float) / ell
+                    mu = np.stack([part[centers[k]].to_numpy(float) if k in centers else y[:, :, i].mean(axis=1)
+                                   for i, k in enumerate(names)], axis=1)
+                    gram = cov(((x[:, :, None, :] - x[:, None, :, :]) ** 2).sum(-1))
+                    gram[:, range(m), range(m)] += noise + 1e-8
+                    cross = cov(((x - p[:, None, :]) ** 2).sum(-1))
+                    sol = np.linalg.solve(gram, np.concatenate([y - mu[:, None, :], cross[:, :, None]], axis=2))
+                    mean[at] = mu + np.einsum("bk,bkv->bv", cross, sol[:, :, :-1])
+                    var[at] = np.maximum(signal - (cross * sol[:, :, -1]).sum(1), 0.0)
+            for i, k in enumerate(names):
+                out[k] = mean[:, i]
             if variance:
-                out[f"{name}_var"] = var
+                out[variance] = var
             yield out
 
     return flat.mapInPandas(solve, T.StructType(fields))
+
+
+def tree_regressor(
+    fit: DataFrame, query: DataFrame, features: Sequence[str], target: str, kind: str = "forest", seed: int = 0,
+    trees: int = 50, depth: int = 8, name: str = "pred",
+) -> DataFrame:
+    """Forest or gradient-boosted trees for one split, trained by Spark's own distributed learners."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    pack = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
+    if kind == "forest":
+        model = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol=name, numTrees=trees, maxDepth=depth, seed=seed)
+    elif kind in ("boosted_squared", "boosted_absolute"):
+        model = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol=name, maxIter=trees, maxDepth=min(depth, 5), seed=seed,
+                             lossType=kind.split("_")[1])
+    else:
+        raise ValueError(f"unknown tree kind {kind!r}")
+    fitted = model.fit(pack.transform(fit))
+    return fitted.transform(pack.transform(query)).drop("_features")
