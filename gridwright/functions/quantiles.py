@@ -9,7 +9,7 @@ error instead of returning a wrong number.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -27,11 +27,13 @@ def exact_quantiles(
     names: Sequence[str],
     *,
     lower: bool = False,
+    rank: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One row per ``by`` group with the quantiles of the non-null ``value``.
 
     Linear interpolation between neighbouring ranks; ``lower=True`` takes the rank floor(p·(n-1))
-    itself (for p = 0.5 the lower median).
+    itself (for p = 0.5 the lower median).  ``rank`` replaces p·(n-1) by another 0-based rank of n that
+    lies within a rank or two of it.
     """
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -65,7 +67,7 @@ def exact_quantiles(
     running = W.partitionBy(*by, "_i").orderBy(F.col("_key").asc_nulls_first())
     upto = F.sum("_c").over(running.rowsBetween(W.unboundedPreceding, 0))
     p = F.element_at(F.array(*[F.lit(float(q)) for q in probs]), F.col("_i") + 1)
-    target = p * (F.col("_n") - 1)
+    target = rank(F.col("_n")) if rank else p * (F.col("_n") - 1)
     ranked = counted.withColumn("_upto", upto).withColumn("_t", target)
     low, high = F.floor("_t"), F.ceil("_t")
     holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)

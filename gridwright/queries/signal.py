@@ -329,7 +329,7 @@ def _(spark, sf):
     from gridwright.operators import experts
     train, q = (fx.base_gain(spark, sf).filter(f"role='{r}'") for r in ("train", "query"))
     sel = calibrate.select_config(fit_gains(spark, sf).filter("family='BASE'"), ["band"], 100)
-    return experts.residual_hybrid(train, q, sel, ["band"], 25.0, 0.75)
+    return experts.residual_hybrid(train, q, sel, ["band"], 25.0, 0.75).select("point_id", "pred")
 
 
 @query("influence_field_a32")

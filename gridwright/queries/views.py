@@ -1,10 +1,6 @@
 """SQL text of the fixture views (see ``gridwright.fixtures``) for the oracle side."""
 
 
-def _stack(alias: str, n: int) -> str:
-    return f"range({n}) AS {alias}"
-
-
 VIEWS: dict[str, str] = {}
 
 VIEWS["f_points"] = """
@@ -120,9 +116,9 @@ FROM part, f_boxtri WHERE NOT (p_partkey%7=0 AND t=3)"""
 
 VIEWS["f_facegeo"] = """
 SELECT fid, part_id, name, nx/norm AS nx, ny/norm AS ny, nz/norm AS nz, norm*0.5e0 AS area,
-  (ax+bx+cx)/3e0 AS gx, (ay+by+cy)/3e0 AS gy, (az+bz+cz)/3e0 AS gz, least(az,bz,cz) AS z_lo, greatest(az,bz,cz) AS z_hi FROM (
+  (ax+bx+cx)/3e0 AS gx, (ay+"by"+cy)/3e0 AS gy, (az+bz+cz)/3e0 AS gz, least(az,bz,cz) AS z_lo, greatest(az,bz,cz) AS z_hi FROM (
  SELECT *, sqrt(nx*nx+ny*ny+nz*nz) AS norm FROM (SELECT *,
-  (by-ay)*(cz-az)-(bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay)-(by-ay)*(cx-ax) AS nz FROM f_boxes))
+  ("by"-ay)*(cz-az)-(bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay)-("by"-ay)*(cx-ax) AS nz FROM f_boxes))
 WHERE norm*0.5e0 > 1e-12"""
 
 VIEWS["f_paths"] = "SELECT l_partkey AS receiver, l_discount AS re, l_tax AS im FROM lineitem"
