@@ -1,6 +1,6 @@
 """Exact k-nearest-neighbour join for data of any density.
 
-Both sides are range-partitioned along a Z-order curve (split keys first) and cut into blocks of
+Both sides are range-partitioned along a Hilbert curve (split keys first) and cut into blocks of
 consecutive rows with tight bounding boxes.  Block pairs are pruned with box-to-box distance bounds,
 first on coarse groups of blocks and then on the blocks themselves, so only the block directory takes
 part in the search.  Surviving pairs ship their rows to one query block, where NumPy ranks a bounded
@@ -28,19 +28,27 @@ FLAT_DIRECTORY = 8192  # train blocks; up to here the whole block directory is m
 BROADCAST_ROWS = 200_000  # train rows; up to here the packed train side is small enough to ship
 
 
-def _interleave(cell: Column) -> Column:
-    """Spread the low 31 bits of a non-negative BIGINT over the even bit positions."""
-    v = cell
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
-                        (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
-    return v
+CURVE_BITS = 20
 
 
-def z_order(x: Column, y: Column, low: tuple[float, float], step: float) -> Column:
-    cx = F.least(F.greatest(F.floor((x - low[0]) / step), F.lit(0)), F.lit(2**31 - 1)).cast("bigint")
-    cy = F.least(F.greatest(F.floor((y - low[1]) / step), F.lit(0)), F.lit(2**31 - 1)).cast("bigint")
-    return _interleave(cx).bitwiseOR(F.shiftleft(_interleave(cy), 1))
+def curve_position(x: Column, y: Column, low: tuple[float, float], step: float) -> Column:
+    """Position along a Hilbert curve over 2^20 x 2^20 cells; consecutive positions are neighbours."""
+    @F.pandas_udf(T.LongType())
+    def position(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        side = 1 << CURVE_BITS
+        cx = np.clip(np.floor((xs.to_numpy(float) - low[0]) / step), 0, side - 1).astype("int64")
+        cy = np.clip(np.floor((ys.to_numpy(float) - low[1]) / step), 0, side - 1).astype("int64")
+        d = np.zeros(len(cx), "int64")
+        s = side >> 1
+        while s:
+            rx, ry = (cx & s) > 0, (cy & s) > 0
+            d += s * s * ((3 * rx) ^ ry)
+            flip = ~ry & rx
+            cx, cy = np.where(flip, side - 1 - cx, cx), np.where(flip, side - 1 - cy, cy)
+            cx, cy = np.where(ry, cx, cy), np.where(ry, cy, cx)
+            s >>= 1
+        return pd.Series(d)
+    return position(x, y)
 
 
 def _block_schema(df: DataFrame, by: Sequence[str], feats: Sequence[str], id_col: str, carry: Sequence[str]) -> T.StructType:
@@ -57,13 +65,13 @@ def _block_schema(df: DataFrame, by: Sequence[str], feats: Sequence[str], id_col
 
 
 def _pack(df: DataFrame, by, feats, id_col, carry, low, step, per_coordinate: int | None) -> DataFrame:
-    """Blocks of consecutive Z-order rows, at most ``per_coordinate`` rows of one coordinate a piece."""
+    """Blocks of consecutive curve rows, at most ``per_coordinate`` rows of one coordinate a piece."""
     by, feats, carry = list(by), list(feats), list(carry)
     slim = df.select(*by, F.col(id_col).alias(id_col), *[F.col(c).cast("double").alias(c) for c in {*feats, *carry}])
     # a NULL/NaN feature can be nobody's neighbour; callers assert completeness beforehand
     for f in feats:
         slim = slim.filter(F.col(f).isNotNull() & ~F.isnan(f))
-    slim = slim.withColumn("_z", z_order(F.col(feats[0]), F.col(feats[1]), low, step))
+    slim = slim.withColumn("_z", curve_position(F.col(feats[0]), F.col(feats[1]), low, step))
     order = [F.col(c) for c in [*by, "_z", *feats, id_col]]
     placed = slim.repartitionByRange(spread(df), *order).sortWithinPartitions(*order)
     schema = _block_schema(slim, by, feats, id_col, carry)
@@ -207,9 +215,9 @@ def knn_join(
         F.greatest(F.max(feats[0]) - F.min(feats[0]), F.max(feats[1]) - F.min(feats[1])).alias("span"),
     ).first()
     low = (float(extent["x0"] or 0.0), float(extent["y0"] or 0.0))
-    step = max(float(extent["span"] or 0.0), 1e-9) / (2**30)
+    step = max(float(extent["span"] or 0.0), 1e-9) / (2**CURVE_BITS - 1)
     tb = settle(_pack(train, by, feats, train_id, carry, low, step, want)).withColumnRenamed("block", "t_block")
-    # the query side may start left of or below the train extent; Z-order only needs to be monotone
+    # query rows outside the train extent are clamped to its edge; only the block layout depends on it
     qb = settle(_pack(query, by, feats, query_id, [], low, step, None)).withColumnRenamed("block", "q_block")
 
     leaves = tb.select(*by, "t_block", F.col("rows").alias("n"), F.col("box_lo").alias("lo"), F.col("box_hi").alias("hi"))
