@@ -148,20 +148,25 @@ def date_offsets(df: DataFrame, by: Sequence[str], date: str, value: str, shrink
 def robust_scale(df: DataFrame, fit: Column, by: Sequence[str], cols: Sequence[str], limit: float = 5.0) -> DataFrame:
     """Median / 1.4826·MAD of the fit rows applied to all rows; std, then 1, when the MAD vanishes; NULL
     becomes the centre; clipped."""
-    out = df
-    for c in cols:
-        centre = exact_quantiles(df.filter(fit), by, c, [0.5], ["_m"])
-        filled = attach(out.withColumn("_fit", fit), centre, by).withColumn("_m", F.coalesce("_m", F.lit(0.0)))
-        filled = filled.withColumn("_v", F.coalesce(F.col(c), F.col("_m"))).withColumn("_a", F.abs(F.col("_v") - F.col("_m")))
-        fitted = filled.filter("_fit")
-        mad = exact_quantiles(fitted, by, "_a", [0.5], ["_mad"])
-        std = fitted.groupBy(*by).agg(F.stddev_pop("_v").alias("_sd"))
-        s = 1.4826 * F.col("_mad")
-        scale = F.when(s > 1e-8, s).when(F.col("_sd") > 1e-8, F.col("_sd")).otherwise(1.0)
-        z = (F.col("_v") - F.col("_m")) / scale
-        out = attach(filled, _with(mad, std, by), by).withColumn(
-            c, F.greatest(F.lit(-limit), F.least(F.lit(limit), z))).drop("_fit", "_m", "_v", "_a", "_mad", "_sd")
-    return out
+    from gridwright.session import settle
+    number = range(len(cols))
+    unpivot = lambda values: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values)])).alias("_e")
+    spread = lambda t, column, name: t.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_col") == i, F.col(column))).alias(f"{name}{i}") for i in number])
+    # all columns share one long pass; one row per split and column comes back
+    long = df.filter(fit).select(*by, unpivot([F.col(c) for c in cols])).select(*by, F.col("_e.i").alias("_col"), F.col("_e.v").alias("_v"))
+    centre = settle(spread(exact_quantiles(long, [*by, "_col"], "_v", [0.5], ["_m"]), "_m", "_m"))
+    filled = attach(df, centre, by)
+    dev = [F.coalesce(F.col(c), F.col(f"_m{i}"), F.lit(0.0)) - F.coalesce(F.col(f"_m{i}"), F.lit(0.0)) for i, c in enumerate(cols)]
+    long = filled.filter(fit).select(*by, unpivot(dev)).select(*by, F.col("_e.i").alias("_col"), F.col("_e.v").alias("_v"), F.abs("_e.v").alias("_a"))
+    mad = exact_quantiles(long, [*by, "_col"], "_a", [0.5], ["_mad"])
+    std = long.groupBy(*by, "_col").agg(F.stddev_pop("_v").alias("_sd"))
+    s = 1.4826 * F.col("_mad")
+    both = _with(mad, std, [*by, "_col"]).withColumn("_s", F.when(s > 1e-8, s).when(F.col("_sd") > 1e-8, F.col("_sd")).otherwise(1.0))
+    scale = settle(spread(both, "_s", "_s"))
+    out = attach(filled, scale, by).withColumns({
+        c: F.greatest(F.lit(-limit), F.least(F.lit(limit), dev[i] / F.col(f"_s{i}"))) for i, c in enumerate(cols)})
+    return out.drop(*[f"_m{i}" for i in number], *[f"_s{i}" for i in number])
 
 
 def standard_scale(df: DataFrame, fit: Column, by: Sequence[str], cols: Sequence[str], limit: float | None = 10.0,
