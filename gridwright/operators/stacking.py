@@ -60,7 +60,7 @@ def simplex_least_squares(g: np.ndarray, c: np.ndarray) -> np.ndarray:
     return found / found.sum()
 
 
-def stack_weights(preds: DataFrame, by: Sequence[str], methods: Sequence[str], rounds: int = 4, min_rows: int = 20) -> DataFrame:
+def stack_weights(preds: DataFrame, by: Sequence[str], methods: Sequence[str], rounds: int = 3, min_rows: int = 20) -> DataFrame:
     """(by…, w0…, bias, rmse): simplex weights and median bias; fewer than ``min_rows`` rows give equal weights.
 
     Weights for a fixed bias come from the Gram matrix, the bias for fixed weights is one exact median;
@@ -82,13 +82,16 @@ def stack_weights(preds: DataFrame, by: Sequence[str], methods: Sequence[str], r
                 row = f.iloc[r]
                 if row["n"] < min_rows:
                     continue
-                c = np.array([row[f"c{i}"] for i in range(m)]) - (row["bias"] if row["bias"] == row["bias"] else 0.0) * np.array([row[f"s{i}"] for i in range(m)])
-                w[r] = simplex_least_squares(g[r], c)
+                c, total = (np.array([row[f"{k}{i}"] for i in range(m)], float) for k in "cs")
+                if row["bias"] is None or row["bias"] != row["bias"]:  # first round: the bias is the mean residual
+                    w[r] = simplex_least_squares(g[r] - np.outer(total, total) / row["n"], c - total * row["sy"] / row["n"])
+                else:
+                    w[r] = simplex_least_squares(g[r], c - row["bias"] * total)
             for i in range(m):
                 out[f"w{i}"] = w[:, i]
             yield out
 
-    state = gram.withColumn("bias", F.col("sy") / F.col("n") - sum((F.col(f"s{i}") / F.col("n") / m for i in range(m)), F.lit(0.0)))
+    state = gram.withColumn("bias", F.lit(None).cast("double"))
     best = None
     for _ in range(rounds):
         w = settle(state.mapInPandas(solve, T.StructType(fields)))
