@@ -56,7 +56,7 @@ def scan_vertices(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).filter(F.col("value").rlike(r"^v[ \t]"))
     t = raw.withColumn("_t", F.split(F.trim("value"), r"\s+"))
     bad = F.raise_error(F.concat(F.lit("invalid vertex line: "), "value")).cast("double")
-    return t.select(*[F.when(F.size("_t") >= 4, F.col("_t")[i].cast("double")).otherwise(bad).alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))])
+    return t.select(*[F.coalesce(F.when(F.size("_t") >= 4, F.col("_t")[i].try_cast("double")), bad).alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))])
 
 
 def scan_face_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -81,8 +81,8 @@ def read_obj(spark: SparkSession, path: str, scale: float = 1.0) -> tuple[DataFr
     finite = lambda c: F.when(F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)), c * scale).otherwise(
         F.raise_error(F.concat(F.lit("non-finite vertex: "), "value")).cast("double"))
     vertices = lines.filter(vertex).select(
-        (F.col("seen") - 1).alias("vid"), *[finite(F.col("_t")[i].cast("double")).alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))])
-    index = lambda tok: F.split(tok, "/")[0].cast("bigint")
+        (F.col("seen") - 1).alias("vid"), *[finite(F.col("_t")[i].try_cast("double")).alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))])
+    index = lambda tok: F.split(tok, "/")[0].try_cast("bigint")
     resolve = lambda tok: F.when(index(tok) < 0, F.col("seen") + index(tok)).otherwise(index(tok) - 1)
     poly = F.transform(F.slice("_t", 2, n - 1), resolve)
     f = lines.filter(face).withColumn("_p", poly)
@@ -111,9 +111,9 @@ def read_ply(spark: SparkSession, path: str, scale: float = 1.0) -> tuple[DataFr
     body = lines.filter(F.col("line_no") > start).withColumn("_i", F.col("line_no") - start - 1).withColumn("_t", _tokens(F.col("value")))
     bad = lambda kind: F.raise_error(F.concat(F.lit("invalid PLY line: "), "value")).cast(kind)
     vertices = body.filter(F.col("_i") < nv).select(F.col("_i").alias("vid"), *[
-        F.when(F.size("_t") >= 3, F.col("_t")[i].cast("double") * scale).otherwise(bad("double")).alias(c) for i, c in enumerate("xyz")])
-    f = body.filter((F.col("_i") >= nv) & (F.col("_i") < nv + nf)).withColumn("_n", F.col("_t")[0].cast("int")).withColumn(
-        "_p", F.transform(F.slice("_t", 2, F.greatest("_n", F.lit(0))), lambda t: t.cast("bigint")))
+        F.coalesce(F.when(F.size("_t") >= 3, F.col("_t")[i].try_cast("double") * scale), bad("double")).alias(c) for i, c in enumerate("xyz")])
+    f = body.filter((F.col("_i") >= nv) & (F.col("_i") < nv + nf)).withColumn("_n", F.col("_t")[0].try_cast("int")).withColumn(
+        "_p", F.transform(F.slice("_t", 2, F.greatest("_n", F.lit(0))), lambda t: t.try_cast("bigint")))
     wrong = F.col("_n").isNull() | (F.size("_p") != F.col("_n")) | F.exists("_p", lambda i: i.isNull() | (i < 0) | (i >= nv))
     f = f.withColumn("_p", F.when(wrong, bad("array<bigint>")).otherwise(F.col("_p")))
     fan = F.transform(F.sequence(F.lit(1), F.size("_p") - 2), lambda i: F.array(
