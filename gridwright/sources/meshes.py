@@ -112,10 +112,12 @@ def read_ply(spark: SparkSession, path: str, scale: float = 1.0) -> tuple[DataFr
     bad = lambda kind: F.raise_error(F.concat(F.lit("invalid PLY line: "), "value")).cast(kind)
     vertices = body.filter(F.col("_i") < nv).select(F.col("_i").alias("vid"), *[
         F.coalesce(F.when(F.size("_t") >= 3, F.col("_t")[i].try_cast("double") * scale), bad("double")).alias(c) for i, c in enumerate("xyz")])
-    f = body.filter((F.col("_i") >= nv) & (F.col("_i") < nv + nf)).withColumn("_n", F.col("_t")[0].try_cast("int")).withColumn(
+    # the region test is repeated at the error, because a later filter may be pushed below it
+    region = (F.col("_i") >= nv) & (F.col("_i") < nv + nf)
+    f = body.filter(region).withColumn("_n", F.col("_t")[0].try_cast("int")).withColumn(
         "_p", F.transform(F.slice("_t", 2, F.greatest("_n", F.lit(0))), lambda t: t.try_cast("bigint")))
     wrong = F.col("_n").isNull() | (F.size("_p") != F.col("_n")) | F.exists("_p", lambda i: i.isNull() | (i < 0) | (i >= nv))
-    f = f.withColumn("_p", F.when(wrong, bad("array<bigint>")).otherwise(F.col("_p")))
+    f = f.withColumn("_p", F.when(region & wrong, bad("array<bigint>")).otherwise(F.col("_p")))
     fan = F.transform(F.sequence(F.lit(1), F.size("_p") - 2), lambda i: F.array(
         F.col("_p")[0], F.element_at("_p", (i + 1).cast("int")), F.element_at("_p", (i + 2).cast("int"))))
     fans = f.filter(F.size("_p") >= 3).select((F.col("_i") - nv).alias("_i"), F.size("_p").alias("corners"), F.posexplode(fan).alias("_k", "v"))
