@@ -154,7 +154,7 @@ def _(spark, sf):
  SELECT zone, id//2147483648 AS row, id%2147483648 AS col, min(root) AS component FROM r GROUP BY zone, id""")
 def _(spark, sf):
     # small tiles, so that components really cross tile borders here
-    return regions.components(mask(spark, sf), ["zone"], tile=4)
+    return regions.components(mask(spark, sf), ["zone"], tile=16)
 
 
 @query("component_area_g1", """WITH RECURSIVE m AS (SELECT zone, row, col, row*2147483648+col AS id FROM f_zones WHERE dsm>=30),
