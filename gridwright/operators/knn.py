@@ -25,6 +25,7 @@ from gridwright.session import settle, spread
 BLOCK_ROWS = 64
 MAX_K = 128
 FLAT_DIRECTORY = 8192  # train blocks; up to here the whole block directory is matched in one step
+FLAT_PAIRS = 50_000_000  # box tests of the one-step match; beyond it the directory is walked
 BROADCAST_ROWS = 200_000  # train rows; up to here the packed train side is small enough to ship
 
 
@@ -228,7 +229,7 @@ def knn_join(
         leaves, state = leaves.withColumn("_all", F.lit(0)), state.withColumn("_all", F.lit(0))
     on = by or ["_all"]
 
-    if int(sizes["blocks"] or 0) <= FLAT_DIRECTORY:
+    if int(sizes["blocks"] or 0) <= FLAT_DIRECTORY and qb.count() * int(sizes["blocks"] or 0) <= FLAT_PAIRS:
         pairs = _prune(state.join(F.broadcast(leaves), on), d, want, radius)  # size checked just above
     else:
         # groups of 64 blocks, range pieces, groups of 64 pieces: a fixed four-level directory

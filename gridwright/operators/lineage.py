@@ -13,9 +13,9 @@ from gridwright.functions.columns import hash_u32
 def content_digest(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Order-free SHA-256 of the rows of each group.
 
-    Row digests fall into 4,096 buckets by prefix; a bucket is digested over its sorted (row digest,
-    count) pairs after the duplicates are counted, and the bucket digests are digested in order.  A
-    bucket is a hash share of the distinct rows, so the tree grows one level before a bucket could.
+    Repeated rows are counted first.  Row digests then fall into 2^24 leaf buckets by prefix, leaves into
+    2^12 middle buckets, and those into one root a group; each level digests its sorted children, and a
+    bucket is a hash share of the distinct rows whatever the group sizes are.
     """
     by = list(by)
     row = F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in sorted(cols)]), {"ignoreNullFields": "false"}), 256)

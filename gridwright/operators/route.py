@@ -111,6 +111,7 @@ def field_search(
         src = rows.withColumn("_aux", (F.col(aux) * F.lit(float(penalty))) if aux and penalty > 0 else F.lit(0.0))
         feats = ("x", "y", "_aux") if aux and penalty > 0 else ("x", "y")
         valid = src.withColumn("_vf", F.col(fold))
+        # a handful of folds: each training row serves every fold but its own
         fit = src.withColumnRenamed(fold, "_own").join(F.broadcast(k_folds.withColumnRenamed(fold, "_vf")), F.col("_own") != F.col("_vf"))
         n = knn.knn_join(valid, fit, max(ks), [*by, "_vf"], feats=feats, carry=[value])
         tables.append(n.withColumn("penalty", F.lit(float(penalty))))

@@ -43,8 +43,8 @@ def stratified_round_robin(points: DataFrame, count: int, seed: int, block_m: fl
     rows = rows.withColumn("_p", hash_u32(F.concat(F.lit(f"sample/{seed}/"), F.col("point_id").cast("string")))).withColumn(
         "_b", hash_u32(F.concat(F.lit(f"block/{seed}/"), F.col("spatial_block"))))
     rows = global_position(rows, ["spatial_block"], [F.col("_p"), F.col("point_id")], "within_block")
-    # a bounded top-n: each task keeps its own ``count`` leaders (TakeOrderedAndProject)
-    return rows.orderBy("within_block", "_b", "_p", "point_id").limit(count).drop("_p", "_b")
+    placed = global_position(rows, [], [F.col(c) for c in ("within_block", "_b", "_p", "point_id")], "_at")
+    return placed.filter(F.col("_at") <= count).drop("_p", "_b", "_at")
 
 
 def balanced_cell_folds(points: DataFrame, by: Sequence[str], n_folds: int, cell: float, seed: Column | int) -> DataFrame:

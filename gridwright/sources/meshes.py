@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 FILE, BLOCK, SLOT = "_file", "_block", "_slot"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, as_one: bool = False) -> DataFrame:
     """Text lines with their file, split offset, and order inside the split.
 
+    ``as_one`` reads the part files of a folder, in name order, as a single file.
+
     A split is read front to back by one task, so (file, offset, slot) is the file order whatever task
     reads it, and a split is at most ``spark.sql.files.maxPartitionBytes`` long.
     """
-    return spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
-        F.monotonically_increasing_id().alias(SLOT))
+    name, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    file, block = (F.lit(""), F.struct(name.alias("f"), start.alias("s"))) if as_one else (name, start)
+    return spark.read.text(path).select("value", file.alias(FILE), block.alias(BLOCK), F.monotonically_increasing_id().alias(SLOT))
 
 
 def fill_forward(lines: DataFrame, last: dict[str, Column], count: dict[str, Column]) -> DataFrame:
@@ -64,13 +66,13 @@ def scan_face_tokens(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.size(F.split(F.trim("value"), r"\s+")).alias("tokens"))
 
 
-def read_obj(spark: SparkSession, path: str, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def read_obj(spark: SparkSession, path: str, scale: float = 1.0, as_one: bool = False) -> tuple[DataFrame, DataFrame]:
     """(vertices: vid from 0, x, y, z), (faces: fid, object, material, v ARRAY of 3, line corners).
 
     Objects and materials carry forward along the file; negative indices count back from the vertices
     read so far; polygons become fans.
     """
-    lines = read_lines(spark, path).withColumn("_t", _tokens(F.col("value"))).filter(F.size("_t") > 0)
+    lines = read_lines(spark, path, as_one).withColumn("_t", _tokens(F.col("value"))).filter(F.size("_t") > 0)
     word = F.lower(F.col("_t")[0])
     n = F.size("_t")
     vertex, face = (word == "v") & (n >= 4), (word == "f") & (n >= 4)
@@ -133,8 +135,11 @@ VOXEL_RECORD = np.dtype([("ix", "<i4"), ("iy", "<i4"), ("iz", "<i4"), ("label",
 def read_voxels(spark: SparkSession, path: str) -> DataFrame:
     """Packed records; the fixed record length lets a file be read by many tasks."""
     records = spark.sparkContext.binaryRecords(path, VOXEL_RECORD.itemsize)
-    raw = spark.createDataFrame(records.map(lambda r: (bytearray(r),)), "record binary")
+    return unpack_voxels(spark.createDataFrame(records.map(lambda r: (bytearray(r),)), "record binary"))
+
 
+def unpack_voxels(raw: DataFrame) -> DataFrame:
+    """``raw(record BINARY)`` of sixteen bytes each -> voxel columns."""
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             a = np.frombuffer(b"".join(bytes(r) for r in f["record"]), dtype=VOXEL_RECORD)
