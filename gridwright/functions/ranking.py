@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from gridwright.session import settle, spread
+from gridwright.session import settle
 
 
 def global_position(
@@ -24,7 +24,7 @@ def global_position(
     """
     keys = [F.col(c) for c in by]
     placed = settle(
-        df.repartitionByRange(spread(df), *keys, *order)
+        df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_slot", F.monotonically_increasing_id())
     )

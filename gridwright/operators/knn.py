@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.session import settle, spread
+from gridwright.session import settle
 
 BLOCK_ROWS = 64
 MAX_K = 128
@@ -74,7 +74,7 @@ def _pack(df: DataFrame, by, feats, id_col, carry, low, step, per_coordinate: in
         slim = slim.filter(F.col(f).isNotNull() & ~F.isnan(f))
     slim = slim.withColumn("_z", curve_position(F.col(feats[0]), F.col(feats[1]), low, step))
     order = [F.col(c) for c in [*by, "_z", *feats, id_col]]
-    placed = slim.repartitionByRange(spread(df), *order).sortWithinPartitions(*order)
+    placed = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = _block_schema(slim, by, feats, id_col, carry)
 
     def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

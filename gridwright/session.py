@@ -33,8 +33,3 @@ def settle(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame, at_least: int | None = None) -> int:
-    """Partition count for an explicit exchange: the session's own shuffle width."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(width, at_least or 1)

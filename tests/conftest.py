@@ -11,7 +11,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+               # tiny inputs must still be cut into several range pieces
+               .config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

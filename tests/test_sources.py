@@ -50,7 +50,7 @@ def test_mesh_round_trip_and_degenerate_faces(spark, tmp_path):
     assert valid_triangles(geo).count() == 3 and abs(geo.agg(F.sum("area")).first()[0] - 18.0) < 1e-9
     out = str(tmp_path / "out")
     meshes.write_mesh_lines(meshes.mesh_lines(v, f), out)
-    v2, f2 = meshes.read_obj(spark, out + "/*.txt")
+    v2, f2 = meshes.read_obj(spark, out, as_one=True)
     text = [r.value for r in spark.read.text(out).collect()]
     assert sum(t.startswith("o ") for t in text) == 2 and sum(t.startswith("usemtl ") for t in text) == 2
     assert v2.count() == 7 and f2.count() == 4
