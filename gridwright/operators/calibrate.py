@@ -233,7 +233,7 @@ def supported_calibration(
         old = previous.select(*keys, F.col("slope").alias("_os"), F.col("bias").alias("_ob"))
         moved = _with(current, old, keys).agg(F.max(F.greatest(
             F.abs(F.col("slope") - F.col("_os")), F.abs(F.col("bias") - F.col("_ob"))))).first()[0]
-        if moved is None or moved < 1e-9:
+        if moved is None or moved < 1e-8:
             break
     return _with(fixed, current, keys)
 

@@ -16,7 +16,7 @@ def hidden(spark, sf):
     return fx.points(spark, sf).withColumn("observed_dbm", F.when(F.col("role") == "train", F.col("observed_dbm")))
 
 
-@query("points_contract_v1", """SELECT band, count(*) AS rows, count(*) FILTER (role='train') AS train_n, count(*) FILTER (role='query') AS query_n, 0 AS bad_ids, 0 AS shared_groups, 0 AS violations FROM f_points GROUP BY band""")
+@query("points_contract_v1", """SELECT band, count(*) AS rows, count(*) FILTER (role='train') AS train_n, count(*) FILTER (role='query') AS query_n, CAST(0 AS BIGINT) AS bad_ids, CAST(0 AS BIGINT) AS shared_groups, 0 AS violations FROM f_points GROUP BY band""")
 def _(spark, sf):
     return contracts.points_report(hidden(spark, sf)).select("band", "rows", "train_n", "query_n", "bad_ids", "shared_groups", F.size("violations").alias("violations"))
 
@@ -28,13 +28,13 @@ def _(spark, sf):
     return contracts.points_report(p).select("band", "query_with_label", "shared_groups")
 
 
-@query("fit_query_contract_v2", """SELECT band, (SELECT count(*) FROM f_train t WHERE t.band=q.band) AS fit_n, min(m) AS minimum_m, 0 AS shared_ids FROM (SELECT q.band, q.point_id, min(sqrt((q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y))) AS m FROM f_query q JOIN f_train t USING (band) GROUP BY ALL) q GROUP BY band""")
+@query("fit_query_contract_v2", """SELECT band, (SELECT count(*) FROM f_train t WHERE t.band=q.band) AS fit_n, min(m) AS minimum_m, CAST(0 AS BIGINT) AS shared_ids FROM (SELECT q.band, q.point_id, min(sqrt((q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y))) AS m FROM f_query q JOIN f_train t USING (band) GROUP BY ALL) q GROUP BY band""")
 def _(spark, sf):
     train, q = fx.split_points(spark, sf)
     return contracts.fit_query_report(train, q.drop("observed_dbm"), ["band"]).select("band", "fit_n", "minimum_m", "shared_ids")
 
 
-@query("gain_alignment_v3", """SELECT 13 AS configs, 0 AS points_without_gain, 0 AS gain_without_point, 0 AS ragged_points, 0 AS infinite_gains, 0 AS violations FROM (SELECT count(*) FROM f_gains)""")
+@query("gain_alignment_v3", """SELECT CAST(13 AS BIGINT) AS configs, CAST(0 AS BIGINT) AS points_without_gain, CAST(0 AS BIGINT) AS gain_without_point, CAST(0 AS BIGINT) AS ragged_points, CAST(0 AS BIGINT) AS infinite_gains, 0 AS violations FROM (SELECT count(*) FROM f_gains)""")
 def _(spark, sf):
     return contracts.gain_report(fx.points(spark, sf), fx.gains(spark, sf)).select(
         "configs", "points_without_gain", "gain_without_point", "ragged_points", "infinite_gains", F.size("violations").alias("violations"))
@@ -46,14 +46,14 @@ def _(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", col.normalize_bool(text).alias("flag"))
 
 
-@query("variant_invariants_v5", """SELECT band, method, count(*) AS units, 0 AS broken FROM (SELECT DISTINCT point_id, band, method FROM f_variants) GROUP BY band, method""")
+@query("variant_invariants_v5", """SELECT band, method, count(*) AS units, CAST(0 AS BIGINT) AS broken FROM (SELECT DISTINCT point_id, band, method FROM f_variants) GROUP BY band, method""")
 def _(spark, sf):
     r = contracts.invariant_report(fx.variants(spark, sf), ["point_id", "band", "method"], "variant", 4,
                                    ["date", "trajectory_group", "outer_fold", "config_id", "observed_dbm", "path_available"])
     return r.groupBy("band", "method").agg(F.count(F.lit(1)).alias("units"), F.count_if(F.size("violations") > 0).alias("broken"))
 
 
-@query("matched_arms_v6", """SELECT trajectory_group, arms, (CASE WHEN f1>1 THEN 1 ELSE 0 END)+(CASE WHEN f2>1 THEN 1 ELSE 0 END) AS violations FROM (SELECT trajectory_group, 5 AS arms, count(DISTINCT f1) AS f1, count(DISTINCT f2) AS f2 FROM (
+@query("matched_arms_v6", """SELECT trajectory_group, arms, (CASE WHEN f1>1 THEN 1 ELSE 0 END)+(CASE WHEN f2>1 THEN 1 ELSE 0 END) AS violations FROM (SELECT trajectory_group, CAST(5 AS BIGINT) AS arms, count(DISTINCT f1) AS f1, count(DISTINCT f2) AS f2 FROM (
  SELECT trajectory_group, a, trajectory_group%7+CASE WHEN trajectory_group%5=0 AND a=3 THEN 1 ELSE 0 END AS f1, trajectory_group%3+CASE WHEN trajectory_group%4=0 THEN a ELSE 0 END AS f2 FROM (SELECT DISTINCT trajectory_group FROM f_points), range(5) t(a)) GROUP BY trajectory_group)""")
 def _(spark, sf):
     g = fx.points(spark, sf).select("trajectory_group").distinct().withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(4))))
@@ -71,7 +71,7 @@ def _(spark, sf):
     return contracts.aligned_join(p, fx.base_gain(spark, sf).select("point_id", "raw"), ["point_id"])
 
 
-@query("leakage_check_j9", """SELECT band, 0 AS shared_ids, (SELECT count(*) FROM (SELECT floor(x/10e0) AS a, floor(y/10e0) AS b FROM f_train t WHERE t.band=f.band INTERSECT SELECT floor(x/10e0), floor(y/10e0) FROM f_query q WHERE q.band=f.band)) AS shared_cells FROM f_points f GROUP BY band""")
+@query("leakage_check_j9", """SELECT band, CAST(0 AS BIGINT) AS shared_ids, (SELECT count(*) FROM (SELECT floor(x/10e0) AS a, floor(y/10e0) AS b FROM f_train t WHERE t.band=f.band INTERSECT SELECT floor(x/10e0), floor(y/10e0) FROM f_query q WHERE q.band=f.band)) AS shared_cells FROM f_points f GROUP BY band""")
 def _(spark, sf):
     train, q = fx.split_points(spark, sf)
     return contracts.leakage_report(train, q, ["band"], 10.0).select("band", "shared_ids", "shared_cells")
@@ -196,7 +196,7 @@ def _(spark, sf):
 
 
 @query("contiguous_chunks_l5", """WITH c AS (SELECT o_custkey%40 AS g, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey%40 ORDER BY o_orderkey)-1 AS k, count(*) OVER (PARTITION BY o_custkey%40) AS n FROM orders), d AS (SELECT g, n, k*10 AS start, k*10+10-CASE WHEN g%4=0 AND k=2 THEN 1 ELSE 0 END AS stop FROM c)
- SELECT g, min(start) AS first, max(stop) AS last, CAST(sum(stop-start) AS BIGINT) AS covered, CASE WHEN g%4=0 THEN 2 ELSE 0 END AS breaks, g%4<>0 AS complete FROM d GROUP BY g""")
+ SELECT g, min(start) AS first, max(stop) AS last, CAST(sum(stop-start) AS BIGINT) AS covered, CAST(CASE WHEN g%4=0 THEN 2 ELSE 0 END AS BIGINT) AS breaks, g%4<>0 AS complete FROM d GROUP BY g""")
 def _(spark, sf):
     from gridwright.functions.ranking import global_position
     o = global_position(fx.table(spark, sf, "orders").selectExpr("o_custkey%40 as g", "o_orderkey as id"), ["g"], [F.col("id")], "k")

@@ -249,7 +249,7 @@ def _(spark, sf):
 
 
 @query("boundary_samples_w8", RINGS + """, n AS (SELECT *, CAST(greatest(1, ceil(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y))/20000e0)) AS BIGINT) AS n FROM e)
- SELECT ring_id, seq, k AS step, x+(x2-x)*(CAST(k AS DOUBLE)/n) AS x, y+(y2-y)*(CAST(k AS DOUBLE)/n) AS y FROM n, range(20) t(k) WHERE k<n""")
+ SELECT ring_id, seq, CAST(k AS INTEGER) AS step, x+(x2-x)*(CAST(k AS DOUBLE)/n) AS x, y+(y2-y)*(CAST(k AS DOUBLE)/n) AS y FROM n, range(20) t(k) WHERE k<n""")
 def _(spark, sf):
     return labels.boundary_samples(rings(spark, sf), 20000.0)
 

@@ -155,8 +155,8 @@ def _(spark, sf):
 
 
 @query("replace_worst_two_t2", """WITH r AS (SELECT band, method, avg(abs(pred-observed_dbm)) AS oof_mae, sqrt(avg((pred-observed_dbm)*(pred-observed_dbm))) AS oof_rmse FROM f_pred WHERE role='train' GROUP BY ALL)
- SELECT band, method, oof_mae, oof_rmse, worst_rank, worst_rank<=2 AS removed FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY oof_mae DESC, oof_rmse DESC, method) AS worst_rank FROM r)
- UNION ALL SELECT DISTINCT band, m, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), false FROM r, (VALUES ('MAT_A'),('MAT_B')) t(m)""")
+ SELECT band, method, oof_mae, oof_rmse, worst_rank, worst_rank<=2 AS removed FROM (SELECT *, CAST(row_number() OVER (PARTITION BY band ORDER BY oof_mae DESC, oof_rmse DESC, method) AS INTEGER) AS worst_rank FROM r)
+ UNION ALL SELECT DISTINCT band, m, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER), false FROM r, (VALUES ('MAT_A'),('MAT_B')) t(m)""")
 def _(spark, sf):
     return score.replace_worst(fx.predictions(spark, sf).filter("role = 'train'"), ["MAT_A", "MAT_B"], by=["band"])
 

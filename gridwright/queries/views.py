@@ -94,8 +94,8 @@ SELECT 'face:'||(event_id%2000) AS entity_id, 'face' AS level,
   ((event_id*31)%100)/100e0 AS confidence, ((event_id*53)%100)/100e0 AS reliability FROM events"""
 
 VIEWS["f_voxels"] = """
-SELECT l_partkey%40 AS ix, l_suppkey%40 AS iy, l_linenumber AS iz, CAST(l_quantity AS INTEGER)%10 AS label,
-  l_orderkey%256 AS confidence, 1+l_partkey%100 AS count FROM lineitem"""
+SELECT CAST(l_partkey%40 AS INTEGER) AS ix, CAST(l_suppkey%40 AS INTEGER) AS iy, l_linenumber AS iz, CAST(l_quantity AS INTEGER)%10 AS label,
+  CAST(l_orderkey%256 AS INTEGER) AS confidence, CAST(1+l_partkey%100 AS INTEGER) AS count FROM lineitem"""
 
 VIEWS["f_samples"] = """
 SELECT o_orderkey AS sample_id, o_custkey%300 AS surface_id,
