@@ -25,7 +25,6 @@ from gridwright.llm.store import LOWER, UPPER, packed, settle
 PREFIX_CHARS = 256
 
 
-@F.pandas_udf(T.StringType())
 def _full_hash(content: pd.Series) -> pd.Series:
     # bytes.lower() touches A-Z only
     return content.map(lambda b: None if b is None else hashlib.sha256(bytes(b).lower()).hexdigest())
@@ -53,9 +52,10 @@ def mark_duplicates(
     body = F.coalesce(F.col(text), F.lit(""))
     rows = packed(docs, _id=F.col(id_col), _body=body, _n=F.octet_length(body),
                   _p=F.xxhash64(F.translate(F.left(body, F.lit(prefix_chars)), UPPER, LOWER)))
+    full_hash = F.pandas_udf(_full_hash, T.StringType())
     flagged = rows.join(survivors, ["_n", "_p"], "left")
     read = F.col("_body") if digest_all else F.when(F.col("_survives"), F.col("_body"))
-    hashed = settle(flagged.select("_row", "_id", "_survives", _full_hash(read.cast("binary")).alias("digest")), "hashed")
+    hashed = settle(flagged.select("_row", "_id", "_survives", full_hash(read.cast("binary")).alias("digest")), "hashed")
     groups = hashed.filter("_survives").groupBy("digest").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     several = groups.filter("group_size > 1")
     out = hashed.join(several, "digest", "left")

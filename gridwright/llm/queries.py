@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import exact_dedup, sharding, url_rules
+from gridwright.llm import bpe, exact_dedup, packing, sharding, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +50,28 @@ def op3_url_rules(spark, sf):
     return url_rules.judge_urls(table(spark, sf, "pages", "page_id", "url"), url_rules.rule_table(spark, RULES))
 
 
+# ---------------------------------------------------------------- 5: BPE encoding and decoding
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_bpe")
+def op5_bpe(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs, tokenizer_path()).select("doc_id", "ids"), tokenizer_path())
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
+                          F.sha2("text", 256).alias("decoded_sha256"))
+
+
+# ---------------------------------------------------------------- 7: best-fit packing
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents", "doc_id", "text"), tokenizer_path())
+
+
 # ---------------------------------------------------------------- 8: sharding
 
 @query("op8_virtual_slots")
