@@ -18,7 +18,6 @@ gives an empty result; extra columns are carried through, and a column named lik
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import re
@@ -26,17 +25,15 @@ import unicodedata
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridwright.llm.text_batches import list_array, steps
+from gridwright.llm.text_batches import list_array, steps, text_bytes
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-CACHED_WORDS = 800_000
+CACHED_WORDS = 250_000
 SEGMENT_CHARS = 4 << 20  # longer texts are cut at white space, which no word spans
 
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -187,8 +184,11 @@ class WordBpe:
         alive = sym[:n] >= 0
         return sym[:n][alive], np.add.reduceat(alive, offsets[:-1], dtype=np.int64) if len(offsets) > 1 else np.zeros(0, np.int64)
 
-    def _lookup(self, words: pa.Array) -> np.ndarray:
-        """Place of each distinct word among the known ones; merges those not met before."""
+    def _lookup(self, words: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and count of the ids of each distinct word, and the ids; merges the words not met before.
+
+        Words that occur twice in a step are kept for later steps.
+        """
         if len(self.known) > CACHED_WORDS:
             self._forget()
         spelled = words.to_pylist()
@@ -200,13 +200,21 @@ class WordBpe:
             offsets = np.zeros(len(fresh) + 1, np.int64)
             np.cumsum([len(w) for w in fresh], out=offsets[1:])
             ids, counts = self.merge_words(np.frombuffer(b"".join(fresh), np.uint8), offsets)
-            base = len(self.flat)
-            self.starts = np.concatenate([self.starts, base + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, ids])
-            places[new] = len(known) + np.arange(len(new))
-            known.update(zip(fresh, places[new].tolist()))
-        return places
+            begin = np.cumsum(counts) - counts
+            starts = np.concatenate([self.starts, len(self.flat) + begin])
+            both = np.concatenate([self.counts, counts])
+            flat = np.concatenate([self.flat, ids])
+            places[new] = len(self.starts) + np.arange(len(new))
+            often = np.flatnonzero(times[new] > 1)
+            kept = counts[often]
+            ends = np.cumsum(kept)
+            known.update(zip([fresh[i] for i in often.tolist()], range(len(self.starts), len(self.starts) + len(often))))
+            self.starts = np.concatenate([self.starts, len(self.flat) + ends - kept])
+            self.counts = np.concatenate([self.counts, kept])
+            if len(often):
+                self.flat = np.concatenate([self.flat, ids[np.repeat(begin[often] - ends + kept, kept) + np.arange(ends[-1])]])
+            return starts[places], both[places], flat
+        return self.starts[places], self.counts[places], self.flat
 
     def _encode_segments(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts, flat, and tokens per text."""
@@ -242,11 +250,12 @@ class WordBpe:
         offsets = np.append(offsets, len(data)).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(word_at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         coded = words.dictionary_encode()
-        places = self._lookup(coded.dictionary)[coded.indices.to_numpy()]
-        counts = self.counts[places]
+        word = coded.indices.to_numpy()
+        starts, counts, flat = self._lookup(coded.dictionary, np.bincount(word, minlength=len(coded.dictionary)))
+        counts = counts[word]
         upto = np.concatenate([[0], np.cumsum(counts)])
-        shift = (self.starts[places] - upto[:-1]).astype(np.int32)
-        ids = self.flat[np.repeat(shift, counts) + np.arange(upto[-1], dtype=np.int32)]
+        shift = (starts[word] - upto[:-1]).astype(np.int32)
+        ids = flat[np.repeat(shift, counts) + np.arange(upto[-1], dtype=np.int32)]
         return ids, np.diff(upto[bounds])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -346,22 +355,42 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], values], [*names, name])
 
 
-def _encode(batches, path: str, text: str, ids: str):
+def _encode(batches, path: str, text: str, ids: str, packed: bool):
     model = load(path)
     for part in steps(batches, text):
         flat, offsets = model.encode(part.column(text).to_pylist())
-        yield with_column(part, ids, list_array(flat.astype(np.int32), offsets, pa.int32()))
+        if packed:
+            column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))])
+        else:
+            column = list_array(flat.astype(np.int32), offsets, pa.int32())
+        yield with_column(part, ids, column)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", *, packed: bool = False) -> DataFrame:
+    """``docs`` with the token ids of ``text`` as an array column, or ``packed`` as little-endian 32-bit numbers."""
+    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
+    schema = T.StructType([f for f in docs.schema.fields if f.name != ids] + [T.StructField(ids, kind)])
+
+    return docs.mapInArrow(partial(_encode, path=path, text=text, ids=ids, packed=packed), schema)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` as an array column."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+def _round_trip(batches, path: str, text: str):
+    for part in _encode(batches, path, text, "ids", True):
+        yield with_column(part, text, load(path).decode(*id_lists(part.column("ids"))))
 
-    return docs.mapInArrow(partial(_encode, path=path, text=text, ids=ids), schema)
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``decode(encode(docs, packed=True))`` in one pass: ``ids`` beside the decoded ``text``."""
+    columns = [f for f in docs.schema.fields if f.name not in ("ids", text)]
+    schema = T.StructType([*columns, T.StructField("ids", T.BinaryType()), T.StructField(text, T.StringType())])
+    return docs.mapInArrow(partial(_round_trip, path=path, text=text), schema)
 
 
 def id_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of an array column; nulls as empty lists."""
+    """Values and offsets of an array or packed column; nulls as empty lists."""
+    if pa.types.is_binary(column.type):
+        body = b"".join(v or b"" for v in column.to_pylist())
+        return np.frombuffer(body, "<u4"), np.concatenate([[0], np.cumsum(text_bytes(column) // 4)])
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
@@ -369,22 +398,13 @@ def id_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _decode(batches, path: str, text: str, ids: str):
     model = load(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
             yield with_column(part, text, model.decode(*id_lists(part.column(ids))))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``encoded`` with the text of its token ids as a column."""
+    """``encoded`` with the text of its token ids (array or packed) as a column."""
     schema = T.StructType([f for f in encoded.schema.fields if f.name != text] + [T.StructField(text, T.StringType())])
 
     return encoded.mapInArrow(partial(_decode, path=path, text=text, ids=ids), schema)
-
-
-def _ids_sha256(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda v: hashlib.sha256(np.asarray(v, "<u4").tobytes()).hexdigest())
-
-
-def ids_sha256(ids: Column) -> Column:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return F.pandas_udf(_ids_sha256, T.StringType())(ids)

@@ -60,8 +60,8 @@ def tokenizer_path() -> str:
 @query("op5_bpe")
 def op5_bpe(spark, sf):
     docs = table(spark, sf, "documents", "doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, tokenizer_path()).select("doc_id", "ids"), tokenizer_path())
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
+    decoded = bpe.round_trip(docs, tokenizer_path())
+    return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def text_bytes(column: pa.Array) -> np.ndarray:
@@ -27,13 +27,5 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             yield batch.slice(a, b - a)
 
 
-def by_step(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, limit: int = STEP_BYTES):
-    """``fn`` per slice, as a function for ``mapInArrow``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, column, limit):
-            yield fn(part)
-    return run
-
-
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))

@@ -73,7 +73,8 @@ def test_encode_carries_columns_and_nulls(frame):
     out = bpe.encode(docs, PATH)
     assert sorted((r.doc_id, len(r.ids)) for r in out.collect()) == [(1, 0), (1, 0), (2, 1)]
     assert bpe.decode(bpe.encode(docs.filter("false"), PATH), PATH).count() == 0
-    assert sorted(r.text for r in bpe.decode(out, PATH).collect()) == ["", "", "hello</w>"]
+    for again in (bpe.decode(out, PATH), bpe.decode(bpe.encode(docs, PATH, packed=True), PATH), bpe.round_trip(docs, PATH)):
+        assert sorted(r.text for r in again.collect()) == ["", "", "hello</w>"]
 
 
 def packed_ok(rows, sequence):
