@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, exact_dedup, packing, sharding, url_rules
+from gridwright.llm import bpe, exact_dedup, packing, sharding, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,14 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 
+# ---------------------------------------------------------------- 2: SimHash near-dedup
+
+@query("op2_simhash")
+def op2_simhash(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents", "doc_id", "text"))
+    return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 # ---------------------------------------------------------------- 3: URL filters
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
