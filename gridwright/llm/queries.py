@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, exact_dedup, packing, sharding, simhash, url_rules
+from gridwright.llm import bpe, exact_dedup, langid, packing, sharding, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,14 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 
+# ---------------------------------------------------------------- 1: language ID
+
+@query("op1_language_id")
+def op1_language_id(spark, sf):
+    found = langid.identify_documents(table(spark, sf, "documents", "doc_id", "text", "lang"))
+    return found.select("_row.doc_id", "held_out", "_found.lang_pred", "_found.score")
+
+
 # ---------------------------------------------------------------- 2: SimHash near-dedup
 
 @query("op2_simhash")
