@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, exact_dedup, langid, packing, sharding, simhash, url_rules
+from gridwright.llm import bpe, exact_dedup, langid, packing, secret_scan, sharding, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +66,13 @@ def op3_url_rules(spark, sf):
     return url_rules.judge_urls(table(spark, sf, "pages", "page_id", "url"), url_rules.rule_table(spark, RULES))
 
 
+# ---------------------------------------------------------------- 4: secret scans
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark, sf):
+    return secret_scan.scan(table(spark, sf, "documents", "doc_id", "text", "source")).drop("doc_key")
+
+
 # ---------------------------------------------------------------- 5: BPE encoding and decoding
 
 def tokenizer_path() -> str:
