@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, exact_dedup, langid, packing, secret_scan, sharding, simhash, url_rules
+from gridwright.llm import bpe, embedding_dedup, exact_dedup, langid, packing, secret_scan, sharding, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +88,25 @@ def op5_bpe(spark, sf):
                           F.sha2("text", 256).alias("decoded_sha256"))
 
 
+# ---------------------------------------------------------------- 6: embedding near-dedup
+
+@query("op6_pivot_permutation", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93e0),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
+  least(e.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id)) AS component_id,
+  e.vec_id <= coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id) AS kept
+FROM embeddings e""")
+def op6_pivot_permutation(spark, sf):
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
+
+
 # ---------------------------------------------------------------- 7: best-fit packing
 
 @query("op7_best_fit_packing")
