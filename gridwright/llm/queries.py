@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, embedding_dedup, exact_dedup, langid, packing, secret_scan, sharding, simhash, url_rules
+from gridwright.llm import bpe, embedding_dedup, exact_dedup, langid, packing, secret_scan, sharding, simhash, url_rules, warc_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,7 +94,7 @@ def op5_bpe(spark, sf):
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93e0),
@@ -123,6 +123,20 @@ def op8_virtual_slots(spark, sf):
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+# ---------------------------------------------------------------- 9: WARC
+
+@query("op9_warc_store", """
+WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+h AS (SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, sha1(p) AS payload_digest,
+  max(page_id) OVER (PARTITION BY sha256(p)) AS holder FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to FROM h""")
+def op9_warc_store(spark, sf):
+    read = warc_store.archived(table(spark, sf, "pages", "page_id", "url", "html"))
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 # ---------------------------------------------------------------- 10: exact dedup
 
 @query("op10_exact_dedup", f"""
