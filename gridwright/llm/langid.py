@@ -149,7 +149,10 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def identify_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows packed as ``_row`` with held_out and ``_found`` (lang_pred, score); learns from the rows not held out."""
-    profiles = collect_profiles(learn(docs.filter(~held_out(F.col(id_col))), text, lang))
+def identify_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", *, hold_out: bool = True) -> DataFrame:
+    """Rows packed as ``_row`` with held_out and ``_found`` (lang_pred, score).
+
+    Learns from the labelled rows that are not held out, or from all of them without ``hold_out``.
+    """
+    profiles = collect_profiles(learn(docs.filter(~held_out(F.col(id_col))) if hold_out else docs, text, lang))
     return packed(docs, held_out=held_out(F.col(id_col)), _found=identify(F.col(text), profiles))

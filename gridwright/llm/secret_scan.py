@@ -14,8 +14,8 @@ or plainly a number or a slug), at most ``MAX_TRAINING`` of them, the ones with
 else (counts, search, scoring) covers all documents.
 
 Defined results: null and empty texts have no candidates; a null path is the empty path; equal rows have equal
-findings, one for each distinct (id, text); with fewer than two classes to learn from nothing is removed and the
-score is 1; an empty table gives an empty result; extra columns are ignored (redaction carries them through).
+findings, one for each distinct (id, text); with fewer than two classes to learn from the score is the label, or 1
+where no rule applies; an empty table gives an empty result; extra columns are ignored (redaction carries them through).
 """
 
 from __future__ import annotations
@@ -200,7 +200,7 @@ def score(found: DataFrame, *, max_training: int = MAX_TRAINING, trees: int = 20
     # two rows at most
     classes = {r["label"] for r in labelled.select("label").distinct().collect()}
     if len(classes) < 2:
-        return found.withColumn("score", F.lit(1.0))
+        return found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(1.0)))
     rates = labelled.groupBy("path").agg(((F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias("path_rate"))
     bucket = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(NEIGHBOUR_BUCKETS)))
     hashed = F.transform(F.sequence(F.lit(0), F.lit(NEIGHBOUR_BUCKETS - 1)), lambda i: F.array_contains(F.col("_bucket"), i.cast("long")).cast("double"))

@@ -75,4 +75,4 @@ def test_odd_rows_and_redaction(frame):
                           (5, 'TOKEN = "[secret]"'), (6, "password: [secret]")], key=str)
     assert secret_scan.redact(docs.filter("false")).count() == 0
     one_class = secret_scan.scan(docs.filter("score = 4")).collect()
-    assert [r.score for r in one_class] == [1.0]
+    assert [r.score for r in one_class] == [0.0]
