@@ -35,8 +35,21 @@ def first_map(slots: int, shards: int) -> list[int]:
     return [s % shards for s in range(slots)]
 
 
+def _exchange(heavy: list[tuple[int, int]], light: list[tuple[int, int]], gap: int):
+    """The slot to move, and the one to take in return (slot -1: none), that bring the two closest; None if nothing helps."""
+    best = None
+    partners = [(0, -1), *light]
+    for w, slot in heavy:
+        at = bisect_left(partners, (w - gap / 2, -1))
+        for other in partners[max(0, at - 1):at + 1]:
+            moved = w - other[0]
+            if 0 < moved < gap and (best is None or (abs(gap - 2 * moved), slot, other[1]) < best[0]):
+                best = ((abs(gap - 2 * moved), slot, other[1]), (w, slot), other)
+    return best and best[1:]
+
+
 def rebalanced(current: list[int], weights: dict[int, int], shards: int) -> list[int]:
-    """The next map: slots move, or change places, between the heaviest and the lightest shard until neither helps.
+    """The next map: slots move, or change places, from the heaviest to the lightest shard that this helps, until none does.
 
     The slot (or pair of slots) that comes closest to half of the difference is taken, ties by slot number.
     """
@@ -48,19 +61,13 @@ def rebalanced(current: list[int], weights: dict[int, int], shards: int) -> list
         slots.sort()
     totals = [sum(w for w, _ in slots) for slots in held]
     for _ in range(4 * len(out)):
-        heavy, light = max(range(shards), key=lambda s: (totals[s], -s)), min(range(shards), key=lambda s: (totals[s], s))
-        gap = totals[heavy] - totals[light]
-        best = None
-        partners = [(0, -1), *held[light]]
-        for w, slot in held[heavy]:
-            at = bisect_left(partners, (w - gap / 2, -1))
-            for other in partners[max(0, at - 1):at + 1]:
-                moved = w - other[0]
-                if 0 < moved < gap and (best is None or (abs(gap - 2 * moved), slot, other[1]) < best[0]):
-                    best = ((abs(gap - 2 * moved), slot, other[1]), (w, slot), other)
-        if best is None:
+        heavy = max(range(shards), key=lambda s: (totals[s], -s))
+        for light in sorted(range(shards), key=lambda s: (totals[s], s)):
+            if best := _exchange(held[heavy], held[light], totals[heavy] - totals[light]):
+                break
+        else:
             break
-        for entry, source, target in ((best[1], heavy, light), (best[2], light, heavy)):
+        for entry, source, target in ((best[0], heavy, light), (best[1], light, heavy)):
             if entry[1] >= 0:
                 held[source].remove(entry)
                 held[target].insert(bisect_left(held[target], entry), entry)
