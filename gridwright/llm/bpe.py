@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from gridwright.llm.text_batches import list_array, steps, text_bytes
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-CACHED_WORDS = 250_000
+CACHED_WORDS = 120_000
 SEGMENT_CHARS = 4 << 20  # longer texts are cut at white space, which no word spans
 
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

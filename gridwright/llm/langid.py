@@ -15,22 +15,21 @@ empty table gives an empty result; further columns are carried through and never
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridwright.llm.bpe import LETTER, char_classes, code_points
-from gridwright.llm.store import packed
 from gridwright.llm.text_batches import steps
 
 PROFILE = 300
 UNKNOWN = "und"
 BOUNDARY = 1  # no letter has this code point
-STEP_CHARS = 2 << 20
+STEP_CHARS = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -122,14 +121,7 @@ class Profiles:
         return self.langs[best], 1.0 - float(apart[best]) / (self.size * len(codes))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out, part, chars = [], [], 0
-        for text in texts:
-            part.append(text)
-            chars += len(text or "")
-            if chars >= STEP_CHARS:
-                out += [self.closest(*found) for found in count_grams(part)]
-                part, chars = [], 0
-        return out + [self.closest(*found) for found in count_grams(part)] if part else out
+        return [self.closest(*found) for found in count_grams(texts)]
 
 
 def collect_profiles(learned: DataFrame, size: int = PROFILE) -> Profiles:
@@ -137,11 +129,20 @@ def collect_profiles(learned: DataFrame, size: int = PROFILE) -> Profiles:
     return Profiles([(r.lang, r.gram, r.place) for r in learned.collect()], size)
 
 
-def identify(text: Column, profiles: Profiles) -> Column:
-    """struct(lang_pred, score) of a text column."""
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(profiles.predict([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score"])
-    return F.pandas_udf(predict, "lang_pred string, score double")(text)
+def _identify(batches, text: str, profiles: Profiles):
+    for part in steps(batches, text, STEP_CHARS):
+        found = profiles.predict(part.column(text).to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns, pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())],
+            [*part.schema.names, "lang_pred", "score"])
+
+
+def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
+    """Rows packed as ``_row`` with ``_found`` (lang_pred, score)."""
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # by place: no name can clash
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = rows.mapInArrow(partial(_identify, text=f"c{docs.columns.index(text)}", profiles=profiles), schema)
+    return found.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("_row"), F.struct("lang_pred", "score").alias("_found"))
 
 
 def held_out(id_column: Column) -> Column:
@@ -155,4 +156,4 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     Learns from the labelled rows that are not held out, or from all of them without ``hold_out``.
     """
     profiles = collect_profiles(learn(docs.filter(~held_out(F.col(id_col))) if hold_out else docs, text, lang))
-    return packed(docs, held_out=held_out(F.col(id_col)), _found=identify(F.col(text), profiles))
+    return identify(docs, profiles, text).withColumn("held_out", held_out(F.col(f"_row.`{id_col}`")))

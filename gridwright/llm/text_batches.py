@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def text_bytes(column: pa.Array) -> np.ndarray:
@@ -25,6 +25,8 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch
+        pa.default_memory_pool().release_unused()  # idle workers share the executor's memory
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:

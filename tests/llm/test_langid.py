@@ -58,8 +58,7 @@ def test_odd_rows(frame):
     docs = frame(rows, "doc_id long, text string, lang string, score int")
     profiles = langid.collect_profiles(langid.learn(docs))
     assert profiles.langs == ["en", "fr"]
-    from pyspark.sql import functions as F
-    got = [(r.doc_id, r.f.lang_pred) for r in docs.select("doc_id", langid.identify(F.col("text"), profiles).alias("f")).collect()]
+    got = [(r._row.doc_id, r._found.lang_pred) for r in langid.identify(docs, profiles).collect()]
     assert sorted(got) == [(1, "en"), (2, "und"), (3, "fr"), (4, "und"), (5, "fr"), (5, "fr")]
     none = langid.identify_documents(frame([], "doc_id long, text string, lang string"))
     assert none.count() == 0
