@@ -64,6 +64,22 @@ def mark_duplicates(
                       keep.eqNullSafe(F.col("_id")).alias("kept"), "digest")
 
 
+def dropped_ids(docs: DataFrame, id_col: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """(id) of the rows that go: those of which an equal text with a larger id exists.  Only ids and digests are kept of a text."""
+    survivors = surviving_groups(docs, text, prefix_chars)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("_body"), F.octet_length(body).alias("_n"),
+                       F.xxhash64(F.translate(F.left(body, F.lit(prefix_chars)), UPPER, LOWER)).alias("_p"))
+    full_hash = F.pandas_udf(_full_hash, T.StringType())
+    hashed = settle(rows.join(survivors, ["_n", "_p"], "left_semi").select("id", full_hash(F.col("_body").cast("binary")).alias("digest")), "hashed")
+    groups = hashed.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return settle(hashed.join(groups, "digest").filter("id < keep_id").select("id").distinct(), "dropped")
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    return mark_duplicates(docs, id_col, text).filter("kept").select("_row.*")
+    """The rows of ``docs`` that stay, with their own columns; rows without an id are not dropped.
+
+    Whole rows move only if the dropped ids are more than Spark broadcasts by their size.
+    """
+    gone = dropped_ids(docs, id_col, text).withColumnRenamed("id", "_gone")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
