@@ -155,18 +155,20 @@ def local_kernel(
 def local_kriging(
     nbrs: DataFrame, by: Sequence[str], values: dict[str, str], length: Sequence[float], signal: float, noise: float,
     kernel: str = "matern32", feats: Sequence[str] = ("tx", "ty"), query_feats: Sequence[str] = ("qx", "qy"),
-    centers: dict[str, str] | None = None, variance: str | None = None,
+    centers: dict[str, str] | None = None, variance: str | None = None, scale: str | None = None,
 ) -> DataFrame:
     """Kriging means on each query's own neighbours; several targets share one factorisation.
 
     ``values`` maps output name -> train value column; ``centers`` names per-query constants (such as the
-    split mean) subtracted before and added after, else the neighbour mean is used; ``variance`` names an
-    output for the latent variance.  At most 128 rows per query, stacked by width in Arrow batches.
+    split mean) subtracted before and added after, else the neighbour mean is used.  ``signal`` and ``noise``
+    are those of the standardised target.  ``variance`` names an output for the latent variance of the first
+    target in its own unit: it is multiplied by the square of ``scale``, a per-query constant with the target's
+    population deviation in the split (else that of the neighbours).  At most 128 rows per query, stacked by width in Arrow batches.
     """
     f, q, names = list(feats), list(query_feats), list(values)
     centers = centers or {}
     ell = np.asarray(length, float)
-    keep = list(dict.fromkeys([*q, *centers.values()]))
+    keep = list(dict.fromkeys([*q, *centers.values(), *([scale] if scale else [])]))
     packed = nbrs.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("rank", *[F.col(values[n]).alias(f"v_{n}") for n in names], *f))).alias("_n"),
         *[F.first(c).alias(c) for c in keep])
@@ -203,7 +205,8 @@ def local_kriging(
                     cross = cov(((x - p[:, None, :]) ** 2).sum(-1))
                     sol = np.linalg.solve(gram, np.concatenate([y - mu[:, None, :], cross[:, :, None]], axis=2))
                     mean[at] = mu + np.einsum("bk,bkv->bv", cross, sol[:, :, :-1])
-                    var[at] = np.maximum(signal - (cross * sol[:, :, -1]).sum(1), 0.0)
+                    deviation = part[scale].to_numpy(float) if scale else y[:, :, 0].std(axis=1)
+                    var[at] = np.maximum(signal - (cross * sol[:, :, -1]).sum(1), 0.0) * deviation**2
             for i, k in enumerate(names):
                 out[k] = mean[:, i]
             if variance:

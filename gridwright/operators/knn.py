@@ -1,13 +1,18 @@
 """Exact k-nearest-neighbour join for data of any density.
 
 Both sides are range-partitioned along a Hilbert curve (split keys first) and cut into blocks of
-consecutive rows with tight bounding boxes.  Block pairs are pruned with box-to-box distance bounds,
-first on coarse groups of blocks and then on the blocks themselves, so only the block directory takes
-part in the search.  Surviving pairs ship their rows to one query block, where NumPy ranks a bounded
-number of candidates by (distance, train id).
+consecutive rows with tight bounding boxes; a query block is cut further until its box is of the size that
+a few train blocks have on average, down to single rows.  Block pairs are pruned with box-to-box distance
+bounds down a four-level directory: a node is dropped when the nearest nodes that together hold ``k`` rows
+all lie closer.  Surviving pairs ship their rows to the query block, where NumPy ranks them by (distance,
+train id); a query block with more than ``CANDIDATE_ROWS`` candidates is ranked in several parts of its
+train blocks, and the parts' first ``k`` are merged.
 
 Skew: a hot cell, split or coordinate is just more blocks.  More than ``k`` train rows at one
 coordinate are reduced to the ``k`` smallest ids, which is exact because the order is (distance, id).
+
+A query row with a NULL or NaN feature raises an error: it has no distance, and dropping it silently would
+hide it from its caller.  A train row with one is nobody's neighbour.
 """
 
 from __future__ import annotations
@@ -23,11 +28,9 @@ from pyspark.sql import types as T
 from gridwright.session import settle
 
 BLOCK_ROWS = 64
-MAX_K = 128
-FLAT_DIRECTORY = 8192  # train blocks; up to here the whole block directory is matched in one step
-FLAT_PAIRS = 50_000_000  # box tests of the one-step match; beyond it the directory is walked
-BROADCAST_ROWS = 200_000  # train rows; up to here the packed train side is small enough to ship
-
+MAX_K = 128  # part of the contract: a neighbourhood is a small window
+CANDIDATE_ROWS = 65_536  # train rows that one ranking step holds
+QUERY_BOX = 2.0  # side of a query box, in average sides of a train block
 
 CURVE_BITS = 20
 
@@ -65,13 +68,31 @@ def _block_schema(df: DataFrame, by: Sequence[str], feats: Sequence[str], id_col
     return T.StructType(fields) if d else T.StructType([])
 
 
-def _pack(df: DataFrame, by, feats, id_col, carry, low, step, per_coordinate: int | None) -> DataFrame:
-    """Blocks of consecutive curve rows, at most ``per_coordinate`` rows of one coordinate a piece."""
+def _cut(m: np.ndarray, limit: float | None) -> list[tuple[int, int]]:
+    """Row ranges of the blocks of consecutive curve rows ``m``; halved until the box is within ``limit``."""
+    todo = [(a, min(a + BLOCK_ROWS, len(m))) for a in range(0, len(m), BLOCK_ROWS)][::-1]
+    out = []
+    while todo:
+        a, b = todo.pop()
+        if limit is not None and b - a > 1 and np.ptp(m[a:b, :2], axis=0).max() > limit:
+            middle = (a + b) // 2
+            todo += [(middle, b), (a, middle)]
+        else:
+            out.append((a, b))
+    return out
+
+
+def _pack(df: DataFrame, by, feats, id_col, carry, low, step, per_coordinate: int | None, limit: float | None = None) -> DataFrame:
+    """Blocks of consecutive curve rows: of train rows with at most ``per_coordinate`` rows of one coordinate
+    a piece, of query rows (None) with boxes within ``limit``."""
     by, feats, carry = list(by), list(feats), list(carry)
     slim = df.select(*by, F.col(id_col).alias(id_col), *[F.col(c).cast("double").alias(c) for c in {*feats, *carry}])
-    # a NULL/NaN feature can be nobody's neighbour; callers assert completeness beforehand
     for f in feats:
-        slim = slim.filter(F.col(f).isNotNull() & ~F.isnan(f))
+        if per_coordinate is None:
+            missing = F.raise_error(F.lit(f"query row without {f}")).cast("double")
+            slim = slim.withColumn(f, F.when(F.col(f).isNull() | F.isnan(f), missing).otherwise(F.col(f)))
+        else:
+            slim = slim.filter(F.col(f).isNotNull() & ~F.isnan(f))
     slim = slim.withColumn("_z", curve_position(F.col(feats[0]), F.col(feats[1]), low, step))
     order = [F.col(c) for c in [*by, "_z", *feats, id_col]]
     placed = slim.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -86,8 +107,8 @@ def _pack(df: DataFrame, by, feats, id_col, carry, low, step, per_coordinate: in
         def emit(part: pd.DataFrame):
             nonlocal seq
             out = []
-            for start in range(0, len(part), BLOCK_ROWS):
-                p = part.iloc[start:start + BLOCK_ROWS]
+            for start, stop in _cut(part[feats].to_numpy(float), limit):
+                p = part.iloc[start:stop]
                 m = p[feats].to_numpy(float)
                 row = {c: p[c].iloc[0] for c in by}
                 row.update(block=base + seq, rows=len(p), box_lo=m.min(0).tolist(), box_hi=m.max(0).tolist(),
@@ -177,13 +198,15 @@ def _bounds(nodes: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
 def _prune(state: DataFrame, d: int, k: int, radius: float | None) -> DataFrame:
     """Drop nodes that cannot hold a neighbour of any row of the query block."""
     state = state.withColumn("_near", _gap(d, "min")).withColumn("_far", _gap(d, "max"))
-    enough = F.when(F.col("n") >= k, F.col("_far"))
-    best = F.min(enough).over(W.partitionBy("q_block"))
+    # the nearest nodes that hold k rows together bound the k-th distance of every row of the block
+    upto = F.sum("n").over(W.partitionBy("q_block").orderBy("_far").rowsBetween(W.unboundedPreceding, 0))
+    state = state.withColumn("_upto", upto)
+    best = F.min(F.when(F.col("_upto") >= k, F.col("_far"))).over(W.partitionBy("q_block"))
     state = state.withColumn("reach", F.least(F.col("reach"), best))
     keep = F.col("_near") <= F.col("reach") * (1 + 1e-12)
     if radius is not None:
         keep = keep & (F.col("_near") <= radius)
-    return state.filter(keep).drop("_near", "_far")
+    return state.filter(keep).drop("_near", "_far", "_upto")
 
 
 def knn_join(
@@ -214,46 +237,52 @@ def knn_join(
     extent = train.agg(
         F.min(feats[0]).alias("x0"), F.min(feats[1]).alias("y0"),
         F.greatest(F.max(feats[0]) - F.min(feats[0]), F.max(feats[1]) - F.min(feats[1])).alias("span"),
+        (F.count(F.lit(1)) / F.greatest(F.lit(1), F.approx_count_distinct(F.struct(*by)) if by else F.lit(1))).alias("rows"),
     ).first()
     low = (float(extent["x0"] or 0.0), float(extent["y0"] or 0.0))
     step = max(float(extent["span"] or 0.0), 1e-9) / (2**CURVE_BITS - 1)
     tb = settle(_pack(train, by, feats, train_id, carry, low, step, want)).withColumnRenamed("block", "t_block")
     # query rows outside the train extent are clamped to its edge; only the block layout depends on it
-    qb = settle(_pack(query, by, feats, query_id, [], low, step, None)).withColumnRenamed("block", "q_block")
+    limit = QUERY_BOX * float(extent["span"] or 0.0) * (max(BLOCK_ROWS, want) / max(1.0, extent["rows"])) ** 0.5
+    qb = settle(_pack(query, by, feats, query_id, [], low, step, None, limit)).withColumnRenamed("block", "q_block")
 
     leaves = tb.select(*by, "t_block", F.col("rows").alias("n"), F.col("box_lo").alias("lo"), F.col("box_hi").alias("hi"))
-    sizes = leaves.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("rows")).first()
     state = qb.select(*by, "q_block", F.col("box_lo").alias("q_lo"), F.col("box_hi").alias("q_hi"),
                       F.lit(float("inf")).alias("reach"))
     if not by:
         leaves, state = leaves.withColumn("_all", F.lit(0)), state.withColumn("_all", F.lit(0))
     on = by or ["_all"]
 
-    if int(sizes["blocks"] or 0) <= FLAT_DIRECTORY and qb.count() * int(sizes["blocks"] or 0) <= FLAT_PAIRS:
-        pairs = _prune(state.join(F.broadcast(leaves), on), d, want, radius)  # size checked just above
-    else:
-        # groups of 64 blocks, range pieces, groups of 64 pieces: a fixed four-level directory
-        leaves = leaves.withColumn("p", F.shiftright("t_block", 32)).withColumn("pp", F.shiftright("p", 6)).withColumn(
-            "s", F.shiftright(F.col("t_block").bitwiseAND(F.lit(0xFFFFFFFF)), 6))
-        level1 = _bounds(leaves, [*on, "pp", "p", "s"], d)
-        level2 = _bounds(level1, [*on, "pp", "p"], d)
-        level3 = _bounds(level2, [*on, "pp"], d)
-        node = ["n", "lo", "hi"]
-        pairs = _prune(state.join(level3, on), d, want, radius).drop(*node)
-        pairs = _prune(pairs.join(level2, [*on, "pp"]), d, want, radius).drop(*node)
-        pairs = _prune(pairs.join(level1, [*on, "pp", "p"]), d, want, radius).drop(*node)
-        pairs = _prune(pairs.join(leaves, [*on, "pp", "p", "s"]), d, want, radius)
-    links = pairs.select(F.col("q_block").alias("for_block"), "t_block")
+    # groups of 64 blocks, range pieces, groups of 64 pieces: a fixed four-level directory
+    leaves = leaves.withColumn("_p", F.shiftright("t_block", 32)).withColumn("_pp", F.shiftright("_p", 6)).withColumn(
+        "_s", F.shiftright(F.col("t_block").bitwiseAND(F.lit(0xFFFFFFFF)), 6))
+    level1 = _bounds(leaves, [*on, "_pp", "_p", "_s"], d)
+    level2 = _bounds(level1, [*on, "_pp", "_p"], d)
+    level3 = _bounds(level2, [*on, "_pp"], d)
+    node = ["n", "lo", "hi"]
+    pairs = _prune(state.join(level3, on), d, want, radius).drop(*node)
+    pairs = _prune(pairs.join(level2, [*on, "_pp"]), d, want, radius).drop(*node)
+    pairs = _prune(pairs.join(level1, [*on, "_pp", "_p"]), d, want, radius).drop(*node)
+    pairs = _prune(pairs.join(leaves, [*on, "_pp", "_p", "_s"]), d, want, radius)
+    links = settle(pairs.select("q_block", "t_block", "n"))
+    load = links.groupBy("q_block").agg(F.ceil(F.sum("n") / CANDIDATE_ROWS).alias("_parts"))
+    parts = load.agg(F.max("_parts")).first()[0] or 1
 
     packed = tb.select("t_block", F.col("ids").alias("t_ids"), F.col("xs").alias("t_xs"), *[f"c_{c}" for c in carry])
-    small = int(sizes["rows"] or 0) <= BROADCAST_ROWS
-    candidates = links.join(F.broadcast(packed) if small else packed, "t_block")
+    left = qb.select(*by, "q_block", "ids", "xs")
+    if parts > 1:
+        links = links.join(load, "q_block").withColumn("part", F.pmod(F.xxhash64("t_block"), F.col("_parts")).cast("int"))
+        left = left.join(load, "q_block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts").cast("int") - 1)))
+    else:
+        links, left = links.withColumn("part", F.lit(0)), left.withColumn("part", F.lit(0))
+    candidates = links.select(F.col("q_block").alias("for_block"), F.col("part").alias("for_part"), "t_block").join(packed, "t_block")
 
     fields = [T.StructField(c, query.schema[c].dataType) for c in by]
     fields += [
         T.StructField("query_id", query.schema[query_id].dataType),
         T.StructField("train_id", train.schema[train_id].dataType),
         T.StructField("rank", T.IntegerType()), T.StructField("d", T.DoubleType()),
+        T.StructField("q_block", T.LongType()), T.StructField("q_row", T.IntegerType()),
     ]
     fields += [T.StructField(c, T.DoubleType()) for c in carry]
     names = [f.name for f in fields]
@@ -307,13 +336,16 @@ def knn_join(
             keep &= dv <= radius
         r, c, dv, pos = r[keep], c[keep], dv[keep], pos[keep]
         frame = {b: [q[b]] * len(r) for b in by}
-        frame.update(query_id=qid[r], train_id=tid[c], rank=(pos + 1).astype("int32"), d=dv)
+        frame.update(query_id=qid[r], train_id=tid[c], rank=(pos + 1).astype("int32"), d=dv, q_block=[q["q_block"]] * len(r), q_row=r.astype("int32"))
         frame.update({name: v[c] for name, v in extra.items()})
         return pd.DataFrame(frame, columns=names)
 
-    left = qb.select(*by, "q_block", "ids", "xs")
-    result = left.groupBy("q_block").cogroup(candidates.groupBy("for_block")).applyInPandas(
+    result = left.groupBy("q_block", "part").cogroup(candidates.groupBy("for_block", "for_part")).applyInPandas(
         rank_block, T.StructType(fields))
+    if parts > 1:  # at most k rows from each part
+        first = W.partitionBy("q_block", "q_row").orderBy("d", "train_id")
+        result = result.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+    result = result.drop("q_block", "q_row")
     for c in carry:
         result = result.withColumn(c, F.when(F.isnan(c), None).otherwise(F.col(c)))
     return result

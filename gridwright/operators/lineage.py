@@ -88,15 +88,6 @@ def contiguous_chunks(chunks: DataFrame, by: Sequence[str], total: Column) -> Da
     return ends.join(bad, list(by)).select(*by, "first", "last", "covered", "breaks", ok.alias("complete"))
 
 
-# Object -> engineering material prior; the metal roof is the conductor.
-MATERIAL_PRIORS = (
-    ("metal_roof", "metal"), ("limestone_solid", "marble"), ("glass_solid", "glass"), ("building_base", "concrete"),
-    ("ground_asphalt", "concrete"), ("ground_water", "wet_ground"), ("ground_vegetation", "medium_dry_ground"),
-    ("ground_stone", "marble"),
-)
-CONDUCTORS = ("metal_roof",)
-
-
 def material_arms(objects: DataFrame, seeds: DataFrame) -> DataFrame:
     """(arm_id, kind, object, label): uniform, semantic, and one label shuffle per seed.
 
@@ -119,12 +110,6 @@ def material_arms(objects: DataFrame, seeds: DataFrame) -> DataFrame:
     return uniform.unionByName(semantic).unionByName(shuffled).unionByName(fixed)
 
 
-def arm_fingerprints(arms: DataFrame) -> DataFrame:
-    """One assignment string per arm; equal strings mean a repeated arm."""
-    pair = F.concat_ws("=", "object", "label")
-    return arms.groupBy("arm_id", "kind").agg(F.array_join(F.sort_array(F.collect_list(pair)), ";").alias("assignment"))
-
-
 # Labels and patterns of text that must not be released.
 SENSITIVE_PATTERNS = (
     ("Windows absolute path", r"(?i)(?<![A-Z0-9_])[A-Z]:[\\/]"),

@@ -39,6 +39,14 @@ def _shift(cells: DataFrame, by: Sequence[str], offsets, rows: int | None = None
     return out.distinct()
 
 
+def packed_cell(row: Column, col: Column, bits: int) -> Column:
+    """row * 2^bits + col as one long; raises where the two would not come apart again."""
+    fits = row.between(0, 2 ** (48 - bits) - 1) & col.between(0, 2**bits - 1)
+    return F.when(fits, row.cast("bigint") * F.lit(2**bits) + col.cast("bigint")).otherwise(
+        F.raise_error(F.concat(F.lit("cell outside the packed range: "), F.coalesce(row.cast("string"), F.lit("null")), F.lit(", "),
+                               F.coalesce(col.cast("string"), F.lit("null")))).cast("bigint"))
+
+
 def frontier(cells: DataFrame, by: Sequence[str], rows: int | None = None, cols: int | None = None) -> DataFrame:
     """Cells outside the set that touch it by an edge."""
     key = [*by, "row", "col"]
@@ -86,7 +94,9 @@ def components(cells: DataFrame, by: Sequence[str], tile: int = 256) -> DataFram
     """
     by = list(by)
     span = 2**31
-    rows = cells.select(*by, F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")).distinct()
+    # row * span + col names a cell uniquely only while columns stay within half of the span
+    within = lambda c, most: F.when(F.abs(c) < most, c).otherwise(F.raise_error(F.concat(F.lit("cell out of range: "), c.cast("string"))).cast("bigint"))
+    rows = cells.select(*by, within(F.col("row").cast("bigint"), 2**31).alias("row"), within(F.col("col").cast("bigint"), 2**30).alias("col")).distinct()
     rows = rows.withColumn("_tr", F.floor(F.col("row") / tile)).withColumn("_tc", F.floor(F.col("col") / tile))
     schema = T.StructType([rows.schema[c] for c in (*by, "row", "col", "_tr", "_tc")] + [T.StructField("local", T.LongType())])
 
@@ -149,6 +159,8 @@ def distance_raster(edges: DataFrame, rows: int, cols: int) -> DataFrame:
     """(row, col, distance): exact Euclidean distance of every raster cell to the nearest edge cell."""
     spark = edges.sparkSession
     span = 2**31
+    if not (0 < cols < span and 0 < rows < span):
+        raise ValueError("rows and cols must lie in 1..2^31 - 1")
     grid = spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"))
     place = lambda df: df.select((F.col("row") * span + F.col("col")).cast("bigint").alias("point_id"),
                                  F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
@@ -172,9 +184,10 @@ def assign_levels(cells: DataFrame, levels: DataFrame, min_cells: DataFrame, zon
     size = attach(size, min_cells, [zone]).filter(F.col("_n") >= F.col("min_cells"))
     kept = settle(known.join(size.select(zone, "_l", "component"), [zone, "_l", "component"], "left_semi").select(*key, F.col("_l").cast("int").alias("level")))
     rest = t.join(kept.select(*key), key, "left_anti")
-    # the id orders equal distances by level first
-    ident = lambda lv: (lv.cast("bigint") * F.lit(2**48) + F.col("row") * F.lit(2**24) + F.col("col")).cast("bigint")
-    q = rest.select(zone, (F.col("row") * F.lit(2**24) + F.col("col")).cast("bigint").alias("point_id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    # the id orders equal distances by level first; cells come back from it, so they must fit 24 bits each
+    cell = packed_cell(F.col("row"), F.col("col"), 24)
+    ident = lambda lv: lv.cast("bigint") * F.lit(2**48) + cell
+    q = rest.select(zone, cell.alias("point_id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
     s = kept.select(zone, ident(F.col("level")).alias("point_id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
     near = knn_join(q, s, 1, [zone]).select(
         zone, F.floor(F.col("query_id") / 2**24).alias("row"), (F.col("query_id") % 2**24).alias("col"),

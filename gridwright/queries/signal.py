@@ -173,7 +173,9 @@ def _(spark, sf):
 
 @query("local_kriging_i8")
 def _(spark, sf):
-    return interp.local_kriging(placed(spark, sf, 64), KEYS, {"pred": "v"}, (50.0, 50.0), 1.0, 0.05, variance="latent_var")
+    spread = fx.base_gain(spark, sf).filter("role='train'").groupBy("band").agg(F.stddev_pop("observed_dbm").alias("deviation"))
+    near = attach(placed(spark, sf, 64), spread, ["band"])
+    return interp.local_kriging(near, KEYS, {"pred": "v"}, (50.0, 50.0), 1.0, 0.05, variance="latent_var", scale="deviation")
 
 
 @query("rbf_residual_i8")

@@ -29,13 +29,34 @@ def clustered(n, seed):
     return pd.DataFrame({"point_id": rng.permutation(n), "x": xy[:, 0], "y": xy[:, 1], "z": rng.uniform(0, 5, n)})
 
 
-@pytest.mark.parametrize("flat", [8192, 0])
-def test_matches_brute_force_with_a_hot_cell(spark, monkeypatch, flat):
-    monkeypatch.setattr(knn, "FLAT_DIRECTORY", flat)
-    monkeypatch.setattr(knn, "BROADCAST_ROWS", 100 if flat == 0 else 200_000)
+@pytest.mark.parametrize("k,budget", [(7, 65_536), (7, 100), (65, 65_536), (128, 200)])
+def test_matches_brute_force_with_a_hot_cell(spark, monkeypatch, k, budget):
+    monkeypatch.setattr(knn, "CANDIDATE_ROWS", budget)
     p = clustered(900, 1)
     q, t = p.iloc[::4], p.drop(p.index[::4])
-    assert run(spark, q, t, 7) == brute(q, t, 7)
+    assert run(spark, q, t, k) == brute(q, t, k)
+
+
+@pytest.mark.parametrize("k", [8, 65, 128])
+def test_sparse_queries_meet_few_train_blocks(spark, monkeypatch, k):
+    kept = []
+    plain = knn.settle
+    monkeypatch.setattr(knn, "settle", lambda df: kept.append(plain(df)) or kept[-1])
+    t, q = clustered(20_000, 6), clustered(30, 7)
+    q.loc[:, ["x", "y"]] = np.random.default_rng(8).uniform(0, 1000, (30, 2))
+    got = run(spark, q, t, k)
+    assert got == brute(q, t, k)
+    train, links = kept[0].count(), kept[-1].groupBy("q_block").agg({"n": "sum"}).toPandas()
+    assert links["sum(n)"].mean() <= 20_000 / 5 and kept[-1].count() < 0.2 * len(links) * train
+
+
+def test_a_query_without_coordinates_is_an_error(spark):
+    t = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0)], "point_id long, x double, y double")
+    for x in (None, float("nan")):
+        q = spark.createDataFrame([(9, x, 1.0)], "point_id long, x double, y double")
+        for call in (lambda: knn.knn_join(q, t, 1), lambda: knn.buffer_exclude(q, t, 5.0)):
+            with pytest.raises(Exception, match="query row without x"):
+                call().collect()
 
 
 def test_one_coordinate_holds_everything(spark):

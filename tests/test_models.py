@@ -17,19 +17,21 @@ def test_scoring_pair_joins_by_id(spark):
 
 def test_kriging_equals_dense_solution(spark):
     rng = np.random.default_rng(1)
-    xy, y = rng.uniform(0, 200, (60, 2)), rng.normal(0, 1, 60)
+    xy, y = rng.uniform(0, 200, (60, 2)), rng.normal(0, 7, 60)
     q = rng.uniform(0, 200, (15, 2))
     f = lambda a, s: pd.DataFrame({"point_id": range(s, s + len(a)), "x": a[:, 0], "y": a[:, 1]})
     t = f(xy, 0).assign(v=y)
     n = knn.knn_join(spark.createDataFrame(f(q, 100)), spark.createDataFrame(t), 60, carry=["v", "x", "y"]).withColumnsRenamed({"x": "tx", "y": "ty"})
     n = n.join(spark.createDataFrame(f(q, 100)).select(F.col("point_id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy")), "query_id")
-    n = n.withColumn("m", F.lit(float(y.mean())))
-    got = interp.local_kriging(n, ["query_id"], {"p": "v"}, (50.0, 50.0), 1.0, 0.05, centers={"p": "m"}, variance="s").toPandas().sort_values("query_id")
+    n = n.withColumn("m", F.lit(float(y.mean()))).withColumn("dev", F.lit(float(y.std())))
+    got = interp.local_kriging(n, ["query_id"], {"p": "v"}, (50.0, 50.0), 1.0, 0.05, centers={"p": "m"}, variance="s", scale="dev").toPandas().sort_values("query_id")
     cov = lambda a, b: (lambda z: (1 + z) * np.exp(-z))(np.sqrt(3) * np.linalg.norm((a[:, None] - b[None]) / 50, axis=2))
     k = cov(xy, xy) + np.eye(60) * (0.05 + 1e-8)
     c = cov(q, xy)
     assert np.allclose(got.p, y.mean() + c @ np.linalg.solve(k, y - y.mean()), atol=1e-6)
-    assert np.allclose(got.s, 1 - (c * np.linalg.solve(k, c.T).T).sum(1), atol=1e-6)
+    # the same process stated in the target's unit
+    own = y.var() * c
+    assert np.allclose(got.s, y.var() - (own * np.linalg.solve(y.var() * k, own.T).T).sum(1), atol=1e-6)
 
 
 def test_supported_calibration_reaches_the_bounded_optimum(spark):
