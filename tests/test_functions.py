@@ -7,10 +7,12 @@ from gridwright.functions import columns, quantiles
 from gridwright.functions.ranking import global_position
 
 
-@pytest.mark.parametrize("small", [4096, 5])
-def test_quantiles_equal_numpy(spark, monkeypatch, small):
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", small)
-    monkeypatch.setattr(quantiles, "BRACKET_MARGIN", 0.02)
+@pytest.mark.parametrize("accuracy,margin,buckets", [(10_000, 8.0, 1024), (50, 1.0, 4), (5, 0.0, 2)])
+def test_quantiles_equal_numpy(spark, monkeypatch, accuracy, margin, buckets):
+    # the last two miss brackets and leave many values in a bucket
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "BRACKET_MARGIN", margin)
+    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
     rng = np.random.default_rng(5)
     p = pd.DataFrame({"g": rng.choice(["a", "b", "hot"], 3000, p=[0.1, 0.2, 0.7]), "v": rng.normal(0, 1, 3000).round(2)})
     p.loc[p.index[:900], "v"] = 0.25  # many ties
@@ -20,6 +22,12 @@ def test_quantiles_equal_numpy(spark, monkeypatch, small):
         assert np.allclose(got.loc[g, list("mnopq")].astype(float), np.quantile(part.v, probs))
 
 
+def test_quantiles_with_infinite_values(spark):
+    v = [float("-inf"), 1.0, 2.0, 3.0, float("inf")]
+    row = quantiles.exact_quantiles(spark.createDataFrame([(x,) for x in v], "v double"), [], "v", [0.25, 0.5, 0.75], list("abc"), lower=True).first()
+    assert (row.a, row.b, row.c) == (1.0, 2.0, 3.0)
+
+
 def test_global_position_is_row_number(spark):
     rng = np.random.default_rng(6)
     p = pd.DataFrame({"g": rng.choice(["a", "b", "hot"], 2000, p=[0.1, 0.2, 0.7]), "v": rng.integers(0, 20, 2000), "id": range(2000)})
