@@ -19,9 +19,9 @@ def scratch(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
 
 
-@query("read_points_s1_k1", "SELECT CAST(point_id AS VARCHAR) AS point_id, x, y, z, band, role, CASE WHEN role='train' THEN observed_dbm END AS observed_dbm FROM f_points WHERE band='n41'")
+@query("read_points_s1_k1", "SELECT CAST(point_id AS VARCHAR) AS point_id, x, y, z, band, role, CASE WHEN role='train' THEN observed_dbm END AS observed_dbm FROM f_points")
 def _(spark, sf):
-    p = fx.points(spark, sf).filter("band='n41'").withColumn("point_id", F.col("point_id").cast("string")).withColumn(
+    p = fx.points(spark, sf).withColumn("point_id", F.col("point_id").cast("string")).withColumn(
         "observed_dbm", F.when(F.col("role") == "train", F.col("observed_dbm")))
     path = scratch(spark)
     tables.write_result(p.select([f.name for f in tables.POINT_SCHEMA.fields]), path, fmt="csv")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright import fixtures as fx
@@ -90,11 +93,11 @@ def _(spark, sf):
     return contracts.id_set_difference(a, b, ["point_id"])
 
 
-@query("union_folds_u1", "SELECT outer_fold, method, count(*) AS n, avg(pred) AS mean_pred FROM f_pred WHERE outer_fold IN (0,3) GROUP BY ALL")
+@query("union_folds_u1", "SELECT outer_fold, method, count(*) AS n, avg(pred) AS mean_pred FROM f_pred GROUP BY ALL")
 def _(spark, sf):
     p = fx.predictions(spark, sf)
-    both = p.filter("outer_fold = 0").unionByName(p.filter("outer_fold = 3"))
-    return both.groupBy("outer_fold", "method").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("mean_pred"))
+    whole = reduce(DataFrame.unionByName, [p.filter(F.col("outer_fold") == k) for k in range(5)])
+    return whole.groupBy("outer_fold", "method").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("mean_pred"))
 
 
 @query("coordinate_audit_p10", """WITH m AS (SELECT s_suppkey, CASE WHEN s_suppkey%3=0 THEN '' ELSE 'local_enu' END AS crs, CASE WHEN s_suppkey%4=0 THEN 'XZY' ELSE 'ENU' END AS axis_order, CASE WHEN s_suppkey%5=0 THEN 'cm' ELSE 'm' END AS unit, CASE s_suppkey%3 WHEN 0 THEN '' WHEN 1 THEN 'survey' ELSE 'candidate' END AS origin, s_suppkey%2=0 AS alt FROM supplier)
@@ -187,12 +190,12 @@ def _(spark, sf):
     return lineage.pending_runs(runs.select("run_id", "fingerprint"), status).select("run_id", "state")
 
 
-@query("frozen_then_score_l4", "SELECT band, count(*) AS n, avg(abs(pred-observed_dbm)) AS mae_db, sqrt(avg((pred-observed_dbm)*(pred-observed_dbm))) AS rmse_db FROM f_pred WHERE method='M4' AND role='query' GROUP BY band")
+@query("frozen_then_score_l4", "SELECT band, method, count(*) AS n, avg(abs(pred-observed_dbm)) AS mae_db, sqrt(avg((pred-observed_dbm)*(pred-observed_dbm))) AS rmse_db FROM f_pred WHERE role='query' GROUP BY band, method")
 def _(spark, sf):
-    p = fx.predictions(spark, sf).filter("method='M4' and role='query'").select("band", "point_id", "pred")
-    truth = lambda: fx.predictions(spark, sf).filter("method='M4' and role='query'").select("point_id", "observed_dbm")
-    s = score.error_metrics(lineage.frozen_then_score(p, truth, ["point_id"]), ["band"], quantiles=False)
-    return s.select("band", F.col("total_n").alias("n"), "mae_db", "rmse_db")
+    p = fx.predictions(spark, sf).filter("role='query'").select("band", "method", "point_id", "pred")
+    truth = lambda: fx.predictions(spark, sf).filter("role='query'").select("method", "point_id", "observed_dbm")
+    s = score.error_metrics(lineage.frozen_then_score(p, truth, ["method", "point_id"]), ["band", "method"], quantiles=False)
+    return s.select("band", "method", F.col("total_n").alias("n"), "mae_db", "rmse_db")
 
 
 @query("contiguous_chunks_l5", """WITH c AS (SELECT o_custkey%40 AS g, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey%40 ORDER BY o_orderkey)-1 AS k, count(*) OVER (PARTITION BY o_custkey%40) AS n FROM orders), d AS (SELECT g, n, k*10 AS start, k*10+10-CASE WHEN g%4=0 AND k=2 THEN 1 ELSE 0 END AS stop FROM c)

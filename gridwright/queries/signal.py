@@ -185,9 +185,9 @@ def _(spark, sf):
 
 @query("tree_regressor_i9")
 def _(spark, sf):
-    b = fx.base_gain(spark, sf).filter("band='n41'").withColumn("raw", F.coalesce("raw", F.lit(0.0))).withColumn("los", F.col("los").cast("double"))
-    out = interp.tree_regressor(b.filter("role='train'"), b.filter("role='query'"), ["x", "y", "raw", "los"], "observed_dbm", trees=10, depth=5)
-    return out.select("point_id", "pred")
+    b = fx.base_gain(spark, sf).withColumn("raw", F.coalesce("raw", F.lit(0.0))).withColumn("los", F.col("los").cast("double"))
+    one = lambda band: interp.tree_regressor(band.filter("role='train'"), band.filter("role='query'"), ["x", "y", "raw", "los"], "observed_dbm", trees=10, depth=5)
+    return one(b.filter("band='n41'")).unionByName(one(b.filter("band='n79'"))).select("band", "point_id", "pred")
 
 
 @query("date_only_idw_i7", f"""WITH c AS (SELECT band, date, count(*) AS n FROM f_train GROUP BY ALL),
@@ -243,7 +243,7 @@ def _(spark, sf):
     return calibrate.select_config(fit_gains(spark, sf), ["band", "family"], 100)
 
 
-CLASS = """WITH t AS (SELECT g.band, g.config_id, log10(greatest(b.d3,1e0)) AS l, CASE WHEN g.los THEN 0e0 ELSE 1e0 END AS n, b.observed_dbm-g.gain_db AS y FROM f_gains g JOIN f_base b USING (point_id) WHERE b.role='train' AND g.gain_db IS NOT NULL AND g.config_ord<=2),
+CLASS = """WITH t AS (SELECT g.band, g.config_id, log10(greatest(b.d3,1e0)) AS l, CASE WHEN g.los THEN 0e0 ELSE 1e0 END AS n, b.observed_dbm-g.gain_db AS y FROM f_gains g JOIN f_base b USING (point_id) WHERE b.role='train' AND g.gain_db IS NOT NULL),
  q AS (SELECT t.*, l-c AS q, c FROM t JOIN (SELECT band, config_id, avg(l) AS c FROM t GROUP BY ALL) USING (band, config_id))"""
 CLASS_SOLVE = solve_sql(4, f"""SELECT band, config_id, ridge, any_value(c) AS center, CAST(count(*) AS DOUBLE) AS n, {normal_sql(['1e0', 'q', 'n', 'q*n'], '1e0', 'y', ['0e0', 'ridge', 'ridge', 'ridge'])} FROM q, (VALUES (1e0),(5e0),(20e0)) k(ridge) GROUP BY band, config_id, ridge""",
                          "band, config_id, ridge, center, n", "x0 AS c0, x1 AS c1, x2 AS c2, x3 AS c3")
@@ -251,14 +251,14 @@ CLASS_SOLVE = solve_sql(4, f"""SELECT band, config_id, ridge, any_value(c) AS ce
 
 @query("class_ridge_a12", f"{CLASS} {CLASS_SOLVE}")
 def _(spark, sf):
-    return calibrate.class_ridge(fit_gains(spark, sf).filter("config_ord <= 2"), ["band", "config_id"], [1.0, 5.0, 20.0])
+    return calibrate.class_ridge(fit_gains(spark, sf), ["band", "config_id"], [1.0, 5.0, 20.0])
 
 
 @query("select_config_ridge_a14", f"""{CLASS}, fit AS ({CLASS_SOLVE})
  SELECT band, ridge, config_id, fit_rmse FROM (SELECT *, row_number() OVER (PARTITION BY band, ridge ORDER BY fit_rmse, config_id) AS rn FROM (
  SELECT band, ridge, config_id, sqrt(avg(power(y-(c0+c1*q+c2*q.n+c3*q*q.n),2))) AS fit_rmse FROM q JOIN fit USING (band, config_id) GROUP BY band, ridge, config_id)) WHERE rn=1""")
 def _(spark, sf):
-    return calibrate.select_config_ridge(fit_gains(spark, sf).filter("config_ord <= 2"), ["band"], [1.0, 5.0, 20.0], 4).select("band", "ridge", "config_id", "fit_rmse")
+    return calibrate.select_config_ridge(fit_gains(spark, sf), ["band"], [1.0, 5.0, 20.0], 4).select("band", "ridge", "config_id", "fit_rmse")
 
 
 @query("affine_trend_a13", """WITH m AS (SELECT band, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, avg(observed_dbm) AS b0 FROM f_train GROUP BY band),
