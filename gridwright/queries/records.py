@@ -220,18 +220,25 @@ def _(spark, sf):
 TOKEN_RULE = ("token assignment", r'token\s*=\s*"[0-9a-f]+')
 
 
-@query("sensitive_text_scan_l7", """WITH h AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(^|[^A-Z0-9_])[A-Z]:[\\\\/]') THEN 'Windows absolute path;' ELSE '' END||CASE WHEN regexp_matches(text, '(^|[^\\w.])/(home|Users)/[A-Za-z0-9_.-]+/') THEN 'home absolute path;' ELSE '' END||
-  CASE WHEN regexp_matches(text, '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----') THEN 'private key;' ELSE '' END||CASE WHEN regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') THEN 'AWS access key;' ELSE '' END||CASE WHEN regexp_matches(text, 'token\\s*=\\s*"[0-9a-f]+') THEN 'token assignment;' ELSE '' END AS findings FROM documents)
- SELECT * FROM h WHERE findings<>''""")
+# the credential rule's look-ahead is written as a second test of the value, which the oracle's expressions can state
+FINDINGS = """h AS (SELECT doc_id, list_filter([
+  CASE WHEN regexp_matches(text, '(?i)(^|[^A-Z0-9_])[A-Z]:[\\\\/]') THEN 'Windows absolute path' END,
+  CASE WHEN regexp_matches(text, '(^|[^\\w.])/(home|Users)/[A-Za-z0-9_.-]+/') THEN 'home absolute path' END,
+  CASE WHEN regexp_matches(text, '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----') THEN 'private key' END,
+  CASE WHEN regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') THEN 'AWS access key' END,
+  CASE WHEN len(list_filter(regexp_extract_all(text, '(?i)\\b(?:api[_-]?key|access[_-]?token|secret[_-]?key|password)\\s*[:=]\\s*[''"]?([A-Za-z0-9_./+=-]{12,})', 1),
+    lambda v: NOT regexp_matches(v, '(?i)^(placeholder|example|changeme)'))) > 0 THEN 'credential assignment' END,
+  CASE WHEN regexp_matches(text, 'token\\s*=\\s*"[0-9a-f]+') THEN 'token assignment' END], lambda x: x IS NOT NULL) AS f FROM documents)"""
+
+
+@query("sensitive_text_scan_l7", f"WITH {FINDINGS} SELECT doc_id, array_to_string(f, ';')||';' AS findings FROM h WHERE len(f) > 0")
 def _(spark, sf):
-    rules = [r for r in lineage.SENSITIVE_PATTERNS if r[0] != "credential assignment"] + [TOKEN_RULE]
-    d = lineage.sensitive_text_scan(fx.table(spark, sf, "documents"), "text", rules)
+    d = lineage.sensitive_text_scan(fx.table(spark, sf, "documents"), "text", [*lineage.SENSITIVE_PATTERNS, TOKEN_RULE])
     return d.select("doc_id", F.array_join(F.transform("findings", lambda v: F.concat(v, F.lit(";"))), "").alias("findings"))
 
 
-@query("sensitive_text_counts_l7")
+@query("sensitive_text_counts_l7", f"WITH {FINDINGS} SELECT finding, count(*) AS documents FROM (SELECT unnest(f) AS finding FROM h) GROUP BY finding")
 def _(spark, sf):
-    # the credential rule needs a look-ahead, which the oracle's regular expressions lack
     d = lineage.sensitive_text_scan(fx.table(spark, sf, "documents"), "text", [*lineage.SENSITIVE_PATTERNS, TOKEN_RULE])
     return d.select(F.explode("findings").alias("finding")).groupBy("finding").agg(F.count(F.lit(1)).alias("documents"))
 
