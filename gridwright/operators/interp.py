@@ -146,10 +146,10 @@ def local_kernel(
         width = F.greatest("_s", F.lit(5.0))
         cols = [F.lit(1.0)] + [(F.col(t) - F.col(q)) / width for t, q in offsets]
         fit = _solve_intercept(near, by, value, cols, F.col("_w"), [0.0] + [1.0] * len(offsets), name)
+        fit = fit.join(near.groupBy(*by).agg(F.min(low).alias("_lo"), F.max(high).alias("_hi")), list(by))
     else:
-        fit = near.groupBy(*by).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(name))
-    bounds = near.groupBy(*by).agg(F.min(low).alias("_lo"), F.max(high).alias("_hi"))
-    return fit.join(bounds, list(by)).withColumn(name, F.greatest("_lo", F.least("_hi", name))).drop("_lo", "_hi")
+        fit = near.groupBy(*by).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(name), F.min(low).alias("_lo"), F.max(high).alias("_hi"))
+    return fit.withColumn(name, F.greatest("_lo", F.least("_hi", name))).drop("_lo", "_hi")
 
 
 def local_kriging(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -132,14 +133,19 @@ def read_ply(spark: SparkSession, path: str, scale: float = 1.0) -> tuple[DataFr
 VOXEL_RECORD = np.dtype([("ix", "<i4"), ("iy", "<i4"), ("iz", "<i4"), ("label", "u1"), ("confidence", "u1"), ("count", "<u2")])
 
 
+def _joined(records: Iterator[bytes], size: int = 4096) -> Iterator[tuple[bytearray]]:
+    while part := b"".join(islice(records, size)):
+        yield (bytearray(part),)
+
+
 def read_voxels(spark: SparkSession, path: str) -> DataFrame:
     """Packed records; the fixed record length lets a file be read by many tasks."""
     records = spark.sparkContext.binaryRecords(path, VOXEL_RECORD.itemsize)
-    return unpack_voxels(spark.createDataFrame(records.map(lambda r: (bytearray(r),)), "record binary"))
+    return unpack_voxels(spark.createDataFrame(records.mapPartitions(_joined), "record binary"))
 
 
 def unpack_voxels(raw: DataFrame) -> DataFrame:
-    """``raw(record BINARY)`` of sixteen bytes each -> voxel columns."""
+    """``raw(record BINARY)``, each a whole number of sixteen-byte records -> voxel columns."""
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             a = np.frombuffer(b"".join(bytes(r) for r in f["record"]), dtype=VOXEL_RECORD)
