@@ -5,8 +5,9 @@ inverted list per (label, pivot) holds the vectors that name the pivot; two vect
 pair when they share at least ``SHARED`` pivots, and a candidate is verified by its cosine in double precision.  A
 pair that shares several pivots is judged in the list of the least of them, so nothing counts twice.
 
-Pivots are a bounded sample: the 2 * sqrt(n) distinct vectors with the smallest hash, at most ``MAX_PIVOTS``; every
-vector is indexed.  Lists are cut into blocks of about ``BLOCK`` vectors and each pair of blocks is a task of its
+Pivots are a bounded sample: the 2 * sqrt(n) distinct vectors with the smallest hash, at most ``MAX_PIVOTS``, thinned
+so that no two lie within twice the link angle.  Otherwise a dense group draws so many pivots that the nearest of its
+members hardly overlap.  Every vector is indexed.  Lists are cut into blocks of about ``BLOCK`` vectors and each pair of blocks is a task of its
 own, so a hot list is more tasks, never a larger one.  Pairs are counted and joined to stars inside the block task
 and never leave it.  Equal vectors of one label are collapsed into a class first.
 
@@ -47,15 +48,26 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     return rows, settle(held.select(cid.alias("cid"), "rep", "label", "vector", F.size("vector").alias("dim"), "n"), "classes")
 
 
-def choose_pivots(held: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension: at most ``min(MAX_PIVOTS, 2 * sqrt(count))`` vectors of each."""
+def choose_pivots(held: DataFrame, count: int, threshold: float = THRESHOLD) -> dict[int, np.ndarray]:
+    """Unit pivots by dimension: at most ``min(MAX_PIVOTS, 2 * sqrt(count))`` vectors of each, thinned."""
     size = max(1, min(MAX_PIVOTS, math.ceil(2 * math.sqrt(count))))
     order = W.partitionBy("dim").orderBy(F.xxhash64("vector"), "cid")
     rows = held.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= size).select("dim", "_k", "vector").collect()
     out: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: r["_k"]):
         out.setdefault(r.dim, []).append(r.vector)
-    return {d: _unit(np.array(v)) for d, v in out.items()}
+    return {d: thinned(_unit(np.array(v)), threshold) for d, v in out.items()}
+
+
+def thinned(pivots: np.ndarray, threshold: float) -> np.ndarray:
+    """The pivots, in order, that are not within twice the link angle of an earlier one kept."""
+    limit = 2 * threshold * threshold - 1 if threshold > 0 else -1.0
+    kept, n = np.empty_like(pivots), 0
+    for v in pivots:
+        if not n or (kept[:n] @ v).max() < limit:
+            kept[n] = v
+            n += 1
+    return kept[:n].copy()
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -91,7 +103,7 @@ def _verify(pdf: pd.DataFrame, threshold: float, shared: int, pivots: int) -> pd
     np.put_along_axis(named, near, 1, axis=1)
     block = pdf["block"].to_numpy()
     unit = _unit(np.array(pdf["vector"].tolist()))
-    linked = (named @ named.T >= shared) & (named[:, :pivot] @ named[:, :pivot].T == 0) & (unit @ unit.T >= threshold)
+    linked = (named @ named.T >= min(shared, near.shape[1])) & (named[:, :pivot] @ named[:, :pivot].T == 0) & (unit @ unit.T >= threshold)
     np.fill_diagonal(linked, False)
     if low != high:  # pairs inside a block are judged where the block meets itself
         linked &= block[:, None] != block[None, :]
@@ -120,7 +132,7 @@ def verified(listed: DataFrame, pivots: int, threshold: float = THRESHOLD, share
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """id, n_links, component_id and kept of every row."""
     rows, held = classes(vectors, id_col, vector, label)
-    pivots = choose_pivots(held, held.count())
+    pivots = choose_pivots(held, held.count(), threshold)
     listed = settle(postings(held, pivots), "postings")
     found = settle(verified(listed, max([len(p) for p in pivots.values()], default=1), threshold), "links")
     linked = found.groupBy("cid").agg(F.sum("links").alias("links"))

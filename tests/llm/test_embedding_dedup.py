@@ -71,6 +71,27 @@ def test_query_of_op6_reaches_recall(spark, tmp_path):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.035, 0.045])
+def test_recall_of_a_group_of_a_third(frame, spread):
+    # 600 of 1,800 rows in one group, hundreds of pivots drawn
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    m = np.vstack([centre + rng.normal(size=(600, 64)) * spread, rng.normal(size=(1200, 64))])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    links = int((unit @ unit.T >= 0.93).sum()) - len(m)
+    _, held = ed.classes(frame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int"))
+    pivots = ed.choose_pivots(held, 250 * 250)
+    assert len(pivots[64]) > 300
+    found = ed.verified(ed.postings(held, pivots), len(pivots[64])).agg({"links": "sum"}).first()[0]
+    assert 0.98 * links <= found <= links and links > 500
+
+
+def test_one_pivot_left(frame):
+    rows = [(i, [1.0, i / 1000], 1) for i in range(20)]
+    assert {r.n_links for r in ed.near_duplicates(frame(rows, "vec_id long, embedding array<double>, label int")).collect()} == {19}
+
+
 def test_odd_rows(frame):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, nan], 1), (7, [inf, 1.0], 1),
