@@ -1,6 +1,8 @@
 """Secret scanning: candidate strings, and a random forest that removes false positives.
 
-A candidate is a run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_=-]`` with a digit in it.  Features:
+A candidate is a value of any length assigned to a credential name, or else a run of at least ``MIN_LENGTH``
+characters of ``[A-Za-z0-9+/_=-]`` with a letter or digit in it.  Runs without a digit are mostly words, so they are
+findings only where the forest calls them secrets.  Features:
 
 * length; shares of digits, lower and upper case; class changes between neighbours, longest run of one class,
   distinct characters; the mean log-probability of its letter pairs under the corpus's own pair counts;
@@ -10,12 +12,12 @@ A candidate is a run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_=-]
 * neighbouring words: three before and two after, hashed, and whether the candidate is quoted or assigned.
 
 The forest is trained from labelled findings: those a rule can judge (``label``: assigned to a credential name,
-or plainly a number or a slug), at most ``MAX_TRAINING`` of them, the ones with the smallest hash.  Everything
+or plainly a number, a slug or corpus words), at most ``MAX_TRAINING`` of them, the ones with the smallest hash.  Everything
 else (counts, search, scoring) covers all documents.
 
 Defined results: null and empty texts have no candidates; a null path is the empty path; equal rows have equal
 findings, one for each distinct (id, text); with fewer than two classes to learn from the score is the label, or 1
-where no rule applies; an empty table gives an empty result; extra columns are ignored (redaction carries them through).
+where no rule applies and the run has a digit or is assigned, else 0; an empty table gives an empty result; extra columns are ignored (redaction carries them through).
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ NEIGHBOUR_BUCKETS = 32
 MASK = "[secret]"
 LETTERS = string.ascii_lowercase
 NAMES = re.compile(r"(?i)(?:token|secret|password|passwd|api_?key|access_?key|auth|credential)\w*[\"']?\s*[:=]\s*[\"']?$")
+CREDENTIAL = ("token", "secret", "password", "passwd", "apikey", "api_key", "accesskey", "access_key", "auth", "credential")
+ASSIGNED = re.compile(r"""(?i)(?:token|secret|password|passwd|api_?key|access_?key|auth(?!ors?(?![a-z]))|credential)\w{0,60}["']?\s{0,8}[:=]\s{0,8}"""
+                      r"""(?:(?P<quote>["'])(?P<quoted>[^"'\r\n]+)(?P=quote)|["']?(?:(?:bearer|basic)\s{1,8})?(?P<bare>[^\s"']+))""")
 SLUG = re.compile(r"(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/](?:[A-Za-z]+|[0-9]{1,4}))+$")
 PIECE = re.compile(r"[a-z]{3,}")
 
@@ -131,37 +136,88 @@ def shape_features(value: str, pairs: dict[str, float]) -> list[float]:
             len(set(low)) / n, sum(seen) / len(seen) if seen else 0.0, float(all(c in string.hexdigits for c in value))]
 
 
-def find_candidates(texts: list[str | None]):
-    """(text number, start, value) of every candidate."""
+def find_assigned(text: str):
+    """(start, value, certain) of every value assigned to a credential name; a bare word after a colon may be prose."""
+    folded = text.casefold()
+    if not any(name in folded for name in CREDENTIAL):
+        return
+    at = 0
+    while m := ASSIGNED.search(text, at):
+        group = "quoted" if m["quoted"] else "bare"
+        value = m[group] if m["quoted"] else m[group].rstrip(",;.)]}")
+        at = m.start(group) + max(1, len(value))
+        if value:
+            yield m.start(group), value, bool(m["quoted"]) or not value.isalpha() or "=" in text[m.start():m.start(group)]
+
+
+def find_runs(texts: list[str | None]):
+    """(text number, start, value) of every run of at least MIN_LENGTH characters with a letter or digit."""
     code, begin = _low(texts)
-    _, member, digit = _tables()
+    letter, member, digit = _tables()
     inside = member[code]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, stop = edge[::2], edge[1::2]
-    digits = np.concatenate([[0], np.cumsum(digit[code])])
-    hit = (stop - start >= MIN_LENGTH) & (digits[stop] > digits[start])
+    named = np.concatenate([[0], np.cumsum(digit[code] | (letter[code] < 26))])
+    hit = (stop - start >= MIN_LENGTH) & (named[stop] > named[start])
     start, stop = start[hit], stop[hit]
     owner = np.searchsorted(begin, start, side="right") - 1
     for i, a, b in zip(owner.tolist(), (start - begin[owner]).tolist(), (stop - begin[owner]).tolist()):
         yield i, a, texts[i][a:b]
 
 
+def _outside(at: int, value: str, spans: list[tuple[int, int]]):
+    """The parts of a run outside the assigned values, if still long enough."""
+    for a, b in [*spans, (at + len(value), 0)]:
+        part = value[:max(0, a - at)]
+        if len(part) >= MIN_LENGTH and any(c.isalnum() for c in part):
+            yield at, part
+        if b > at:
+            at, value = b, value[b - at:]
+
+
+def all_candidates(texts: list[str | None]):
+    """(text number, start, value, assigned): assigned is None for a run, else whether the value is certain."""
+    runs: dict[int, list] = {}
+    for i, at, value in find_runs(texts):
+        runs.setdefault(i, []).append((at, value))
+    for i, text in enumerate(texts):
+        given = list(find_assigned(text)) if text else []
+        spans = [(a, a + len(v)) for a, v, _ in given]
+        k = 0
+        for at, value in runs.get(i, []):
+            while k < len(spans) and spans[k][1] <= at:
+                k += 1
+            met = [s for s in spans[k:k + len(value)] if s[0] < at + len(value)]
+            for a, v in _outside(at, value, met) if met else [(at, value)]:
+                yield i, a, v, None
+        for a, v, certain in given:
+            yield i, a, v, certain
+
+
+def find_candidates(texts: list[str | None]):
+    """(text number, start, value) of every candidate that is a finding whatever the forest says of it."""
+    for i, at, value, assigned in sorted(all_candidates(texts), key=lambda c: c[:2]):
+        if assigned is not None or any(c in string.digits for c in value):
+            yield i, at, value
+
+
 def _candidates(batches, pairs: dict[str, float]):
-    schema = pa.schema([("doc_key", pa.int64()), ("path", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("label", pa.int32()),
+    schema = pa.schema([("doc_key", pa.int64()), ("path", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("label", pa.int32()), ("listed", pa.bool_()),
                         ("pieces", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("shape", pa.list_(pa.float64()))])
     for part in steps(batches, "_text"):
         texts = part.column("_text").to_pylist()
         paths = part.column("path").to_pylist()
         keys = part.column("doc_key").to_pylist()
         rows, owner = [], []
-        for i, at, value in find_candidates(texts):
+        for i, at, value, assigned in all_candidates(texts):
             text, end = texts[i], at + len(value)
             before, after = text[max(0, at - 80):at], text[end:end + 80]
-            label = label_of(value, before)
+            label = label_of(value, before) if assigned is None else 1 if assigned else None
             near = [f"b:{w}" for w in before.lower().split()[-3:]] + [f"a:{w}" for w in after.lower().split()[:2]]
             shape = [*shape_features(value, pairs), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
                      float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(paths[i].count("/")), at / max(1, len(text))]
             rows.append({"doc_key": keys[i], "path": paths[i], "start": at, "length": len(value), "label": label,
+                         "listed": assigned is not None or any(c in string.digits for c in value),
                          "pieces": PIECE.findall(value.lower()), "words": near, "shape": shape})
             owner.append(i)
         found = pa.RecordBatch.from_pylist(rows, schema)
@@ -176,7 +232,7 @@ def candidates(docs: DataFrame, pairs: dict[str, float], id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text)).alias("doc_key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
                        F.col(text).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(partial(_candidates, pairs=pairs), f"doc_id {kind}, doc_key long, path string, start int, length int, label int, "
+    return rows.mapInArrow(partial(_candidates, pairs=pairs), f"doc_id {kind}, doc_key long, path string, start int, length int, label int, listed boolean, "
                            "pieces array<string>, words array<string>, shape array<double>").dropDuplicates(["doc_id", "doc_key", "start"])
 
 
@@ -191,6 +247,11 @@ def coverage(found: DataFrame, counts: DataFrame) -> DataFrame:
     return found.join(covered, same, "left").drop("_d", "_k", "_s").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
 
 
+def plain_words(found: DataFrame) -> DataFrame:
+    """Runs without a digit that corpus words make up for the most part are labelled as words."""
+    return found.withColumn("label", F.when(F.col("label").isNull() & ~F.col("listed") & (F.col("covered") >= 0.5), 0).otherwise(F.col("label")))
+
+
 # ---------------------------------------------------------------- forest
 
 def score(found: DataFrame, *, max_training: int = MAX_TRAINING, trees: int = 20, depth: int = 6) -> DataFrame:
@@ -200,7 +261,7 @@ def score(found: DataFrame, *, max_training: int = MAX_TRAINING, trees: int = 20
     # two rows at most
     classes = {r["label"] for r in labelled.select("label").distinct().collect()}
     if len(classes) < 2:
-        return found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(1.0)))
+        return found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.col("listed").cast("double")))
     rates = labelled.groupBy("path").agg(((F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias("path_rate"))
     bucket = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(NEIGHBOUR_BUCKETS)))
     hashed = F.transform(F.sequence(F.lit(0), F.lit(NEIGHBOUR_BUCKETS - 1)), lambda i: F.array_contains(F.col("_bucket"), i.cast("long")).cast("double"))
@@ -217,8 +278,8 @@ def score(found: DataFrame, *, max_training: int = MAX_TRAINING, trees: int = 20
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source", threshold: float = 0.5) -> DataFrame:
     """doc_id, doc_key, path, start, length, label, covered, score and ``secret`` of every candidate."""
     counts = settle(word_counts(docs, text), "words")
-    found = settle(coverage(settle(candidates(docs, pair_scores(counts), id_col, text, path), "candidates"), counts), "covered")
-    return score(found).select("doc_id", "doc_key", "path", "start", "length", "label", "covered", "score", (F.col("score") >= threshold).alias("secret"))
+    found = settle(plain_words(coverage(settle(candidates(docs, pair_scores(counts), id_col, text, path), "candidates"), counts)), "covered")
+    return score(found).filter(F.col("listed") | (F.col("score") >= threshold)).select("doc_id", "doc_key", "path", "start", "length", "label", "covered", "score", (F.col("score") >= threshold).alias("secret"))
 
 
 def masked(text: str, starts, lengths) -> str:
@@ -234,7 +295,7 @@ def _mask(starts: pd.Series, lengths: pd.Series, texts: pd.Series) -> pd.Series:
 def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """``docs`` with every confirmed secret replaced by MASK, all rows and columns kept."""
     spans = (scan(docs, id_col, text, path).filter("secret").groupBy("doc_id", "doc_key")
-             .agg(F.collect_list(F.struct("start", "length")).alias("_spans"))  # at most length / MIN_LENGTH spans of one text
+             .agg(F.collect_list(F.struct("start", "length")).alias("_spans"))  # spans of one text do not overlap
              .select(F.col("doc_id").alias("_d"), F.col("doc_key").alias("_k"), "_spans"))
     rows = packed(docs, _id=F.col(id_col), _key=text_key(F.col(text)))
     joined = rows.join(spans, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")

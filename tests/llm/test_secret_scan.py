@@ -76,3 +76,27 @@ def test_odd_rows_and_redaction(frame):
     assert secret_scan.redact(docs.filter("false")).count() == 0
     one_class = secret_scan.scan(docs.filter("score = 4")).collect()
     assert [r.score for r in one_class] == [0.0]
+
+
+def test_assigned_values_of_any_shape(spark, frame):
+    base = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    planted = {'password = "correcthorsebattery"': "correcthorsebattery", "token: ab12 end": "ab12", "api_key=abc.def-ghi.jkl, x": "abc.def-ghi.jkl",
+               "Authorization: Bearer ey12.ab.c end": "ey12.ab.c", "secret = 'a b c!'": "a b c!", "x token=0123456789abcdef01 y": "0123456789abcdef01"}
+    texts = {10_000_000 + k: f"the page {t} and more" for k, t in enumerate(planted)}
+    docs = frame([*base, *[(i, t, "p/q") for i, t in texts.items()]], "doc_id long, text string, source string")
+    found = {(r.doc_id, texts[r.doc_id][r.start:r.start + r.length]) for r in secret_scan.scan(docs).filter("secret").collect() if r.doc_id in texts}
+    assert found == set(zip(texts, planted.values()))
+
+
+def test_runs_without_a_digit(frame):
+    import random
+    rng = random.Random(6)
+    rows = [(i, f'see token = "{rng.getrandbits(160):040x}" and internationalisation of {rng.getrandbits(64) + (1 << 63)} words', "p") for i in range(200)]
+    rows += [(1000, "the key kXqZbVtRwPmKsLdFgHjKqWzX is here", "p"), (1001, "of Internationalisation ==================== words", "p")]
+    docs = frame(rows, "doc_id long, text string, source string")
+    texts = {i: t for i, t, _ in rows}
+    runs = {v for _, _, v, _ in secret_scan.all_candidates(list(texts.values()))}
+    assert {"kXqZbVtRwPmKsLdFgHjKqWzX", "internationalisation", "Internationalisation"} <= runs and "=" * 20 not in runs
+    assert not any("nternational" in texts[r.doc_id][r.start:r.start + r.length] for r in secret_scan.scan(docs).collect())
+    only_words = docs.filter("doc_id = 1001")
+    assert secret_scan.redact(only_words).first().text == texts[1001]
