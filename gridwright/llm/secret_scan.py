@@ -12,8 +12,8 @@ findings only where the forest calls them secrets.  Features:
 * neighbouring words: three before and two after, hashed, and whether the candidate is quoted or assigned.
 
 The forest is trained from labelled findings: those a rule can judge (``label``: assigned to a credential name,
-or plainly a number, a slug or corpus words), at most ``MAX_TRAINING`` of them, the ones with the smallest hash.  Everything
-else (counts, search, scoring) covers all documents.
+or plainly a number, a slug or corpus words), at most ``MAX_TRAINING`` of each class, the ones with the smallest
+hash, both classes with the same total weight.  Everything else (counts, search, scoring) covers all documents.
 
 Defined results: null and empty texts have no candidates; a null path is the empty path; equal rows have equal
 findings, one for each distinct (id, text); with fewer than two classes to learn from the score is the label, or 1
@@ -255,12 +255,14 @@ def plain_words(found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- forest
 
 def score(found: DataFrame, *, max_training: int = MAX_TRAINING, trees: int = 20, depth: int = 6) -> DataFrame:
-    """``found`` with ``score``, the forest's probability of a secret."""
+    """``found`` with ``score``: 1 where a rule finds a secret, else the forest's probability of one."""
     order = F.xxhash64("doc_id", "doc_key", "start")
-    labelled = settle(found.filter("label IS NOT NULL").orderBy(order, "doc_key", "start").limit(max_training), "labelled")
+    # a bounded sample of each class, so that a rare class is never lost and never outweighed
+    sample = [found.filter(F.col("label") == c).orderBy(order, "doc_key", "start").limit(max_training) for c in (0, 1)]
+    labelled = settle(sample[0].unionByName(sample[1]), "labelled")
     # two rows at most
-    classes = {r["label"] for r in labelled.select("label").distinct().collect()}
-    if len(classes) < 2:
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.col("listed").cast("double")))
     rates = labelled.groupBy("path").agg(((F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias("path_rate"))
     bucket = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(NEIGHBOUR_BUCKETS)))
@@ -270,9 +272,11 @@ def score(found: DataFrame, *, max_training: int = MAX_TRAINING, trees: int = 20
         return (df.join(rates, "path", "left").withColumn("_bucket", bucket)
                 .withColumn("features", array_to_vector(F.concat("shape", F.array("covered", F.coalesce("path_rate", F.lit(0.5))), hashed)))
                 .drop("_bucket", "path_rate"))
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=7)
-    model = forest.fit(featured(labelled))
-    return model.transform(featured(found)).withColumn("score", vector_to_array("probability")[1])
+    weight = F.when(F.col("label") == 1, sum(sizes.values()) / (2 * sizes[1])).otherwise(sum(sizes.values()) / (2 * sizes[0]))
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=7)
+    model = forest.fit(featured(labelled).withColumn("_weight", weight))
+    # what a rule calls a secret is one, whatever the forest says
+    return model.transform(featured(found)).withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(vector_to_array("probability")[1]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source", threshold: float = 0.5) -> DataFrame:

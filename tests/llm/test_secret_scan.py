@@ -100,3 +100,17 @@ def test_runs_without_a_digit(frame):
     assert not any("nternational" in texts[r.doc_id][r.start:r.start + r.length] for r in secret_scan.scan(docs).collect())
     only_words = docs.filter("doc_id = 1001")
     assert secret_scan.redact(only_words).first().text == texts[1001]
+
+
+def test_rare_secrets_are_not_lost_in_the_sample(frame):
+    import random
+    rng = random.Random(9)
+    rows = [(i, f"call {rng.randrange(10 ** 17, 10 ** 18)} today", "p") for i in range(400)]
+    rows += [(1000 + i, f'a token = "{rng.getrandbits(160):040x}" b', "p") for i in range(3)] + [(2000, "page alpha-build-report-12 only", "p")]
+    docs = frame(rows, "doc_id long, text string, source string")
+    counts = secret_scan.settle(secret_scan.word_counts(docs))
+    table = secret_scan.settle(secret_scan.coverage(secret_scan.candidates(docs, secret_scan.pair_scores(counts)), counts))
+    table = table.withColumn("label", secret_scan.F.when(table.doc_id != 2000, table.label))
+    # 20 of 403 labelled: a sample without classes holds numbers only, and gives the slug score 1
+    scored = {r.doc_id: r.score for r in secret_scan.score(table, max_training=20).collect()}
+    assert all(scored[1000 + i] == 1.0 for i in range(3)) and scored[2000] < 1 and all(scored[i] < 0.5 for i in range(400))
