@@ -23,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.llm.components import components
@@ -51,12 +51,12 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding
 def choose_pivots(held: DataFrame, count: int, threshold: float = THRESHOLD) -> dict[int, np.ndarray]:
     """Unit pivots by dimension: at most ``min(MAX_PIVOTS, 2 * sqrt(count))`` vectors of each, thinned."""
     size = max(1, min(MAX_PIVOTS, math.ceil(2 * math.sqrt(count))))
-    order = W.partitionBy("dim").orderBy(F.xxhash64("vector"), "cid")
-    rows = held.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= size).select("dim", "_k", "vector").collect()
-    out: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: r["_k"]):
-        out.setdefault(r.dim, []).append(r.vector)
-    return {d: thinned(_unit(np.array(v)), threshold) for d, v in out.items()}
+    out = {}
+    for dim in [r.dim for r in held.select("dim").distinct().collect()]:
+        # the first rows of every partition only, never a sort of all vectors in one task
+        rows = held.filter(F.col("dim") == dim).orderBy(F.xxhash64("vector"), "cid").limit(size).select("vector").collect()
+        out[dim] = thinned(_unit(np.array([r.vector for r in rows])), threshold)
+    return out
 
 
 def thinned(pivots: np.ndarray, threshold: float) -> np.ndarray:

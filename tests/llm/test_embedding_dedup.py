@@ -87,6 +87,18 @@ def test_recall_of_a_group_of_a_third(frame, spread):
     assert 0.98 * links <= found <= links and links > 500
 
 
+def test_pivots_are_chosen_without_a_window(frame, monkeypatch):
+    ranked = []
+    monkeypatch.setattr(ed.F, "row_number", lambda: ranked.append(1) or ed.F.lit(1), raising=True)
+    rng = np.random.default_rng(3)
+    _, held = ed.classes(frame([(i, rng.normal(size=3 + i % 2 * 61).tolist(), 1) for i in range(60)], "vec_id long, embedding array<double>, label int"))
+    wanted = {3: set(), 64: set()}
+    for dim, rows in wanted.items():
+        first = sorted(held.filter(f"dim = {dim}").selectExpr("xxhash64(vector) AS h", "cid", "vector").collect())[:6]
+        rows |= {tuple(v) for v in ed.thinned(ed._unit(np.array([r.vector for r in first])), 0.93)}
+    assert {d: {tuple(v) for v in p} for d, p in ed.choose_pivots(held, 9).items()} == wanted and not ranked
+
+
 def test_one_pivot_left(frame):
     rows = [(i, [1.0, i / 1000], 1) for i in range(20)]
     assert {r.n_links for r in ed.near_duplicates(frame(rows, "vec_id long, embedding array<double>, label int")).collect()} == {19}
