@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, embedding_dedup, exact_dedup, langid, packing, secret_scan, sharding, simhash, url_rules, warc_store
+from gridwright.llm import (bpe, embedding_dedup, exact_dedup, fill_middle, filter_audit, langid, packing, secret_scan, sharding, simhash,
+                            url_rules, version_sketch, warc_store)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +147,77 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 def op10_exact_dedup(spark, sf):
     marked = exact_dedup.mark_duplicates(table(spark, sf, "documents", "doc_id", "text"), digest_all=True)
     return marked.select("_row.doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+# ---------------------------------------------------------------- 11: document fingerprints
+
+@query("op11_version_sketch")
+def op11_version_sketch(spark, sf):
+    chained = version_sketch.edited_chain(table(spark, sf, "documents", "doc_id", "text"))
+    return chained.select("_row.doc_id", "_print.n_chars", F.sha2("_print.edited", 256).alias("edited_sha256"), "_print.fingerprint",
+                          "_print.edited_fingerprint", "_print.near_edited", "_print.near_next")
+
+
+# ---------------------------------------------------------------- 12: fill-in-middle
+
+@query("op12_fill_middle", """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h,
+    string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+u AS (
+  SELECT doc_id, t, CAST(len(p) - CASE WHEN p[len(p)] = '' THEN 1 ELSE 0 END AS BIGINT) AS n,
+    list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || chr(10) ELSE x END) AS units,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+q AS (
+  SELECT doc_id, t, n, array_to_string(list_slice(units, 1, a), '') AS pre, array_to_string(list_slice(units, a + 1, b), '') AS mid,
+    array_to_string(list_slice(units, b + 1, len(units)), '') AS suf,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM q""")
+def op12_fill_middle(spark, sf):
+    made = fill_middle.transform(table(spark, sf, "documents", "doc_id", "text")).select("_row.doc_id", "_fim")
+    back = fill_middle.restore(made, "_fim.output", "_fim.form")
+    return back.select("_row.doc_id", "_row._fim.n", "_row._fim.form", "_row._fim.prefix_chars", "_row._fim.middle_chars",
+                       F.sha2("_row._fim.output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+# ---------------------------------------------------------------- 13: filter interaction audit
+
+@query("op13_filter_audit", """
+WITH flags AS (SELECT doc_id AS k, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS tox
+  FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM t),
+m AS (
+  SELECT part, len(ws) < 100 AS fa, 100 * len(list_distinct(ws)) < 80 * len(ws) AS fb,
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS fc, regexp_matches(t, '[#$%&*|]') AS fd,
+    doc_id > min(doc_id) OVER (PARTITION BY sha256(t)) AS fe, coalesce(good, 0) = 1 AS good, coalesce(tox, 0) = 1 AS tox
+  FROM w LEFT JOIN flags ON doc_id = k),
+g AS (SELECT part, fa, fb, fc, fd, fe, good, tox, count(*) AS rows FROM m GROUP BY ALL),
+bits AS (SELECT *, [fa, fb, fc, fd, fe] AS f, CAST(fa AS INT) + CAST(fb AS INT) + CAST(fc AS INT) + CAST(fd AS INT) + CAST(fe AS INT) AS fails FROM g),
+l(x) AS (VALUES (1), (2), (3), (4), (5)),
+orders AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, x AS step, o[x] AS own, list_slice(o, 1, x - 1) AS before FROM orders, l),
+marks AS (
+  SELECT b.part, s.o, s.step, s.own, b.rows, b.good, b.tox, b.f[s.own] AS failing, b.fails,
+    len(list_filter(s.before, lambda i: b.f[i])) > 0 AS gone FROM bits b, steps s),
+r AS (
+  SELECT part, o, step, own,
+    CAST(coalesce(sum(rows) FILTER (WHERE NOT gone AND NOT failing), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(rows) FILTER (WHERE NOT gone AND failing), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(rows) FILTER (WHERE gone AND failing), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(rows) FILTER (WHERE failing AND fails = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(rows) FILTER (WHERE NOT gone AND failing AND good), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(rows) FILTER (WHERE NOT gone AND failing AND tox), 0) AS BIGINT) AS toxic_lost
+  FROM marks GROUP BY part, o, step, own)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step, kept, removed, redundant,
+  unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""")
+def op13_filter_audit(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents", "doc_id", "text", "lang"), table(spark, sf, "labels", "doc_id", "quality", "toxic"))
