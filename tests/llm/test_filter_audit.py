@@ -68,7 +68,8 @@ def test_many_parts_and_small_holds(frame, monkeypatch):
     docs = [(i, "w " * (i % 5 * 40), f"p{i % 40}") for i in range(400)]
     rows = filter_audit.audit(frame(docs, "doc_id long, text string, lang string"), frame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
     got = {(r.part, r.filter_order, r.step): [*r[3:]] for r in rows.filter(F.col("filter_order").isin("ABCDE", "EDCBA")).collect()}
-    assert len(got) == 400 and all(plain_audit(docs, [(1, 1, 0)])[k] == v for k, v in got.items())
+    want = plain_audit(docs, [(1, 1, 0)])
+    assert len(got) == 400 and all(want[k] == v for k, v in got.items())
 
 
 def test_audit_of_nothing(frame):
