@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from gridwright.session import settle
+
 SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 8.0  # sketch errors on either side of the wanted rank
 BUCKETS = 1024
@@ -38,23 +40,29 @@ def exact_quantiles(
     lies within a rank or two of it.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # three passes read these rows: settled, so that what feeds them runs once
+    rows = settle(df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()))
     margin = BRACKET_MARGIN / SKETCH_ACCURACY
     brackets = []
     for p in probs:
         brackets += [max(0.0, p - margin), min(1.0, p + margin)]
     sketch = rows.groupBy(*by).agg(
         F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(b) for b in brackets]), SKETCH_ACCURACY).alias("_cut"))
-    edges = F.array(*[F.struct(F.lit(i).alias("i"), F.col("_cut")[2 * i].alias("lo"), F.col("_cut")[2 * i + 1].alias("hi")) for i in range(len(probs))])
-    low, high, v = F.col("_e.lo"), F.col("_e.hi"), F.col("_v")
-    bucket = (F.when(v < low, -1).when(v > high, BUCKETS).when(low == high, 0)
-              .when(~(high - low < float("inf")), F.when(v < high, 0).otherwise(1))  # an infinite or NaN edge
-              .otherwise(F.least(F.lit(BUCKETS - 1), F.floor((v - low) / (high - low) * BUCKETS))).cast("int"))
-    counted = (
-        _attach(rows, sketch, by).select(*by, "_n", "_v", F.explode(edges).alias("_e"))
-        .select(*by, "_n", "_v", F.col("_e.i").alias("_i"), bucket.alias("_b"))
-        .groupBy(*by, "_n", "_i", "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    edges = F.array(*[F.struct(F.col("_cut")[2 * i].alias("lo"), F.col("_cut")[2 * i + 1].alias("hi")) for i in range(len(probs))])
+
+    def bucket_of(v: Column, e: Column) -> Column:
+        low, high = e["lo"], e["hi"]
+        return (F.when(v < low, -1).when(v > high, BUCKETS).when(low == high, 0)
+                .when(~(high - low < float("inf")), F.when(v < high, 0).otherwise(1))  # an infinite or NaN edge
+                .otherwise(F.least(F.lit(BUCKETS - 1), F.floor((v - low) / (high - low) * BUCKETS))).cast("int"))
+
+    # buckets are in the order of the values, so a group has few different lists of them: one row a value, not one a rank
+    lists = (
+        _attach(rows, sketch, by).select(*by, "_n", "_v", F.transform(edges, lambda e: bucket_of(F.col("_v"), e)).alias("_e"))
+        .groupBy(*by, "_n", "_e").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
     )
+    counted = lists.select(*by, "_n", "_c", "_from", "_to", F.posexplode("_e").alias("_i", "_b")).groupBy(*by, "_n", "_i", "_b").agg(
+        F.sum("_c").alias("_c"), F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     p = F.element_at(F.array(*[F.lit(float(q)) for q in probs]), F.col("_i") + 1)
     target = rank(F.col("_n")) if rank else p * (F.col("_n") - 1)
 

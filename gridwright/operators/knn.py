@@ -3,10 +3,12 @@
 Both sides are range-partitioned along a Hilbert curve (split keys first) and cut into blocks of
 consecutive rows with tight bounding boxes; a query block is cut further until its box is of the size that
 a few train blocks have on average, down to single rows.  Block pairs are pruned with box-to-box distance
-bounds down a four-level directory: a node is dropped when the nearest nodes that together hold ``k`` rows
-all lie closer.  Surviving pairs ship their rows to the query block, where NumPy ranks them by (distance,
-train id); a query block with more than ``CANDIDATE_ROWS`` candidates is ranked in several parts of its
-train blocks, and the parts' first ``k`` are merged.
+bounds down a directory of up to four levels: a node is dropped when the nearest nodes that together hold ``k``
+rows all lie closer.  The descent starts at the finest level that has at most ``FAN`` nodes in any split, so a
+small table is matched in one step and a large one in as many as its blocks need.  Surviving train blocks are
+shipped once to each run of ``RUN`` neighbouring query blocks, where NumPy ranks their rows by (distance, train
+id); a run with more than ``CANDIDATE_ROWS`` candidates is ranked in several parts of its train blocks, and the
+parts' first ``k`` are merged.
 
 Skew: a hot cell, split or coordinate is just more blocks.  More than ``k`` train rows at one
 coordinate are reduced to the ``k`` smallest ids, which is exact because the order is (distance, id).
@@ -30,6 +32,8 @@ from gridwright.session import settle
 BLOCK_ROWS = 64
 MAX_K = 128  # part of the contract: a neighbourhood is a small window
 CANDIDATE_ROWS = 65_536  # train rows that one ranking step holds
+FAN = 1024  # nodes of a split that a query block may be paired with in the first step
+RUN = 8  # neighbouring query blocks that share their candidates
 QUERY_BOX = 2.0  # side of a query box, in average sides of a train block
 
 CURVE_BITS = 20
@@ -59,7 +63,7 @@ def _block_schema(df: DataFrame, by: Sequence[str], feats: Sequence[str], id_col
     d = len(feats)
     fields = [T.StructField(c, df.schema[c].dataType) for c in by]
     fields += [
-        T.StructField("block", T.LongType()), T.StructField("rows", T.IntegerType()),
+        T.StructField("block", T.LongType()), T.StructField("run", T.LongType()), T.StructField("rows", T.IntegerType()),
         T.StructField("box_lo", T.ArrayType(T.DoubleType())), T.StructField("box_hi", T.ArrayType(T.DoubleType())),
         T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)),
         T.StructField("xs", T.ArrayType(T.DoubleType())),
@@ -106,12 +110,12 @@ def _pack(df: DataFrame, by, feats, id_col, carry, low, step, per_coordinate: in
 
         def emit(part: pd.DataFrame):
             nonlocal seq
-            out = []
+            out, first = [], base + seq
             for start, stop in _cut(part[feats].to_numpy(float), limit):
                 p = part.iloc[start:stop]
                 m = p[feats].to_numpy(float)
                 row = {c: p[c].iloc[0] for c in by}
-                row.update(block=base + seq, rows=len(p), box_lo=m.min(0).tolist(), box_hi=m.max(0).tolist(),
+                row.update(block=base + seq, run=first + len(out) // RUN * RUN, rows=len(p), box_lo=m.min(0).tolist(), box_hi=m.max(0).tolist(),
                            ids=p[id_col].tolist(), xs=m.ravel().tolist())
                 for c in carry:
                     row[f"c_{c}"] = [None if v != v else v for v in p[c].tolist()]
@@ -241,41 +245,43 @@ def knn_join(
     ).first()
     low = (float(extent["x0"] or 0.0), float(extent["y0"] or 0.0))
     step = max(float(extent["span"] or 0.0), 1e-9) / (2**CURVE_BITS - 1)
-    tb = settle(_pack(train, by, feats, train_id, carry, low, step, want)).withColumnRenamed("block", "t_block")
+    tb = settle(_pack(train, by, feats, train_id, carry, low, step, want)).withColumnRenamed("block", "t_block").drop("run")
     # query rows outside the train extent are clamped to its edge; only the block layout depends on it
     limit = QUERY_BOX * float(extent["span"] or 0.0) * (max(BLOCK_ROWS, want) / max(1.0, extent["rows"])) ** 0.5
     qb = settle(_pack(query, by, feats, query_id, [], low, step, None, limit)).withColumnRenamed("block", "q_block")
 
     leaves = tb.select(*by, "t_block", F.col("rows").alias("n"), F.col("box_lo").alias("lo"), F.col("box_hi").alias("hi"))
-    state = qb.select(*by, "q_block", F.col("box_lo").alias("q_lo"), F.col("box_hi").alias("q_hi"),
+    state = qb.select(*by, "q_block", "run", F.col("box_lo").alias("q_lo"), F.col("box_hi").alias("q_hi"),
                       F.lit(float("inf")).alias("reach"))
     if not by:
         leaves, state = leaves.withColumn("_all", F.lit(0)), state.withColumn("_all", F.lit(0))
     on = by or ["_all"]
 
-    # groups of 64 blocks, range pieces, groups of 64 pieces: a fixed four-level directory
+    # from coarse to fine: groups of 64 range pieces, range pieces, groups of 64 blocks, blocks
     leaves = leaves.withColumn("_p", F.shiftright("t_block", 32)).withColumn("_pp", F.shiftright("_p", 6)).withColumn(
         "_s", F.shiftright(F.col("t_block").bitwiseAND(F.lit(0xFFFFFFFF)), 6))
-    level1 = _bounds(leaves, [*on, "_pp", "_p", "_s"], d)
-    level2 = _bounds(level1, [*on, "_pp", "_p"], d)
-    level3 = _bounds(level2, [*on, "_pp"], d)
-    node = ["n", "lo", "hi"]
-    pairs = _prune(state.join(level3, on), d, want, radius).drop(*node)
-    pairs = _prune(pairs.join(level2, [*on, "_pp"]), d, want, radius).drop(*node)
-    pairs = _prune(pairs.join(level1, [*on, "_pp", "_p"]), d, want, radius).drop(*node)
-    pairs = _prune(pairs.join(leaves, [*on, "_pp", "_p", "_s"]), d, want, radius)
-    links = settle(pairs.select("q_block", "t_block", "n"))
-    load = links.groupBy("q_block").agg(F.ceil(F.sum("n") / CANDIDATE_ROWS).alias("_parts"))
+    keys = [[*on, "_pp"], [*on, "_pp", "_p"], [*on, "_pp", "_p", "_s"]]
+    nodes = leaves.groupBy(*on).agg(*[F.approx_count_distinct(F.struct(*k[len(on):])).alias(f"_{i}") for i, k in enumerate(keys)], F.count(F.lit(1)).alias("_3"))
+    widest = nodes.agg(*[F.max(f"_{i}").alias(f"_{i}") for i in range(4)]).first()
+    level = max((i for i in range(4) if (widest[i] or 0) <= FAN), default=0)
+    pairs, at = state, on
+    while level < 3:
+        pairs = _prune(pairs.join(_bounds(leaves, keys[level], d), at), d, want, radius).drop("n", "lo", "hi")
+        level, at = level + 1, keys[level]
+    pairs = _prune(pairs.join(leaves, at), d, want, radius)
+    links = settle(pairs.select("q_block", "run", "t_block", "n"))
+    links = links.select("run", "t_block", "n").distinct()
+    load = links.groupBy("run").agg(F.ceil(F.sum("n") / CANDIDATE_ROWS).alias("_parts"))
     parts = load.agg(F.max("_parts")).first()[0] or 1
 
     packed = tb.select("t_block", F.col("ids").alias("t_ids"), F.col("xs").alias("t_xs"), *[f"c_{c}" for c in carry])
-    left = qb.select(*by, "q_block", "ids", "xs")
+    left = qb.select(*by, "q_block", "run", "ids", "xs")
     if parts > 1:
-        links = links.join(load, "q_block").withColumn("part", F.pmod(F.xxhash64("t_block"), F.col("_parts")).cast("int"))
-        left = left.join(load, "q_block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts").cast("int") - 1)))
+        links = links.join(load, "run").withColumn("part", F.pmod(F.xxhash64("t_block"), F.col("_parts")).cast("int"))
+        left = left.join(load, "run").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts").cast("int") - 1)))
     else:
         links, left = links.withColumn("part", F.lit(0)), left.withColumn("part", F.lit(0))
-    candidates = links.select(F.col("q_block").alias("for_block"), F.col("part").alias("for_part"), "t_block").join(packed, "t_block")
+    candidates = links.select(F.col("run").alias("for_run"), F.col("part").alias("for_part"), "t_block").join(packed, "t_block")
 
     fields = [T.StructField(c, query.schema[c].dataType) for c in by]
     fields += [
@@ -287,19 +293,40 @@ def knn_join(
     fields += [T.StructField(c, T.DoubleType()) for c in carry]
     names = [f.name for f in fields]
 
-    def rank_block(qrows: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
+    def rank_run(qrows: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
         if not len(qrows) or not len(cand):
             return pd.DataFrame(columns=names)
-        q = qrows.iloc[0]
-        qx = np.asarray(q["xs"], float).reshape(-1, d)
-        qid = np.asarray(q["ids"])
         tx = np.concatenate([np.asarray(v, float) for v in cand["t_xs"]]).reshape(-1, d)
         tid = np.concatenate([np.asarray(v) for v in cand["t_ids"]])
         extra = {c: np.concatenate([np.array(v, dtype=float) for v in cand[f"c_{c}"]]) for c in carry}
         offsets = np.concatenate([[0], np.cumsum([len(v) for v in cand["t_ids"]])])
-        # nearest blocks first; stop once the next block lies beyond every row's k-th distance
-        lows = np.array([tx[a:b].min(0) for a, b in zip(offsets, offsets[1:])])
-        highs = np.array([tx[a:b].max(0) for a, b in zip(offsets, offsets[1:])])
+        lows, highs = (cut.reduceat(tx, offsets[:-1], axis=0) for cut in (np.minimum, np.maximum))
+        out = {name: [] for name in ("rows", "row", "train", "rank", "d")}
+        qids = []
+        for n, (ids, xs) in enumerate(zip(qrows["ids"], qrows["xs"])):
+            qx, qid = np.asarray(xs, float).reshape(-1, d), np.asarray(ids)
+            r, c, dv = nearest(qx, tx, tid, offsets, lows, highs)
+            if exclude_same_id:
+                other = tid[c] != qid[r]
+                r, c, dv = r[other], c[other], dv[other]
+            pos = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+            keep = pos < k
+            if radius is not None:
+                keep &= dv <= radius
+            r = r[keep]
+            qids.append(qid[r])
+            for name, v in (("rows", np.full(len(r), n)), ("row", r), ("train", c[keep]), ("rank", pos[keep] + 1), ("d", dv[keep])):
+                out[name].append(v)
+        found = {name: np.concatenate(v) for name, v in out.items()}
+        frame = {b: [qrows[b].iloc[0]] * len(found["row"]) for b in by}
+        frame.update(query_id=np.concatenate(qids), train_id=tid[found["train"]], rank=found["rank"].astype("int32"), d=found["d"],
+                     q_block=qrows["q_block"].to_numpy()[found["rows"]], q_row=found["row"].astype("int32"))
+        frame.update({name: v[found["train"]] for name, v in extra.items()})
+        return pd.DataFrame(frame, columns=names)
+
+    def nearest(qx, tx, tid, offsets, lows, highs):
+        """(row, candidate, distance) of the ``want`` nearest and all that tie with them, in order; nearest blocks
+        first, and none beyond every row's k-th distance."""
         gap = np.maximum(np.maximum(lows - qx.max(0), qx.min(0) - highs), 0.0)
         near = np.sqrt((gap * gap).sum(axis=1))
         visit = np.argsort(near, kind="stable")
@@ -326,22 +353,10 @@ def knn_join(
         inside = dv <= kth[r]
         r, c, dv = r[inside], c[inside], dv[inside]
         o = np.lexsort((tid[c], dv, r))
-        r, c, dv = r[o], c[o], dv[o]
-        if exclude_same_id:
-            other = tid[c] != qid[r]
-            r, c, dv = r[other], c[other], dv[other]
-        pos = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-        keep = pos < k
-        if radius is not None:
-            keep &= dv <= radius
-        r, c, dv, pos = r[keep], c[keep], dv[keep], pos[keep]
-        frame = {b: [q[b]] * len(r) for b in by}
-        frame.update(query_id=qid[r], train_id=tid[c], rank=(pos + 1).astype("int32"), d=dv, q_block=[q["q_block"]] * len(r), q_row=r.astype("int32"))
-        frame.update({name: v[c] for name, v in extra.items()})
-        return pd.DataFrame(frame, columns=names)
+        return r[o], c[o], dv[o]
 
-    result = left.groupBy("q_block", "part").cogroup(candidates.groupBy("for_block", "for_part")).applyInPandas(
-        rank_block, T.StructType(fields))
+    result = left.groupBy("run", "part").cogroup(candidates.groupBy("for_run", "for_part")).applyInPandas(
+        rank_run, T.StructType(fields))
     if parts > 1:  # at most k rows from each part
         first = W.partitionBy("q_block", "q_row").orderBy("d", "train_id")
         result = result.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
