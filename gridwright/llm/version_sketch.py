@@ -188,7 +188,7 @@ def peel(table: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         pair, keys, side, pure = pair[first], keys[first], side[first], pure[first]
         own = (_places(keys, pair, cells) == pure).any(axis=0)  # a mixture that passes the check by chance lies elsewhere
         pair, keys, side = pair[own], keys[own], side[own]
-        look = np.unique(_throw(table, keys, pair, cells, -side))
+        look = _throw(table, keys, pair, cells, -side).ravel()
         for kept, new in zip(gone, (pair, keys, side)):
             kept.append(new)
     empty = ~((table["count"] != 0) | (table["key"] != 0)).reshape(-1, cells).any(axis=1)
