@@ -291,26 +291,26 @@ def _chain(batches, id_col, text):
     current, after = None, None  # (bucket, id, text) of the last row read, and the text of the document that follows it
     for part in steps((_flat(b, id_col, text) for b in batches), "_body", STEP_BYTES):
         bodies = part.column("_body").to_pylist()
-        held, place, edited = [], [], []
+        texts, place, edited = [after, current and current[2]], [], []  # the texts read so far that a row may be followed by
+        nearest = 0
         for key in zip(part.column("_bucket").to_pylist(), part.column("_id").to_pylist(), bodies):
             if key != current:
                 # the first row of a bucket is the one ahead, which has no successor here
-                after = current[2] if current is not None and current[0] == key[0] else key[2]
+                nearest = len(texts) - 1 if current is not None and current[0] == key[0] else len(texts)
+                after = texts[nearest] if nearest < len(texts) else key[2]
                 current = key
-                held.append(after)
-            elif not held:
-                held.append(after)
-            place.append(len(held) - 1)
+            texts.append(key[2])
+            place.append(nearest)
             cut = len(key[2]) // 4
             edited.append(key[2][:len(key[2]) - cut] + after[:cut])
-        own, new, nexts = (passages(pa.array(t, pa.string())) for t in (bodies, edited, held))
+        own, new = passages(pa.array([t or "" for t in texts], pa.string())), passages(pa.array(edited, pa.string()))
         keep = np.flatnonzero(~part.column("_ahead").to_numpy(zero_copy_only=False))
-        place = np.array(place)[keep]
-        to_edited = likeness(own, keep, new, keep, differences(own, keep, new, keep)[0])
-        to_next = likeness(own, keep, nexts, place, differences(own, keep, nexts, place)[0])
+        place, at = np.array(place)[keep], keep + 2
+        to_edited = likeness(own, at, new, keep, differences(own, at, new, keep)[0])
+        to_next = likeness(own, at, own, place, differences(own, at, own, place)[0])
         made = pa.StructArray.from_arrays([
             pa.array([len(bodies[i]) for i in keep.tolist()], pa.int64()), pa.array([edited[i] for i in keep.tolist()], pa.string()),
-            pa.array(fingerprints(own, keep), pa.string()), pa.array(fingerprints(new, keep), pa.string()),
+            pa.array(fingerprints(own, at), pa.string()), pa.array(fingerprints(new, keep), pa.string()),
             pa.array(to_edited), pa.array(to_next)],
             names=["n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
         yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(keep)), made], names=["_row", "_print"])
