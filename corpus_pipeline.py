@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm import exact_dedup, langid, packing, secret_scan, simhash
+from gridwright.llm.membership import without_ids
 from gridwright.llm.queries import tokenizer_path
 from gridwright.llm.store import release, settle
 
@@ -33,8 +34,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = settle(simhash.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = settle(simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return without_ids(docs, "doc_id", gone)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

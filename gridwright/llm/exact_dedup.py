@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm.store import LOWER, UPPER, packed, settle
+from gridwright.llm.membership import without_ids
+from gridwright.llm.store import LOWER, UPPER, packed, release, settle
 
 PREFIX_CHARS = 256
 
@@ -37,7 +38,9 @@ def surviving_groups(docs: DataFrame, text: str = "text", prefix_chars: int = PR
         F.octet_length(body).alias("_n"), F.xxhash64(F.translate(F.left(body, F.lit(prefix_chars)), UPPER, LOWER)).alias("_p")), "lengths")
     lengths = narrow.groupBy("_n").count().filter("count > 1").select("_n")
     prefixes = narrow.join(lengths, "_n", "left_semi").groupBy("_n", "_p").count().filter("count > 1")
-    return settle(prefixes.select("_n", "_p", F.lit(True).alias("_survives")), "prefixes")
+    out = settle(prefixes.select("_n", "_p", F.lit(True).alias("_survives")), "prefixes")
+    release(narrow)
+    return out
 
 
 def mark_duplicates(
@@ -73,13 +76,14 @@ def dropped_ids(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pre
     full_hash = F.pandas_udf(_full_hash, T.StringType())
     hashed = settle(rows.join(survivors, ["_n", "_p"], "left_semi").select("id", full_hash(F.col("_body").cast("binary")).alias("digest")), "hashed")
     groups = hashed.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return settle(hashed.join(groups, "digest").filter("id < keep_id").select("id").distinct(), "dropped")
+    out = settle(hashed.join(groups, "digest").filter("id < keep_id").select("id").distinct(), "dropped")
+    release(hashed, survivors)
+    return out
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; rows without an id are not dropped.
 
-    Whole rows move only if the dropped ids are more than Spark broadcasts by their size.
+    Only rows that a Bloom filter of the dropped ids lets through are joined with them; the others do not move.
     """
-    gone = dropped_ids(docs, id_col, text).withColumnRenamed("id", "_gone")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    return without_ids(docs, id_col, dropped_ids(docs, id_col, text))

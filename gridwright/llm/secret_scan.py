@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.llm.bpe import code_points
-from gridwright.llm.store import packed, settle
+from gridwright.llm.membership import split
+from gridwright.llm.store import packed, release, settle
 from gridwright.llm.text_batches import steps
 
 MIN_LENGTH = 16
@@ -282,7 +283,9 @@ def score(found: DataFrame, *, max_training: int = MAX_TRAINING, trees: int = 20
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source", threshold: float = 0.5) -> DataFrame:
     """doc_id, doc_key, path, start, length, label, covered, score and ``secret`` of every candidate."""
     counts = settle(word_counts(docs, text), "words")
-    found = settle(plain_words(coverage(settle(candidates(docs, pair_scores(counts), id_col, text, path), "candidates"), counts)), "covered")
+    listed = settle(candidates(docs, pair_scores(counts), id_col, text, path), "candidates")
+    found = settle(plain_words(coverage(listed, counts)), "covered")
+    release(listed, counts)
     return score(found).filter(F.col("listed") | (F.col("score") >= threshold)).select("doc_id", "doc_key", "path", "start", "length", "label", "covered", "score", (F.col("score") >= threshold).alias("secret"))
 
 
@@ -298,12 +301,13 @@ def _mask(starts: pd.Series, lengths: pd.Series, texts: pd.Series) -> pd.Series:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """``docs`` with every confirmed secret replaced by MASK, all rows and columns kept."""
-    spans = (scan(docs, id_col, text, path).filter("secret").groupBy("doc_id", "doc_key")
-             .agg(F.collect_list(F.struct("start", "length")).alias("_spans"))  # spans of one text do not overlap
-             .select(F.col("doc_id").alias("_d"), F.col("doc_key").alias("_k"), "_spans"))
-    rows = packed(docs, _id=F.col(id_col), _key=text_key(F.col(text)))
-    joined = rows.join(spans, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    spans = settle(scan(docs, id_col, text, path).filter("secret").groupBy("doc_id", "doc_key")
+                   .agg(F.collect_list(F.struct("start", "length")).alias("_spans"))  # spans of one text do not overlap
+                   .select(F.col("doc_id").alias("_d"), F.col("doc_key").alias("_k"), "_spans"), "spans")
+    # texts without a secret stay where they are
+    maybe, rest = split(packed(docs, _id=F.col(id_col), _key=text_key(F.col(text))), ["_id", "_key"], spans, ["_d", "_k"])
+    joined = maybe.join(spans, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     mask = F.pandas_udf(_mask, "string")
-    # texts without a secret are not sent to Python
     clean = mask("_spans.start", "_spans.length", F.when(F.col("_spans").isNotNull(), F.col(f"_row.`{text}`")))
-    return joined.select([F.coalesce(clean, F.col(f"_row.`{c}`")).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    columns = [F.coalesce(clean, F.col(f"_row.`{c}`")).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return rest.select("_row.*").unionByName(joined.select(columns))
