@@ -1,6 +1,7 @@
 """Secret scanning: candidate strings, and a random forest that removes false positives.
 
-A candidate is a value of any length assigned to a credential name, or else a run of at least ``MIN_LENGTH``
+A candidate is a literal of any length assigned to a credential name (calls, look-ups, addresses and numbers are none,
+and the credential word must be a whole word of the name), or else a run of at least ``MIN_LENGTH``
 characters of ``[A-Za-z0-9+/_=-]`` with a letter or digit in it.  Runs without a digit are mostly words, so they are
 findings only where the forest calls them secrets.  Features:
 
@@ -47,10 +48,17 @@ MAX_TRAINING = 20_000
 NEIGHBOUR_BUCKETS = 32
 MASK = "[secret]"
 LETTERS = string.ascii_lowercase
-NAMES = re.compile(r"(?i)(?:token|secret|password|passwd|api_?key|access_?key|auth|credential)\w*[\"']?\s*[:=]\s*[\"']?$")
-CREDENTIAL = ("token", "secret", "password", "passwd", "apikey", "api_key", "accesskey", "access_key", "auth", "credential")
-ASSIGNED = re.compile(r"""(?i)(?:token|secret|password|passwd|api_?key|access_?key|auth(?!ors?(?![a-z]))|credential)\w{0,60}["']?\s{0,8}[:=]\s{0,8}"""
+#: A credential word as the last word of a name: whole words before it (``db_password``, ``apiToken``), and few after it.
+NAME = (r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,30}[_.\-]){0,6}(?-i:[a-z0-9]{1,30}(?=[A-Z]))?"
+        r"(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?)(?:[_-]?(?:key|token|value|string|hash))?")
+NAMES = re.compile(rf"(?i){NAME}[\"']?\s*[:=]\s*[\"']?$")
+CREDENTIAL = ("token", "secret", "password", "passwd", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "auth", "credential")
+ASSIGNED = re.compile(rf"""(?i){NAME}["']?\s{{0,8}}(?::=|=>|[:=])(?![=:])\s{{0,8}}"""
                       r"""(?:(?P<quote>["'])(?P<quoted>[^"'\r\n]+)(?P=quote)|["']?(?:(?:bearer|basic)\s{1,8})?(?P<bare>[^\s"']+))""")
+#: Values that are code or figures rather than literals: calls, look-ups, placeholders, addresses, numbers.
+NOT_LITERAL = re.compile(r"[(){}\[\]<>$]|^[a-z][a-z0-9+.-]*://|^[^A-Za-z0-9]+$", re.I)
+NUMBER = re.compile(r"[+-]?[0-9][0-9.,_:/-]*[0-9%]?$")
+IDENTIFIER = re.compile(r"[A-Za-z_]+$")
 SLUG = re.compile(r"(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/](?:[A-Za-z]+|[0-9]{1,4}))+$")
 PIECE = re.compile(r"[a-z]{3,}")
 
@@ -138,7 +146,7 @@ def shape_features(value: str, pairs: dict[str, float]) -> list[float]:
 
 
 def find_assigned(text: str):
-    """(start, value, certain) of every value assigned to a credential name; a bare word after a colon may be prose."""
+    """(start, value, certain) of every literal assigned to a credential name; a bare word may be prose or a variable."""
     folded = text.casefold()
     if not any(name in folded for name in CREDENTIAL):
         return
@@ -147,8 +155,8 @@ def find_assigned(text: str):
         group = "quoted" if m["quoted"] else "bare"
         value = m[group] if m["quoted"] else m[group].rstrip(",;.)]}")
         at = m.start(group) + max(1, len(value))
-        if value:
-            yield m.start(group), value, bool(m["quoted"]) or not value.isalpha() or "=" in text[m.start():m.start(group)]
+        if value and not NOT_LITERAL.search(value) and not NUMBER.match(value):
+            yield m.start(group), value, bool(m["quoted"]) or not IDENTIFIER.match(value)
 
 
 def find_runs(texts: list[str | None]):
@@ -213,7 +221,8 @@ def _candidates(batches, pairs: dict[str, float]):
         for i, at, value, assigned in all_candidates(texts):
             text, end = texts[i], at + len(value)
             before, after = text[max(0, at - 80):at], text[end:end + 80]
-            label = label_of(value, before) if assigned is None else 1 if assigned else None
+            # a bare identifier is a variable or prose
+            label = label_of(value, before) if assigned is None else int(assigned)
             near = [f"b:{w}" for w in before.lower().split()[-3:]] + [f"a:{w}" for w in after.lower().split()[:2]]
             shape = [*shape_features(value, pairs), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
                      float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(paths[i].count("/")), at / max(1, len(text))]

@@ -114,3 +114,33 @@ def test_rare_secrets_are_not_lost_in_the_sample(frame):
     # 20 of 403 labelled: a sample without classes holds numbers only, and gives the slug score 1
     scored = {r.doc_id: r.score for r in secret_scan.score(table, max_training=20).collect()}
     assert all(scored[1000 + i] == 1.0 for i in range(3)) and scored[2000] < 1 and all(scored[i] < 0.5 for i in range(400))
+
+
+ORDINARY = ["max_tokens = 4096", "Authentication: OAuth2 is required", "token_count: 1,024", "tokenizer=gpt2", "authorship = shared", "secretary: J.Smith",
+            "if token == END_TOKEN:", "password = os.environ['X']", "auth_url = https://login.example.com/oauth2/v1/authorize", "secret = value_of_it",
+            "password = get_password()", "api_key: ${API_KEY}", "token = 12345", "the secret: nothing to hide", "credentials: https://example.org/a/b"]
+ASSIGNMENTS = {'DB_PASSWORD="hunter two"': "hunter two", "apiToken = 'x9-y'": "x9-y", "client_secret=ab12.cd34": "ab12.cd34", "AUTH_TOKEN: z8Q!p": "z8Q!p",
+               "aws.access-key = AKIA77XQ": "AKIA77XQ", "token := t0k3n": "t0k3n"}
+
+
+def test_ordinary_text_is_no_certain_finding():
+    certain = {t: [v for _, _, v, sure in secret_scan.all_candidates([t]) if sure] for t in [*ORDINARY, *ASSIGNMENTS]}
+    assert certain == {**{t: [] for t in ORDINARY}, **{t: [v] for t, v in ASSIGNMENTS.items()}}
+
+
+def test_planted_findings_precision_and_recall(spark, frame):
+    """Truth is what was planted, not what a rule says."""
+    import random
+    rng = random.Random(11)
+    base = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    planted, plain = [], []
+    for i in range(120):
+        value = "".join(rng.choices(alphabet, k=rng.randint(10, 40))) + str(rng.randint(0, 9))
+        planted.append((5_000_000 + i, f"the page {rng.choice(['token', 'db_password', 'API_KEY', 'clientSecret'])} = \"{value}\" and more words", "p/q", value))
+        plain.append((6_000_000 + i, f"the page {rng.choice(ORDINARY)} and more words", "p/q"))
+    docs = frame([*base, *[p[:3] for p in planted], *plain], "doc_id long, text string, source string")
+    texts = {i: t for i, t, *_ in [*planted, *plain]}
+    found = {(r.doc_id, texts[r.doc_id][r.start:r.start + r.length]) for r in secret_scan.scan(docs).filter("secret").collect() if r.doc_id in texts}
+    right = {(i, v) for i, _, _, v in planted}
+    assert len(found & right) >= 0.95 * len(right) and len(found & right) >= 0.95 * len(found)
