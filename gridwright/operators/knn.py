@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from gridwright.session import settle
 
 BLOCK_ROWS = 64
-MAX_K = 128  # part of the contract: a neighbourhood is a small window
+MAX_K = 256  # part of the contract: a neighbourhood is a small window
 CANDIDATE_ROWS = 65_536  # train rows that one ranking step holds
 FAN = 1024  # nodes of a split that a query block may be paired with in the first step
 RUN = 8  # neighbouring query blocks that share their candidates

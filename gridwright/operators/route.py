@@ -43,11 +43,18 @@ def apply_selection(query: DataFrame, chosen: DataFrame, by: Sequence[str]) -> D
     return attach(query, pick, by).filter(F.col("method") == F.col("_m")).drop("_m")
 
 
-def risk_features(train: DataFrame, query: DataFrame, preds: DataFrame, by: Sequence[str], path: str = "has_path") -> DataFrame:
-    """Per query: log1p nearest, log1p 16th-nearest (or last) distance, spread of the experts, path flag."""
-    nbrs = knn.knn_join(query, train, 16, by)
-    d = nbrs.groupBy(*by, F.col("query_id").alias("point_id")).agg(
-        F.log1p(F.min("d")).alias("f_near"), F.log1p(F.max("d")).alias("f_far"))
+def risk_features(train: DataFrame, query: DataFrame, preds: DataFrame, by: Sequence[str], path: str = "has_path",
+                  neighbours: DataFrame | None = None) -> DataFrame:
+    """Per query: log1p nearest, log1p 16th-nearest (or last) distance, spread of the experts, path flag.
+
+    ``neighbours`` (by…, point_id, near) may hold the ordered nearest train rows, at least 16 where there are so many.
+    """
+    if neighbours is None:
+        d = knn.knn_join(query, train, 16, by).groupBy(*by, F.col("query_id").alias("point_id")).agg(
+            F.log1p(F.min("d")).alias("f_near"), F.log1p(F.max("d")).alias("f_far"))
+    else:
+        d = neighbours.select(*by, "point_id", F.log1p(F.col("near")[0]["d"]).alias("f_near"),
+                              F.log1p(F.element_at("near", F.least(F.size("near"), F.lit(16)))["d"]).alias("f_far"))
     # ten experts a point
     s = preds.groupBy(*by, "point_id").agg(F.stddev_pop("pred").alias("f_spread"))
     return d.join(s, [*by, "point_id"]).join(
@@ -64,27 +71,35 @@ def local_risk_weights(
 
     ``meta``/``query_meta`` carry :data:`FEATURES`; ``oof(by…, point_id, method, method_ord, pred, observed_dbm)``.
     """
+    return local_risk_table(meta, oof, query_meta, by, [metric], k, shrink).drop("metric")
+
+
+def local_risk_table(
+    meta: DataFrame, oof: DataFrame, query_meta: DataFrame, by: Sequence[str], metrics: Sequence[str], k: int = 64, shrink: float = 32.0,
+) -> DataFrame:
+    """:func:`local_risk_weights` for several metrics (MAE, RMSE) from one neighbour table: adds ``metric``."""
     by = list(by)
     cols = list(FEATURES)
     both = meta.select(*by, "point_id", *cols, F.lit(True).alias("_fit")).unionByName(
         query_meta.select(*by, "point_id", *cols, F.lit(False).alias("_fit")))
     scaled = standard_scale(both, F.col("_fit"), by, cols, limit=None, floor=1e-12)
-    nbrs = settle(knn.knn_join(scaled.filter("not _fit"), scaled.filter("_fit"), k, by, feats=cols))
+    nbrs = settle(knn.knn_join(scaled.filter("not _fit"), scaled.filter("_fit"), k, by, feats=cols).select(*by, "query_id", "train_id", "d"))
     e = F.col("pred") - F.col("observed_dbm")
-    loss = F.abs(e) if metric == "MAE" else e * e
-    losses = oof.select(*by, F.col("point_id").alias("train_id"), "method", "method_ord", loss.alias("loss"))
-    overall = losses.groupBy(*by, "method", "method_ord").agg(F.avg("loss").alias("global_risk"))
+    losses = settle(oof.select(*by, F.col("point_id").alias("train_id"), "method", "method_ord", F.abs(e).alias("MAE"), (e * e).alias("RMSE")))
+    overall = losses.groupBy(*by, "method", "method_ord").agg(*[F.avg(m).alias(f"g_{m}") for m in metrics])
     w = F.exp(-0.5 * F.col("d") * F.col("d"))
     local = nbrs.withColumn("w", w).join(losses, [*by, "train_id"]).groupBy(*by, "query_id", "method", "method_ord").agg(
-        (F.sum(F.col("w") * F.col("loss")) / F.greatest(F.sum("w"), F.lit(1e-12))).alias("local_risk"),
+        *[(F.sum(F.col("w") * F.col(m)) / F.greatest(F.sum("w"), F.lit(1e-12))).alias(f"l_{m}") for m in metrics],
         (F.sum("w") * F.sum("w") / F.greatest(F.sum(F.col("w") * F.col("w")), F.lit(1e-12))).alias("ess"))
     r = attach(local, overall, [*by, "method", "method_ord"])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"l_{m}").alias("local_risk"), F.col(f"g_{m}").alias("global_risk")) for m in metrics]))
+    r = r.select(*by, "query_id", "method", "method_ord", "ess", each.alias("_m")).select(*by, "query_id", "method", "method_ord", "ess", "_m.*")
     risk = (F.col("local_risk") * F.col("ess") + F.col("global_risk") * shrink) / (F.col("ess") + shrink)
-    risk = F.greatest(F.sqrt(risk) if metric == "RMSE" else risk, F.lit(1e-6))
+    risk = F.greatest(F.when(F.col("metric") == "RMSE", F.sqrt(risk)).otherwise(risk), F.lit(1e-6))
     r = r.withColumn("risk", risk)
     inv = 1.0 / (F.col("risk") * F.col("risk"))
-    total = F.sum(inv).over(W.partitionBy(*by, "query_id"))  # one row per expert
-    return r.select(*by, F.col("query_id").alias("point_id"), "method", "method_ord", "risk", "ess", (inv / total).alias("weight"))
+    total = F.sum(inv).over(W.partitionBy(*by, "query_id", "metric"))  # one row per expert
+    return r.select(*by, F.col("query_id").alias("point_id"), "metric", "method", "method_ord", "risk", "ess", (inv / total).alias("weight"))
 
 
 def weighted_blend(preds: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:

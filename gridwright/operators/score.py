@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from gridwright.functions.quantiles import attach, exact_quantiles
+from gridwright.session import settle
 
 
 def rate(test: Column) -> Column:
@@ -154,6 +155,9 @@ def contrasts(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
     return wide.select(*by, F.explode(pairs).alias("_c")).select(*by, "_c.*")
 
 
+DRAW_RUN = 500
+
+
 def cluster_bootstrap(
     df: DataFrame, by: Sequence[str], cluster: str, arm: str, draws: int, seed: int,
     pred: str = "predicted_dbm", obs: str = "observed_dbm", interval: tuple[float, float] = (0.025, 0.975),
@@ -166,23 +170,27 @@ def cluster_bootstrap(
     from gridwright.functions.ranking import global_position
 
     by = list(by)
-    sums = pooled_score(df, [*by, cluster, arm], pred, obs)
+    sums = settle(pooled_score(df, [*by, cluster, arm], pred, obs))
     clusters = global_position(sums.select(*by, cluster).distinct(), by, [F.col(cluster)], "slot")
     size = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
-    # picks: draws x clusters short rows per group; counted per (draw, cluster) before the join
+    # picks become counts per (draw, cluster) in the task that draws them: a task holds a run of draws of all clusters of a group
+    run = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_RUN)))
+    first = F.col("_run") * DRAW_RUN
     picks = (
-        clusters.join(size, by)
-        .select(*by, "slot", "_m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+        attach(clusters, size, by).select(*by, "slot", "_m", run.alias("_run")).repartition(*by, "_run")
+        .select(*by, "slot", "_m", F.explode(F.sequence(first, F.least(first + DRAW_RUN - 1, F.lit(draws - 1)))).alias("draw"))
         .withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws(
             "|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by],
             F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("bigint"))
         .withColumn("pick", F.col("_h") % F.col("_m") + 1)
         .groupBy(*by, "draw", "pick").agg(F.count(F.lit(1)).alias("times"))
     )
-    numbered = sums.join(clusters, [*by, cluster]).withColumnRenamed("slot", "pick")
-    boot = picks.join(numbered, [*by, "pick"]).groupBy(*by, "draw", arm).agg(
-        F.sum(F.col("times") * F.col("n")).alias("n"), F.sum(F.col("times") * F.col("sse")).alias("sse"),
-        F.sum(F.col("times") * F.col("sae")).alias("sae"))
+    # all arms of a cluster in one row
+    each = F.struct(F.col(arm).alias("arm"), "n", "sse", "sae")
+    numbered = sums.join(clusters, [*by, cluster]).groupBy(*by, F.col("slot").alias("pick")).agg(F.sort_array(F.collect_list(each)).alias("_arms"))
+    boot = settle(picks.join(numbered, [*by, "pick"]).select(*by, "draw", "times", F.explode("_arms").alias("_a")).groupBy(*by, "draw", F.col("_a.arm").alias(arm)).agg(
+        F.sum(F.col("times") * F.col("_a.n")).alias("n"), F.sum(F.col("times") * F.col("_a.sse")).alias("sse"),
+        F.sum(F.col("times") * F.col("_a.sae")).alias("sae")))
     point = sums.groupBy(*by, arm).agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.sum("sae").alias("sae"))
 
     def gains(t: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -207,6 +207,9 @@ def allocate_budget(counts: DataFrame, by: Sequence[str], total: int, band: str
     return t.select(*by, band, n, "allocated")
 
 
+CANDIDATE_RUN = 1000
+
+
 def band_balanced_folds(points: DataFrame, n_folds: int, candidates: int, seed: int) -> DataFrame:
     """Search hash-drawn group-to-fold assignments for even loads in both bands.
 
@@ -216,9 +219,15 @@ def band_balanced_folds(points: DataFrame, n_folds: int, candidates: int, seed:
     counts = points.groupBy("trajectory_group").agg(
         F.count_if(F.col("band") == "n41").alias("a"), F.count_if(F.col("band") == "n79").alias("b"))
     total = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.count(F.lit(1)).alias("groups"))
-    drawn = counts.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
-    drawn = drawn.withColumn("fold", (md5_u32(F.lit(seed), F.col("candidate"), F.col("trajectory_group")) % n_folds).cast("int"))
-    loads = drawn.groupBy("candidate", "fold").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    def fold(candidate):
+        return (md5_u32(F.lit(seed), candidate, F.col("trajectory_group")) % n_folds).cast("int")
+
+    # a task draws a run of candidates for all groups and adds up their loads, so only candidates x folds sums move
+    run = F.explode(F.sequence(F.lit(0), F.lit((candidates - 1) // CANDIDATE_RUN)))
+    first = F.col("_run") * CANDIDATE_RUN
+    drawn = counts.withColumn("_run", run).repartition("_run").select(
+        "trajectory_group", "a", "b", F.explode(F.sequence(first, F.least(first + CANDIDATE_RUN - 1, F.lit(candidates - 1)))).alias("candidate"))
+    loads = drawn.withColumn("fold", fold(F.col("candidate"))).groupBy("candidate", "fold").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     loads = loads.crossJoin(F.broadcast(total))  # one row
     def parts(v, t):
         least = F.greatest(F.col(t) * 0.02, F.lit(100.0))
@@ -231,7 +240,8 @@ def band_balanced_folds(points: DataFrame, n_folds: int, candidates: int, seed:
         F.count(F.lit(1)).alias("used"), F.sum(sa + sb).alias("shortfall"),
         F.sum((na - 1.0) * (na - 1.0) + (nb - 1.0) * (nb - 1.0)).alias("imbalance"), F.max(F.greatest(na, nb)).alias("peak"))
     best = argmin(score.filter(F.col("used") == n_folds), [], ["shortfall", "imbalance", "peak", "candidate"], ["candidate", "shortfall"])
-    return drawn.join(F.broadcast(best), "candidate").select("trajectory_group", "fold", "candidate", "shortfall")  # one row
+    chosen = counts.select("trajectory_group").crossJoin(F.broadcast(best))  # one row
+    return chosen.select("trajectory_group", fold(F.col("candidate")).alias("fold"), "candidate", "shortfall")
 
 
 def train_query_spec(train: DataFrame, query: DataFrame, by: Sequence[str], seed: int) -> DataFrame:

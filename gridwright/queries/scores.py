@@ -77,7 +77,7 @@ def _(spark, sf):
 @query("cluster_bootstrap_a22", f"""WITH s AS (SELECT band, method, trajectory_group, arm, count(*) AS n, sum(error_db*error_db) AS sse, sum(abs(error_db)) AS sae FROM f_arms GROUP BY ALL),
  c AS (SELECT band, method, trajectory_group, row_number() OVER (PARTITION BY band, method ORDER BY trajectory_group) AS slot, count(*) OVER (PARTITION BY band, method) AS m
    FROM (SELECT DISTINCT band, method, trajectory_group FROM s)),
- p AS (SELECT band, method, m, draw, {h32("'20260905|'||band||'|'||method||'|'||draw||'|'||slot")} % m + 1 AS pick FROM c, range(200) t(draw)),
+ p AS (SELECT band, method, m, draw, {h32("'20260905|'||band||'|'||method||'|'||draw||'|'||slot")} % m + 1 AS pick FROM c, range(10000) t(draw)),
  b AS (SELECT p.band, p.method, p.draw, s.arm, sum(n) AS n, sum(sse) AS sse, sum(sae) AS sae FROM p JOIN c ON p.band=c.band AND p.method=c.method AND p.pick=c.slot
    JOIN s ON s.band=c.band AND s.method=c.method AND s.trajectory_group=c.trajectory_group GROUP BY ALL),
  bm AS (SELECT band, method, draw, metric, {PIVOT.format(m='v')} FROM (SELECT band, method, draw, arm, 'rmse_db' AS metric, sqrt(sse/n) AS v FROM b UNION ALL SELECT band, method, draw, arm, 'mae_db', sae/n FROM b) GROUP BY band, method, draw, metric),
@@ -90,7 +90,7 @@ def _(spark, sf):
   ON pc.band=q.band AND pc.method=q.method AND pc.metric=q.metric AND pc.u.c=q.c
  JOIN (SELECT DISTINCT band, method, m FROM c) k ON k.band=pc.band AND k.method=pc.method""")
 def _(spark, sf):
-    return score.cluster_bootstrap(arms(spark, sf), ["band", "method"], "trajectory_group", "arm", 200, 20260905)
+    return score.cluster_bootstrap(arms(spark, sf), ["band", "method"], "trajectory_group", "arm", 10_000, 20260905)
 
 
 @query("paired_delta_a23", """SELECT a.band, a.outer_fold, a.mode, a.budget, a.repeat, a.mae_db-b.mae_db AS delta_mae_db, a.rmse_db-b.rmse_db AS delta_rmse_db,

@@ -123,13 +123,13 @@ def _(spark, sf):
 
 @query("band_balanced_group_folds_c3", f"""WITH c AS (SELECT trajectory_group, count(*) FILTER (band='n41') AS a, count(*) FILTER (band='n79') AS b FROM f_points GROUP BY 1),
  t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM c),
- d AS (SELECT c.*, candidate, CAST({h32("'240903|'||candidate||'|'||trajectory_group")}%5 AS INTEGER) AS fold FROM c, range(400) k(candidate)),
+ d AS (SELECT c.*, candidate, CAST({h32("'240903|'||candidate||'|'||trajectory_group")}%5 AS INTEGER) AS fold FROM c, range(200000) k(candidate)),
  l AS (SELECT candidate, fold, sum(a) AS a, sum(b) AS b FROM d GROUP BY ALL),
  s AS (SELECT candidate, count(*) AS used, sum(power(greatest(greatest(ta*0.02e0,100e0)-a,0e0)/greatest(ta*0.02e0,100e0),2)+power(greatest(greatest(tb*0.02e0,100e0)-b,0e0)/greatest(tb*0.02e0,100e0),2)) AS shortfall,
   sum(power(a/greatest(ta/5e0,1e0)-1,2)+power(b/greatest(tb/5e0,1e0)-1,2)) AS imbalance, max(greatest(a/greatest(ta/5e0,1e0),b/greatest(tb/5e0,1e0))) AS peak FROM l, t GROUP BY candidate)
  SELECT trajectory_group, fold, CAST(candidate AS INTEGER) AS candidate, shortfall FROM d JOIN (SELECT candidate, shortfall FROM s WHERE used=5 ORDER BY shortfall, imbalance, peak, candidate LIMIT 1) USING (candidate)""")
 def _(spark, sf):
-    return splits.band_balanced_folds(fx.points(spark, sf), 5, 400, 240903)
+    return splits.band_balanced_folds(fx.points(spark, sf), 5, 200_000, 240903)
 
 
 @query("derive_seed_c9", f"SELECT point_id, {s32("'20260905|'||band||'|'||point_id||'|order'")} AS seed FROM f_points")
