@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +25,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files.
+    """Write ``df`` as Parquet to the checkpoint folder and continue from the files.
 
     Used where two later plans must see one and the same physical layout (row positions after a
-    range exchange, block identifiers) and where a loop would otherwise grow its lineage.
-    The files survive lost executors, unlike executor-local storage.
+    range exchange, block identifiers) and where a loop would otherwise grow its lineage.  The files survive
+    lost executors, unlike executor-local storage; a later plan reads only the columns it needs, knows the
+    table's size (so small ones are broadcast), and starts from a plain scan instead of the old plan's constraints.
+    They stay below ``spark.checkpoint.dir`` until its owner clears the folder.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
