@@ -26,6 +26,7 @@ from __future__ import annotations
 import bisect
 from dataclasses import dataclass
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ GROWTH = 4
 #: Cells worked on at once.
 STEP_CELLS = 1 << 20
 STEP_WINDOW = 1 << 20
+#: A cell as it stands in a fingerprint.
 CELL = np.dtype([("count", "<i4"), ("check", "<u4"), ("key", "<u8")])
 #: Odd multipliers of the SplitMix64 finaliser and of Fibonacci hashing: fixed values.
 MIX_1, MIX_2, GOLDEN_64, GOLDEN_32 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0x9E3779B1
@@ -137,6 +139,13 @@ def passages(texts: pa.Array) -> Passages:
 
 # ---------------------------------------------------------------- sketches
 
+class Cells(NamedTuple):
+    """The cells of several sketches, one array for each of their parts."""
+    count: np.ndarray
+    check: np.ndarray
+    key: np.ndarray
+
+
 def _places(keys: np.ndarray, owner: np.ndarray, cells: int) -> np.ndarray:
     """The HASHES cells of every digest; a sketch of another size hashes anew."""
     third = cells // HASHES
@@ -147,40 +156,37 @@ def _check(keys: np.ndarray) -> np.ndarray:
     return (_salted(keys, -1) >> np.uint64(32)).astype(np.uint32)
 
 
-def _throw(table: np.ndarray, keys: np.ndarray, owner: np.ndarray, cells: int, sign: np.ndarray | int) -> np.ndarray:
+def _throw(table: Cells, keys: np.ndarray, owner: np.ndarray, cells: int, sign: np.ndarray | int) -> np.ndarray:
     check = _check(keys)
     places = _places(keys, owner, cells)
+    signs = np.full(len(keys), sign, np.int32)
     for row in places:
-        np.add.at(table["count"], row, np.broadcast_to(np.asarray(sign, np.int32), len(keys)))
-        np.bitwise_xor.at(table["key"], row, keys)
-        np.bitwise_xor.at(table["check"], row, check)
+        np.add.at(table.count, row, signs)
+        np.bitwise_xor.at(table.key, row, keys)
+        np.bitwise_xor.at(table.check, row, check)
     return places
 
 
-def sketches(found: Passages, texts: np.ndarray, cells: int) -> np.ndarray:
+def sketches(found: Passages, texts: np.ndarray, cells: int) -> Cells:
     """The sketches of the chosen texts, ``cells`` each."""
-    table = np.zeros(len(texts) * cells, CELL)
+    table = Cells(*(np.zeros(len(texts) * cells, CELL[part]) for part in Cells._fields))
     keys, owner = found.pick(texts)
     _throw(table, keys, owner, cells, 1)
     return table
 
 
-def subtract(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a), CELL)
-    out["count"] = a["count"] - b["count"]
-    out["key"] = a["key"] ^ b["key"]
-    out["check"] = a["check"] ^ b["check"]
-    return out
+def subtract(a: Cells, b: Cells) -> Cells:
+    return Cells(a.count - b.count, a.check ^ b.check, a.key ^ b.key)
 
 
-def peel(table: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def peel(table: Cells, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pair, digest, side) of all that can be recovered from differences, and which of them are now empty; works in place."""
     gone = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-    look = np.arange(len(table))
+    look = np.arange(len(table.count))
     while len(look):
-        pure = look[np.abs(table["count"][look]) == 1]
-        pure = pure[_check(table["key"][pure]) == table["check"][pure]]
-        pair, keys, side = pure // cells, table["key"][pure].copy(), table["count"][pure].copy()
+        pure = look[np.abs(table.count[look]) == 1]
+        pure = pure[_check(table.key[pure]) == table.check[pure]]
+        pair, keys, side = pure // cells, table.key[pure], table.count[pure]
         order = np.lexsort((keys, pair))
         pair, keys, side, pure = pair[order], keys[order], side[order], pure[order]
         first = np.ones(len(keys), bool)
@@ -191,7 +197,7 @@ def peel(table: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         look = _throw(table, keys, pair, cells, -side).ravel()
         for kept, new in zip(gone, (pair, keys, side)):
             kept.append(new)
-    empty = ~((table["count"] != 0) | (table["key"] != 0)).reshape(-1, cells).any(axis=1)
+    empty = ~((table.count != 0) | (table.key != 0)).reshape(-1, cells).any(axis=1)
     return *(np.concatenate(kept) for kept in gone), empty
 
 
@@ -224,7 +230,11 @@ def likeness(a: Passages, at: np.ndarray, b: Passages, bt: np.ndarray, pair: np.
 
 def fingerprints(found: Passages, texts: np.ndarray) -> list[str]:
     """The smallest sketch of each text in hex."""
-    rows = sketches(found, texts, CELLS).tobytes()
+    made = sketches(found, texts, CELLS)
+    table = np.empty(len(made.count), CELL)
+    for part in Cells._fields:
+        table[part] = getattr(made, part)
+    rows = table.tobytes()
     size = CELLS * CELL.itemsize
     return [rows[i:i + size].hex() for i in range(0, len(texts) * size, size)]
 
