@@ -50,8 +50,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url:
              .withColumn("_digest", F.sha2("rule", 256)).withColumn("_hash", F.left("_digest", F.lit(HASH_PREFIX))))
     # one array as a scalar subquery: at most as many numbers as the longest rule path has characters
     lengths = known.select(F.array_sort(F.collect_set(F.length("rule") - F.instr("rule", "/") + 1)).alias("_lengths")).scalar()
+    # only as many labels as the deepest rule host has can decide, so a host of any length gives a bounded number of suffixes
+    deepest = known.select(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))).alias("_deepest")).scalar()
     urls = rows.filter("host <> '' AND path <> ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.")
+    every = F.split("host", r"\.")
+    urls = urls.withColumn("_labels", F.slice(every, F.greatest(F.lit(1), F.size(every) - F.coalesce(deepest, F.lit(1)) + 1), F.size(every)))
+    labels = F.col("_labels")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     expanded = (urls.select("host", "path", F.explode(suffixes).alias("_suffix"))
                 .select("host", "path", "_suffix", F.explode(lengths).alias("_length"))

@@ -39,6 +39,14 @@ def test_url_rules(spark, frame):
     assert [r.verdict for r in none] == ["allow"]
 
 
+def test_hosts_of_many_labels(spark, frame):
+    rules = [*queries.RULES, ("a.b.c.example.com/", "block")]
+    hosts = ["x." * 20_000 + "example.net", "x." * 20_000 + "a.b.c.example.com", "." * 5_000, "c.example.com", "b.c.example.com", "y" * 100_000 + ".org"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("/", "/en/1", "/fr/")]
+    rows = url_rules.judge_urls(frame(list(enumerate(urls)), "page_id long, url string"), url_rules.rule_table(spark, rules)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in rows} == {i: plain_verdict(u, rules)[2:] for i, u in enumerate(urls)}
+
+
 def shards_ok(rows, texts):
     totals, places = defaultdict(int), defaultdict(list)
     for r in rows:
