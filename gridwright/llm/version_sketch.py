@@ -5,8 +5,9 @@ the last four bytes, one byte in ``PASSAGE_BYTES`` on average; after ``LONGEST``
 other.  Every passage is a 64-bit digest, numbered when it repeats.  A sketch throws each digest into three of its cells;
 a cell keeps a count, the exclusive or of its digests and of their checks.  Two sketches subtract cell by cell: what both
 texts hold cancels, and peeling (a cell with one digest left gives it away, which empties two more) recovers the
-digests of either side.  Where peeling gets stuck the sketch was too small, and both are built again ``GROWTH`` times
-larger under new hashes until all are recovered; nothing is estimated.  The likeness is the Jaccard similarity
+digests of either side.  Where peeling gets stuck the sketch was too small: the second size is guessed from the counts of
+the first difference, and every further one is ``GROWTH`` times larger, under new hashes, until all are recovered; only
+the guess of a size is an estimate.  The likeness is the Jaccard similarity
 that follows: with d digests recovered of a + b, (a + b - d) / (a + b + d).
 
 ``compare_versions`` compares two text columns of a row.  ``edited_chain`` gives every document the one after it in the order of
@@ -45,6 +46,8 @@ LONGEST = 64
 CELLS = 12
 HASHES = 3
 GROWTH = 4
+#: Cells of the second sketch for each digest that is expected to differ.
+SPARE = 1.5
 #: Cells worked on at once.
 STEP_CELLS = 1 << 20
 STEP_WINDOW = 1 << 20
@@ -201,22 +204,53 @@ def peel(table: Cells, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return *(np.concatenate(kept) for kept in gone), empty
 
 
-def differences(a: Passages, at: np.ndarray, b: Passages, bt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, digest, side) of every digest that one text of a pair holds and the other does not; side 1 is ``a``, -1 ``b``."""
+def smallest(found: Passages) -> Cells:
+    """The sketches of all texts at the size of a fingerprint."""
+    return sketches(found, np.arange(len(found.offsets) - 1), CELLS)
+
+
+def _rows(table: Cells, texts: np.ndarray) -> Cells:
+    return Cells(*(part.reshape(-1, CELLS)[texts].ravel() for part in table))
+
+
+def _expected(table: Cells, apart: np.ndarray) -> np.ndarray:
+    """About how many digests differ: the squares of the counts of a difference, less what the surplus of one side adds to each."""
+    third = CELLS // HASHES
+    squares = (table.count.astype(np.float64) ** 2).reshape(-1, CELLS).sum(axis=1) / HASHES
+    return (squares - apart.astype(np.float64) ** 2 / third) / (1 - 1 / third)
+
+
+def differences(a: Passages, at: np.ndarray, b: Passages, bt: np.ndarray,
+                small: tuple[Cells, Cells] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, side) of every digest that one text of a pair holds and the other does not; side 1 is ``a``, -1 ``b``.
+
+    The smallest sketches (``small``, of all texts on either side) are tried first; their counts say how large the next ones
+    should be.  A wrong guess costs another round and nothing else.
+    """
     out = [], [], []
+    small = small or (smallest(a), smallest(b))
     apart = np.abs(a.sizes()[at] - b.sizes()[bt])
-    waiting, cells = np.arange(len(at)), CELLS
+    table = subtract(_rows(small[0], at), _rows(small[1], bt))
+    likely = np.maximum(np.minimum(_expected(table, apart), a.sizes()[at] + b.sizes()[bt]), apart)
+    doublings = np.maximum(np.ceil(np.log2(np.maximum(SPARE * likely / CELLS, 1))), 1).astype(np.int64)
+    need = CELLS << doublings
+
+    def keep(some, pair, keys, side, empty):
+        done = empty[pair]
+        for kept, new in zip(out, (some[pair[done]], keys[done], side[done])):
+            kept.append(new)
+        return some[~empty]
+
+    waiting = keep(np.arange(len(at)), *peel(table, CELLS))
     while len(waiting):
-        late = [waiting[apart[waiting] > cells]]  # this many differ at least
-        ready = waiting[apart[waiting] <= cells]
+        cells = int(need[waiting].min())
+        late, ready = [waiting[need[waiting] > cells]], waiting[need[waiting] == cells]
         for s in range(0, len(ready), max(1, STEP_CELLS // cells)):
             some = ready[s:s + max(1, STEP_CELLS // cells)]
-            pair, keys, side, empty = peel(subtract(sketches(a, at[some], cells), sketches(b, bt[some], cells)), cells)
-            late.append(some[~empty])
-            done = empty[pair]
-            for kept, new in zip(out, (some[pair[done]], keys[done], side[done])):
-                kept.append(new)
-        waiting, cells = np.sort(np.concatenate(late)), cells * GROWTH
+            failed = keep(some, *peel(subtract(sketches(a, at[some], cells), sketches(b, bt[some], cells)), cells))
+            need[failed] = cells * GROWTH
+            late.append(failed)
+        waiting = np.concatenate(late)
     kinds = (np.int64, np.uint64, np.int32)
     return tuple(np.concatenate(kept) if kept else np.zeros(0, kind) for kept, kind in zip(out, kinds))
 
@@ -228,15 +262,14 @@ def likeness(a: Passages, at: np.ndarray, b: Passages, bt: np.ndarray, pair: np.
     return np.where(both + apart > 0, (both - apart) / np.maximum(both + apart, 1), 1.0)
 
 
-def fingerprints(found: Passages, texts: np.ndarray) -> list[str]:
-    """The smallest sketch of each text in hex."""
-    made = sketches(found, texts, CELLS)
-    table = np.empty(len(made.count), CELL)
+def fingerprints(small: Cells) -> list[str]:
+    """Smallest sketches in hex."""
+    table = np.empty(len(small.count), CELL)
     for part in Cells._fields:
-        table[part] = getattr(made, part)
+        table[part] = getattr(small, part)
     rows = table.tobytes()
     size = CELLS * CELL.itemsize
-    return [rows[i:i + size].hex() for i in range(0, len(texts) * size, size)]
+    return [rows[i:i + size].hex() for i in range(0, len(rows), size)]
 
 
 # ---------------------------------------------------------------- two versions in a row
@@ -254,9 +287,10 @@ def _compare(batches):
     for part in steps((_with_both(b) for b in batches), "_both", STEP_BYTES):
         old, new = (pc.fill_null(part.column(c), "") for c in ("_old", "_new"))
         a, b, every = passages(old), passages(new), np.arange(part.num_rows)
-        pair, keys, side = differences(a, every, b, every)
+        small = smallest(a), smallest(b)
+        pair, keys, side = differences(a, every, b, every, small)
         diff = pa.StructArray.from_arrays([
-            pa.array(fingerprints(a, every), pa.string()), pa.array(fingerprints(b, every), pa.string()),
+            pa.array(fingerprints(small[0]), pa.string()), pa.array(fingerprints(small[1]), pa.string()),
             _lists(pair[side > 0], keys[side > 0], len(every)), _lists(pair[side < 0], keys[side < 0], len(every)),
             pa.array(likeness(a, every, b, every, pair))],
             names=["old_fingerprint", "new_fingerprint", "only_old", "only_new", "likeness"])
@@ -316,11 +350,12 @@ def _chain(batches, id_col, text):
         own, new = passages(pa.array([t or "" for t in texts], pa.string())), passages(pa.array(edited, pa.string()))
         keep = np.flatnonzero(~part.column("_ahead").to_numpy(zero_copy_only=False))
         place, at = np.array(place)[keep], keep + 2
-        to_edited = likeness(own, at, new, keep, differences(own, at, new, keep)[0])
-        to_next = likeness(own, at, own, place, differences(own, at, own, place)[0])
+        small, small_new = smallest(own), smallest(new)
+        to_edited = likeness(own, at, new, keep, differences(own, at, new, keep, (small, small_new))[0])
+        to_next = likeness(own, at, own, place, differences(own, at, own, place, (small, small))[0])
         made = pa.StructArray.from_arrays([
             pa.array([len(bodies[i]) for i in keep.tolist()], pa.int64()), pa.array([edited[i] for i in keep.tolist()], pa.string()),
-            pa.array(fingerprints(own, at), pa.string()), pa.array(fingerprints(new, keep), pa.string()),
+            pa.array(fingerprints(_rows(small, at)), pa.string()), pa.array(fingerprints(_rows(small_new, keep)), pa.string()),
             pa.array(to_edited), pa.array(to_next)],
             names=["n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
         yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(keep)), made], names=["_row", "_print"])
