@@ -32,7 +32,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +68,10 @@ def _salted(x: np.ndarray, salt: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- passages
 
+#: One word for every byte at every place of a passage.
+TABLE = _mix(np.arange(1, LONGEST * 256 + 1, dtype=np.uint64) * np.uint64(GOLDEN_64))
+
+
 @dataclass
 class Passages:
     """Distinct digests of several texts, those of text i at ``offsets[i]`` to ``offsets[i + 1]``."""
@@ -111,6 +114,17 @@ def _cuts(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray
     return np.minimum(np.repeat(begins, pieces) + step * LONGEST, np.repeat(ends, pieces))
 
 
+def _digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Tabulation hashes: the exclusive or of one word for every byte at its place in the passage."""
+    keys = np.zeros(len(ends), np.uint64)
+    for a in range(0, len(ends), STEP_WINDOW // LONGEST):
+        first, last = begins[a:a + STEP_WINDOW // LONGEST], ends[a:a + STEP_WINDOW // LONGEST]
+        place = np.arange(first[0], last[-1]) - np.repeat(first, last - first)
+        words = TABLE[place << 8 | data[first[0]:last[-1]]]
+        keys[a:a + len(first)] = np.bitwise_xor.reduceat(words, first - first[0])
+    return keys
+
+
 def passages(texts: pa.Array) -> Passages:
     """The passages of every text; ``texts`` has no nulls."""
     bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
@@ -121,9 +135,7 @@ def passages(texts: pa.Array) -> Passages:
     ends = _cuts(data, starts, stops)
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
     owner = np.searchsorted(stops, ends, "left")
-    held = data.tobytes()
-    digest = xxhash.xxh64_intdigest
-    keys = np.fromiter((digest(held[a:b]) for a, b in zip(begins.tolist(), ends.tolist())), np.uint64, len(ends))
+    keys = _digests(data, begins, ends)
     # number the repeats of a digest within its text
     order = np.lexsort((keys, owner))
     keys, owner = keys[order], owner[order]
