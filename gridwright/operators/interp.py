@@ -153,7 +153,7 @@ def local_kernel(
 
 
 def local_kriging(
-    nbrs: DataFrame, by: Sequence[str], values: dict[str, str], length: Sequence[float], signal: float, noise: float,
+    nbrs: DataFrame, by: Sequence[str], values: dict[str, str], length: Sequence[float], signal: float | str, noise: float | str,
     kernel: str = "matern32", feats: Sequence[str] = ("tx", "ty"), query_feats: Sequence[str] = ("qx", "qy"),
     centers: dict[str, str] | None = None, variance: str | None = None, scale: str | None = None,
 ) -> DataFrame:
@@ -161,14 +161,14 @@ def local_kriging(
 
     ``values`` maps output name -> train value column; ``centers`` names per-query constants (such as the
     split mean) subtracted before and added after, else the neighbour mean is used.  ``signal`` and ``noise``
-    are those of the standardised target.  ``variance`` names an output for the latent variance of the first
+    are those of the standardised target, or name per-query constants that hold them.  ``variance`` names an output for the latent variance of the first
     target in its own unit: it is multiplied by the square of ``scale``, a per-query constant with the target's
     population deviation in the split (else that of the neighbours).  At most 128 rows per query, stacked by width in Arrow batches.
     """
     f, q, names = list(feats), list(query_feats), list(values)
     centers = centers or {}
     ell = np.asarray(length, float)
-    keep = list(dict.fromkeys([*q, *centers.values(), *([scale] if scale else [])]))
+    keep = list(dict.fromkeys([*q, *centers.values(), *[c for c in (scale, signal, noise) if isinstance(c, str)]]))
     packed = nbrs.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("rank", *[F.col(values[n]).alias(f"v_{n}") for n in names], *f))).alias("_n"),
         *[F.first(c).alias(c) for c in keep])
@@ -181,9 +181,9 @@ def local_kriging(
 
     def cov(r2):
         if kernel == "rbf":
-            return signal * np.exp(-0.5 * r2)
+            return np.exp(-0.5 * r2)
         z = np.sqrt(3.0) * np.sqrt(np.maximum(r2, 1e-24))
-        return signal * (1.0 + z) * np.exp(-z)
+        return (1.0 + z) * np.exp(-z)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -200,13 +200,14 @@ def local_kriging(
                     p = part[q].to_numpy(float) / ell
                     mu = np.stack([part[centers[k]].to_numpy(float) if k in centers else y[:, :, i].mean(axis=1)
                                    for i, k in enumerate(names)], axis=1)
-                    gram = cov(((x[:, :, None, :] - x[:, None, :, :]) ** 2).sum(-1))
-                    gram[:, range(m), range(m)] += noise + 1e-8
-                    cross = cov(((x - p[:, None, :]) ** 2).sum(-1))
+                    sig, own = (part[c].to_numpy(float) if isinstance(c, str) else np.full(len(at), float(c)) for c in (signal, noise))
+                    gram = sig[:, None, None] * cov(((x[:, :, None, :] - x[:, None, :, :]) ** 2).sum(-1))
+                    gram[:, range(m), range(m)] += (own + 1e-8)[:, None]
+                    cross = sig[:, None] * cov(((x - p[:, None, :]) ** 2).sum(-1))
                     sol = np.linalg.solve(gram, np.concatenate([y - mu[:, None, :], cross[:, :, None]], axis=2))
                     mean[at] = mu + np.einsum("bk,bkv->bv", cross, sol[:, :, :-1])
                     deviation = part[scale].to_numpy(float) if scale else y[:, :, 0].std(axis=1)
-                    var[at] = np.maximum(signal - (cross * sol[:, :, -1]).sum(1), 0.0) * deviation**2
+                    var[at] = np.maximum(sig - (cross * sol[:, :, -1]).sum(1), 0.0) * deviation**2
             for i, k in enumerate(names):
                 out[k] = mean[:, i]
             if variance:

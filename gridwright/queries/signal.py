@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridwright import fixtures as fx
 from gridwright.functions import columns as col
 from gridwright.functions.quantiles import attach
-from gridwright.operators import calibrate, contracts, interp, knn, route, score, splits
+from gridwright.operators import calibrate, contracts, interp, knn, kriging, route, score, splits
 from gridwright.queries.registry import query
 from gridwright.queries.views import METRICS, h32
 from gridwright.session import settle
@@ -178,6 +178,23 @@ def _(spark, sf):
     return interp.local_kriging(near, KEYS, {"pred": "v"}, (50.0, 50.0), 1.0, 0.05, variance="latent_var", scale="deviation")
 
 
+def standardised(spark, sf):
+    """64 neighbours of every query with mean and deviation of its band's train rows."""
+    spread = fx.base_gain(spark, sf).filter("role='train'").groupBy("band").agg(F.avg("observed_dbm").alias("center"), F.stddev_pop("observed_dbm").alias("scale"))
+    return attach(placed(spark, sf, 64), spread, ["band"])
+
+
+@query("kriging_search_i8")
+def _(spark, sf):
+    return kriging.search(standardised(spark, sf), ["band"], "query_id", "v")
+
+
+@query("fitted_kriging_i8")
+def _(spark, sf):
+    near = settle(standardised(spark, sf))
+    return kriging.fitted_kriging(near, ["band"], "query_id", "v", kriging.search(near, ["band"], "query_id", "v"))
+
+
 @query("rbf_residual_i8")
 def _(spark, sf):
     return interp.local_kriging(placed(spark, sf, 64), KEYS, {"pred": "v"}, (45.0, 45.0), 1.0, 1.0, kernel="rbf")
