@@ -33,8 +33,9 @@ SIGNALS = (0.1, 0.3, 1.0, 3.0)
 NOISES = (0.001, 0.01, 0.05, 0.2, 0.6, 1.5)
 #: Factors of the second grid around the first one's winner.
 NEAR = (0.6, 1.0, 1.6)
-#: Blocks whose systems are held at once.
+#: Blocks whose systems are held at once, and blocks of one task where there are many.
 STEP_BLOCKS = 128
+TASK_BLOCKS = 4096
 
 
 def shared_grid(lengths: Sequence[float] = LENGTHS, signals: Sequence[float] = SIGNALS, noises: Sequence[float] = NOISES,
@@ -140,6 +141,8 @@ def search(nbrs: DataFrame, split: Sequence[str], block: str, value: str, feats:
     """(split…, length, signal, noise, loglik, blocks, rows): the parameters of the largest composite likelihood per split."""
     split, axes = list(split), len(feats)
     blocks = settle(block_table(nbrs, split, block, value, feats, center, scale))
+    # a block is few bytes and much work: tasks are cut by their number, not by the size of the files
+    blocks = blocks.repartition(max(blocks.sparkSession.sparkContext.defaultParallelism, -(-blocks.count() // TASK_BLOCKS)))
     grid = grid or shared_grid(axes=axes)
 
     def best(table: DataFrame, with_grid) -> DataFrame:

@@ -99,6 +99,30 @@ def outer_splits(points: DataFrame, by: Sequence[str], mode: str, outer_fold: in
     return test.select(*by, "point_id", F.lit("test").alias("role"), F.lit(None).cast("double").alias("nearest_m")).unionByName(kept)
 
 
+def split_lattice(points: DataFrame, by: Sequence[str], modes: Sequence[str], n_folds: int, seed: int) -> DataFrame:
+    """(by…, mode, outer_fold, point_id, role, nearest_m): :func:`outer_splits` of every mode and fold.
+
+    Modes of one cell size share their folds, and all folds of all sizes share one neighbour job.
+    """
+    from gridwright.session import settle
+    by = list(by)
+    geometry = {m: mode_geometry(m) for m in modes}
+    rows = None
+    for cell in sorted({c for c, _ in geometry.values()}):
+        folded = fold_points(points, balanced_cell_folds(points, by, n_folds, cell, seed), by, cell)
+        part = folded.select(*by, "point_id", "x", "y", F.col("fold").alias("_own"), F.lit(float(cell)).alias("_cell"))
+        rows = part if rows is None else rows.unionByName(part)
+    many = settle(rows).withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    keys = [*by, "_cell", "outer_fold"]
+    is_test = F.col("_own") == F.col("outer_fold")
+    near = nearest_distance(many.filter(~is_test), many.filter(is_test), keys).withColumnRenamed("query_id", "point_id")
+    placed = many.join(near, [*keys, "point_id"], "left")
+    listed = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(float(c)).alias("cell"), F.lit(float(b)).alias("buffer")) for m, (c, b) in geometry.items()])
+    placed = placed.withColumn("_m", F.explode(F.filter(listed, lambda m: m["cell"] == F.col("_cell"))))
+    role = F.when(is_test, "test").when(F.col("nearest_m").isNull() | (F.col("nearest_m") >= F.col("_m.buffer")), "pool").otherwise("buffer")
+    return placed.select(*by, "_m.mode", "outer_fold", "point_id", role.alias("role"), "nearest_m")
+
+
 def buffered_folds(folded: DataFrame, by: Sequence[str], buffer: float, folds: int) -> DataFrame:
     """Each fold in turn is valid; the others are fit when ``buffer`` metres away from it.
 

@@ -68,6 +68,19 @@ def _(spark, sf):
     return splits.outer_splits(fx.points(spark, sf), ["band"], "spatial30", 3, 5, 20260905)
 
 
+LATTICE = """WITH fold AS (SELECT 50e0 AS cell, * FROM (""" + SERPENTINE.format(k=5, cell="50e0") + """) UNION ALL SELECT 1e0 AS cell, * FROM (""" + SERPENTINE.format(k=5, cell="1e0") + """)),
+ p AS (SELECT cell, a.band, a.point_id, a.x, a.y, fold.fold FROM f_points a JOIN fold ON a.band=fold.band AND fold.cx=CAST(floor(a.x/cell) AS BIGINT) AND fold.cy=CAST(floor(a.y/cell) AS BIGINT)),
+ near AS (SELECT q.cell, q.band, q.point_id, t.fold AS outer_fold, min(sqrt((q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y))) AS nearest_m FROM p q JOIN p t ON q.cell=t.cell AND q.band=t.band AND q.fold<>t.fold GROUP BY ALL),
+ rows_ AS (SELECT cell, band, point_id, fold AS outer_fold, NULL AS nearest_m, true AS test FROM p UNION ALL SELECT cell, band, point_id, outer_fold, nearest_m, false FROM near)
+ SELECT band, mode, outer_fold, point_id, CASE WHEN test THEN 'test' WHEN nearest_m>=buffer THEN 'pool' ELSE 'buffer' END AS role, CAST(nearest_m AS DOUBLE) AS nearest_m
+ FROM rows_ JOIN (VALUES ('infill',1e0,{infill}),('spatial30',50e0,30e0),('spatial60',50e0,60e0)) m(mode, size, buffer) ON size=cell"""
+
+
+@query("split_lattice_c5", LATTICE.format(infill=f"{splits.mode_geometry('infill')[1]}e0"))
+def _(spark, sf):
+    return splits.split_lattice(fx.points(spark, sf), ["band"], ["infill", "spatial30", "spatial60"], 5, 20260905)
+
+
 @query("buffer_exclude_j4", """WITH t AS (SELECT band, x, y FROM f_points WHERE trajectory_group%5=0), p AS (SELECT * FROM f_points WHERE trajectory_group%5<>0)
  SELECT band, count(*) AS pool_n, count(*) FILTER (m>=10e0) AS kept_n, count(*) FILTER (m<10e0) AS excluded_n, min(CASE WHEN m>=10e0 THEN m END) AS minimum_kept_m
  FROM (SELECT p.band, p.point_id, min(sqrt((p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y))) AS m FROM p JOIN t USING (band) GROUP BY ALL) GROUP BY band""")

@@ -114,5 +114,7 @@ def test_odd_rows(spark):
             ("gone", 1, 1, 1, None, 0.0, 0.0, 0.0, 1.0, 1, 1)]
     got = {r.s: r for r in kriging.search(spark.createDataFrame(rows, kind), ["s"], "query_id", "v", refine=False).collect()}
     assert set(got) == {None, "b"} and all(np.isfinite(r.loglik) for r in got.values())
+    finer = kriging.search(spark.createDataFrame(rows, kind), ["s"], "query_id", "v", grid=kriging.shared_grid(*GRID)).collect()
+    assert {r.s for r in finer} == {None, "b"}
     assert list(got["b"].length) == [5.0, 5.0]  # every length scores alike here: the first wins
     assert kriging.search(spark.createDataFrame(rows, kind).filter("false"), ["s"], "query_id", "v").count() == 0
