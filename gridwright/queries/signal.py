@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridwright import fixtures as fx
 from gridwright.functions import columns as col
 from gridwright.functions.quantiles import attach
-from gridwright.operators import calibrate, contracts, interp, knn, kriging, route, score, splits
+from gridwright.operators import calibrate, contracts, interp, knn, kriging, route, score, splits, vectors
 from gridwright.queries.registry import query
 from gridwright.queries.views import METRICS, h32
 from gridwright.session import settle
@@ -52,6 +52,24 @@ def _(spark, sf):
     return knn.knn_join(e, e, 6, feats=("x", "y", "z"), query_id="vec_id", train_id="vec_id", exclude_same_id=True).select("query_id", "train_id", "rank", "d")
 
 
+PAIR_DISTANCE = "sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1]-z[2])*(z[1]-z[2]))))"
+
+
+@query("knn_vectors_j1", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS train_id, {PAIR_DISTANCE} AS d FROM v a JOIN v b ON a.vec_id<>b.vec_id)
+ SELECT query_id, train_id, CAST(rank AS INTEGER) AS rank, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, train_id) AS rank FROM p) WHERE rank<=6""")
+def _(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    return vectors.vector_knn(e, e, 6, query_id="vec_id", train_id="vec_id", exclude_same_id=True)
+
+
+@query("knn_vectors_by_label_j1", f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ p AS (SELECT a.label, a.vec_id AS query_id, b.vec_id AS train_id, {PAIR_DISTANCE} AS d FROM v a JOIN v b ON a.label=b.label AND a.vec_id%4=0 AND b.vec_id%4<>0)
+ SELECT label, query_id, train_id, CAST(rank AS INTEGER) AS rank, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, train_id) AS rank FROM p) WHERE rank<=16""")
+def _(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    return vectors.vector_knn(e.filter("vec_id%4=0"), e.filter("vec_id%4<>0"), 16, by=["label"], query_id="vec_id", train_id="vec_id")
+
+
 @query("nearest_distance_j2", "SELECT band, query_id, d AS nearest_m FROM f_nbr WHERE rank=1")
 def _(spark, sf):
     train, q = fx.split_points(spark, sf)
