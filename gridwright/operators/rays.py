@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CELLS = 2048  # the normal matrix of one field is at most this square
+MAX_CELLS = 2048  # up to here the normal matrix of one field (32 MB) is solved in one task, beyond by Spark rounds
 
 
 @dataclass(frozen=True)
@@ -63,14 +63,15 @@ def conservation(segments: DataFrame, points: DataFrame, by: Sequence[str], size
 
 
 def influence_field(segments: DataFrame, residuals: DataFrame, by: Sequence[str], residual: str, grid: GridSpec,
-                    ridge: float = 5.0, low: float = -20.0, sweeps: int = 2000) -> DataFrame:
+                    ridge: float = 5.0, low: float = -20.0, sweeps: int = 2000, tolerance: float = 0.01) -> DataFrame:
     """Bias plus per-cell attenuation in [low, 0]: (by…, cell_id, attenuation_db, intercept_db).
 
-    The data pass accumulates the normal equations; their size is the grid's, not the table's.  The
-    bounded solve is coordinate descent with the free intercept eliminated.
+    The optimum is unique for a positive ridge.  On a grid of at most ``MAX_CELLS`` cells the data pass accumulates the
+    normal equations, whose size is the grid's and not the table's, and the bounded solve is coordinate descent
+    with the free intercept eliminated; on a larger one :func:`field_by_rounds` finds the same optimum to ``tolerance`` dB.
     """
     if grid.cells > MAX_CELLS:
-        raise ValueError(f"grid has {grid.cells} cells; at most {MAX_CELLS}")
+        return field_by_rounds(segments, residuals, by, residual, ridge, low, tolerance)
     by = list(by)
     rows = segments.join(residuals.select(*by, "point_id", F.col(residual).alias("_y")), [*by, "point_id"])
     # a row holds at most nx + ny cells, so its pair products are bounded by the grid as well
@@ -116,6 +117,70 @@ def influence_field(segments: DataFrame, residuals: DataFrame, by: Sequence[str]
     return system.groupBy(*(by or [F.lit(0)])).applyInPandas(solve, T.StructType(fields))
 
 
+def field_by_rounds(segments: DataFrame, residuals: DataFrame, by: Sequence[str], residual: str, ridge: float = 5.0, low: float = -20.0,
+                    tolerance: float = 0.01, rounds: int = 2000) -> DataFrame:
+    """The field of :func:`influence_field` for grids of any size, by conjugate gradients projected to the bounds.
+
+    A round is one product with the normal matrix, which is never formed: the step of the cells is summed along each
+    point's pieces, and these sums are summed back per cell.  Both sums combine on the map side, so a cell that every
+    ray crosses (a transmitter's) is no hot key, and all splits advance in the same rounds.  The direction is scaled by the
+    diagonal and kept conjugate on the cells that are free to move; it is cut at the bounds and the step
+    along the cut direction is exact, so every round lowers the objective.  Rounds end when no cell would move by more than
+    ``tolerance`` dB under a diagonal step (the optimality conditions); an error is raised if ``rounds`` do not suffice.
+    Only that one number reaches the driver; cells and sums are settled files, older ones are deleted.
+
+    Defined results: points without pieces or with a null residual take no part; a cell without pieces has no row.
+    """
+    from gridwright.functions.quantiles import attach
+    from gridwright.session import release, settle
+    by = list(by)
+    cell, point = [*by, "cell_id"], [*by, "point_id"]
+    pieces = settle(segments.join(residuals.select(*point, F.col(residual).cast("double").alias("_y")), point).filter(F.col("_y").isNotNull())
+                    .select(*point, "cell_id", F.col("frac").alias("f"), "_y"))
+    size = pieces.groupBy(*point).agg(F.max("_y").alias("_y")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"))
+    start = attach(pieces.groupBy(*cell).agg(F.sum("f").alias("total"), F.sum(F.col("f") * F.col("f")).alias("_ff"), F.sum(F.col("f") * F.col("_y")).alias("_fy")), size, by)
+    zero = F.lit(0.0)
+    cells = settle(start.select(
+        *cell, "n", "mean", "total", (F.col("_ff") - F.col("total") * F.col("total") / F.col("n") + ridge).alias("diag"), zero.alias("w"),
+        (F.col("mean") * F.col("total") - F.col("_fy")).alias("g"), zero.alias("p"), zero.alias("old_g"), zero.alias("old_z"), F.lit(0.05).alias("lam")))
+
+    w, g, p, d = (F.col(c) for c in ("w", "g", "p", "d"))
+    cut = lambda v: F.greatest(F.lit(low), F.least(zero, v))
+    held = ((w >= 0) & (g < 0)) | ((w <= low) & (g > 0))
+    gap = F.max(F.abs(w - cut(w - g / F.col("diag"))))
+    for _ in range(rounds):
+        worst = cells.agg(gap).first()[0]
+        if worst is None or worst <= tolerance:
+            break
+        now = cells.withColumn("z", F.when(held, zero).otherwise(g / F.col("diag"))).withColumn("p", F.when(held, zero).otherwise(p))
+        sums = now.groupBy(*by).agg(F.sum(F.col("z") * (g - F.col("old_g"))).alias("_a"), F.sum(F.col("old_z") * F.col("old_g")).alias("_b"),
+                                    F.sum(F.col("z") * g).alias("_zg"), F.sum(p * g).alias("_pg"))
+        beta = F.when(F.col("_b") > 0, F.greatest(zero, F.col("_a") / F.col("_b"))).otherwise(zero)
+        sums = sums.withColumn("_beta", beta).select(*by, F.when(F.col("_beta") * F.col("_pg") < F.col("_zg"), F.col("_beta")).otherwise(zero).alias("beta"))
+        now = attach(now, sums, by).withColumn("p", F.col("beta") * p - F.col("z")).withColumn("d", cut(w + F.col("lam") * p) - w).drop("beta")
+
+        along = settle(pieces.join(now.select(*cell, "d"), cell).groupBy(*point).agg(F.sum(F.col("f") * d).alias("a")))
+        back = pieces.select(*point, "cell_id", "f").join(along, point).groupBy(*cell).agg(F.sum(F.col("f") * F.col("a")).alias("_h"))
+        room = F.min(F.when(d > 0, -w / d).when(d < 0, (F.lit(low) - w) / d))
+        step = now.groupBy(*by).agg(F.sum(g * d).alias("_gd"), F.sum(d * d).alias("_dd"), room.alias("_room"))
+        step = attach(step, along.groupBy(*by).agg(F.sum("a").alias("_sum"), F.sum(F.col("a") * F.col("a")).alias("_sq"), F.count(F.lit(1)).alias("_n")), by)
+        curve = F.col("_sq") - F.col("_sum") * F.col("_sum") / F.col("_n") + ridge * F.col("_dd")
+        step = step.withColumn("_exact", F.when(curve > 0, -F.col("_gd") / curve).otherwise(zero)).select(
+            *by, (F.col("_sum") / F.col("_n")).alias("_shift"), "_exact", F.least("_exact", F.greatest(F.lit(1.0), F.coalesce("_room", F.lit(1.0)))).alias("_step"))
+        moved = attach(now.join(back, cell), step, by)
+        product = F.col("_h") - F.col("_shift") * F.col("total") + ridge * d
+        after = settle(moved.select(
+            *cell, "n", "mean", "total", "diag", cut(w + F.col("_step") * d).alias("w"), (g + F.col("_step") * product).alias("g"), "p",
+            g.alias("old_g"), F.col("z").alias("old_z"), F.greatest(F.lit(1e-4), F.least(F.lit(50.0), 2.0 * F.col("lam") * F.col("_exact"))).alias("lam")))
+        release(along, cells)
+        cells = after
+    else:
+        raise RuntimeError(f"attenuation field not within {tolerance} dB of its optimum after {rounds} rounds")
+    release(pieces)
+    bias = cells.groupBy(*by).agg((F.max("mean") - F.sum(F.col("total") * w) / F.max("n")).alias("intercept_db"))
+    return attach(cells.select(*cell, w.alias("attenuation_db")), bias, by).select(*cell, "attenuation_db", "intercept_db")
+
+
 def field_correction(segments: DataFrame, field: DataFrame, by: Sequence[str]) -> DataFrame:
     """Intercept plus the weighted attenuation of the traversed cells; unsupported cells add nothing."""
     from gridwright.functions.quantiles import attach

@@ -378,6 +378,16 @@ def _(spark, sf):
     return rays.influence_field(rays.segment_cells(fx_with_tx(res), ["band"], grid), res, ["band"], "res", grid)
 
 
+@query("influence_field_fine_a32")
+def _(spark, sf):
+    """The same field on cells of 20 m: 3,000 cells, more than one task solves."""
+    from gridwright.operators import rays
+    b = fx.base_gain(spark, sf).filter("role='train' and raw is not null")
+    res = attach(b, calibrate.mean_offset(b, ["band"], "raw"), ["band"]).withColumn("res", F.expr("observed_dbm-raw-beta_db"))
+    grid = rays.GridSpec(0.0, 0.0, 20.0, 60, 50)
+    return rays.influence_field(rays.segment_cells(fx_with_tx(res), ["band"], grid), res, ["band"], "res", grid, tolerance=0.05)
+
+
 def fx_with_tx(df):
     return df.withColumn("tx_x", F.when(F.col("band") == "n41", fx.TX["n41"][0]).otherwise(fx.TX["n79"][0])).withColumn(
         "tx_y", F.when(F.col("band") == "n41", fx.TX["n41"][1]).otherwise(fx.TX["n79"][1]))
