@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import clip, plan_to_grid, reasons
@@ -222,3 +222,144 @@ def register_plan(boundary: DataFrame, distance: DataFrame, rows: int, cols: int
     second = candidate_grid(spark, *fine, centre={k: top[k] for k in ("rotation", "scale", "dcol", "drow")})
     again = best_candidate(alignment_scores(second, boundary, distance, rows, cols)).join(second, "candidate").first().asDict()
     return again if again["score"] < top["score"] else top
+
+
+# --- two-stage registration by branch and bound ------------------------------------------------------
+
+SHIFT_BLOCK = 4  # shifts of a block, per axis
+PROBES = 8  # blocks scored first, to have a score that others must beat
+MIN_COVERAGE = 0.85
+
+# The two grids of the search, as (rotations in degrees, scales, shifts in cells).  The first stage's
+# scales are factors of the nominal one; the second stage's values are added to the first stage's winner.
+COARSE = ([-8.0, -6.0, -4.0, -2.0, 0.0, 2.0, 4.0, 6.0, 8.0], [0.9, 0.925, 0.95, 0.975, 1.0, 1.025, 1.05, 1.075, 1.1],
+          [-80, -70, -60, -50, -40, -30, -20, -10, 0, 10, 20, 30, 40, 50, 60, 70, 80])
+FINE = ([-1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5], [-0.02, -0.015, -0.01, -0.005, 0.0, 0.005, 0.01, 0.015, 0.02], [-8, -6, -4, -2, 0, 2, 4, 6, 8])
+
+
+def _axis(values: Sequence[float], name: str, inner: Column) -> Column:
+    """One struct (ordinal, value) a row of an axis that starts at ``inner``."""
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("at"), (inner + F.lit(float(v))).alias("v")) for i, v in enumerate(values)])).alias(name)
+
+
+def _placed_cells(samples: DataFrame, poses: DataFrame, by: list[str], rows: int, cols: int) -> DataFrame:
+    """(by…, pose, row, col, n): samples that fall on a cell under a rotation and scale, before any shift.
+
+    Shifts are even numbers of cells, so they keep half-even rounding, and all of them share these cells: a raster's
+    worth of rows at most, however many samples there are.
+    """
+    gc, gr = plan_to_grid(F.col("x"), F.col("y"), F.col("rotation"), F.col("scale"), F.lit(0.0), F.lit(0.0), rows, cols)
+    at = samples.select(*by, "x", "y").join(poses, by) if by else samples.select("x", "y").crossJoin(poses)  # at most 81 poses
+    return at.groupBy(*by, "pose", F.rint(gr).cast("bigint").alias("row"), F.rint(gc).cast("bigint").alias("col")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ranked(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Running count of ``n`` by ``value`` inside the keys; ``values`` has one row a distinct value."""
+    order = W.partitionBy(*keys).orderBy(value)  # distinct distances of a raster
+    return values.withColumn("_upto", F.sum("n").over(order))
+
+
+def _scores(cells: DataFrame, moves: DataFrame, distance: DataFrame, by: list[str], rows: int, cols: int) -> DataFrame:
+    """Exact (score, coverage, p80) of each candidate in ``moves`` (by…, pose, candidate, dcol, drow)."""
+    key = [*by, "candidate"]
+    hits = cells.join(moves, [*by, "pose"]).select(*key, "n", (F.col("row") + F.col("drow")).alias("row"), (F.col("col") + F.col("dcol")).alias("col"))
+    inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
+    # the raster has every cell, so a hit without a distance lies outside
+    counts = hits.join(distance.select("row", "col", F.col("distance").alias("_d")), ["row", "col"], "left").groupBy(*key, F.when(inside, F.col("_d")).alias("_d")).agg(
+        F.sum("n").alias("n"))
+    total = counts.groupBy(*key).agg(F.sum("n").alias("_all"), F.coalesce(F.sum(F.when(F.col("_d").isNotNull(), F.col("n"))), F.lit(0)).alias("_in"))
+    line = _ranked(counts.filter(F.col("_d").isNotNull()), key, "_d").join(total, key)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_d")))
+    picks, made = [], {}
+    for q, name in ((0.5, "median"), (0.8, "p80")):
+        rank = F.lit(q) * (F.col("_in") - 1)
+        picks += [at(F.floor(rank)).alias(f"{name}_a"), at(F.ceil(rank)).alias(f"{name}_b"), F.max(rank - F.floor(rank)).alias(f"{name}_f")]
+        made[name] = F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * F.col(f"{name}_f")
+    cover = (F.col("_in") / F.col("_all")).alias("coverage")
+    t = total.select(*key, cover).join(line.groupBy(*key).agg(*picks).withColumns(made), key, "left")
+    poor = F.col("coverage") < MIN_COVERAGE
+    return t.select(*key, F.when(poor, 1e6).otherwise(F.col("median") + 0.35 * F.col("p80") + 20.0 * (1.0 - F.col("coverage"))).alias("score"),
+                    "coverage", F.when(poor, 1e6).otherwise(F.col("p80")).alias("p80"))
+
+
+def _bounds_of_blocks(cells: DataFrame, blocks: DataFrame, distance: DataFrame, by: list[str], rows: int, cols: int) -> DataFrame:
+    """(by…, block, bound): no candidate of a block of shifts scores less.
+
+    A distance changes by no more than the way moved, so a sample's distance at the block's centre, less its radius, bounds its
+    distance under every shift of the block; samples that cannot reach the raster cost coverage.  A candidate with
+    enough coverage has at least ``MIN_COVERAGE`` of the samples inside, so its quantiles are no less than those of
+    that many smallest bounds.
+    """
+    key = [*by, "block"]
+    hits = cells.join(blocks, [*by, "pose"]).select(
+        *key, "n", "radius", "reach", (F.col("row") + F.col("mid_row")).alias("row"), (F.col("col") + F.col("mid_col")).alias("col"))
+    near = F.col("row").between(-F.col("reach"), rows - 1 + F.col("reach")) & F.col("col").between(-F.col("reach"), cols - 1 + F.col("reach"))
+    hits = hits.join(distance.select("row", "col", F.col("distance").alias("_d")), ["row", "col"], "left")
+    least = F.when(near, F.greatest(F.lit(0.0), F.coalesce(F.col("_d"), F.lit(0.0)) - F.col("radius")))
+    counts = hits.groupBy(*key, least.alias("_l")).agg(F.sum("n").alias("n"))
+    total = counts.groupBy(*key).agg(F.sum("n").alias("_all"), F.coalesce(F.sum(F.when(F.col("_l").isNotNull(), F.col("n"))), F.lit(0)).alias("_may"))
+    line = _ranked(counts.filter(F.col("_l").isNotNull()), key, "_l").join(total, key)
+    fewest = F.ceil(F.lit(MIN_COVERAGE) * F.col("_all") - 1e-6) - 1
+    at = lambda q: F.min(F.when(F.col("_upto") > F.floor(F.lit(q) * fewest), F.col("_l")))
+    low = line.groupBy(*key).agg(at(0.5).alias("_m"), at(0.8).alias("_p"))
+    share = F.col("_may") / F.col("_all")
+    return total.join(low, key, "left").select(*key, F.when(share < MIN_COVERAGE, 1e6).otherwise(
+        F.coalesce(F.col("_m") + 0.35 * F.col("_p"), F.lit(0.0)) + 20.0 * (1.0 - share) - 1e-9).alias("bound"))
+
+
+def search_stage(samples: DataFrame, distance: DataFrame, rows: int, cols: int, centre: DataFrame, axes: tuple, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The first best candidate of a stage for every key, and how many candidates were scored.
+
+    ``centre`` (by…, rotation, scale, dcol, drow) is one row a key to which the axes' values are added; ``samples``
+    (by…, x, y) are boundary points and ``distance`` a whole raster.  Returns (by…, candidate, score, coverage, p80, rotation,
+    scale, dcol, drow) and (by…, candidates, scored).  Blocks of neighbouring shifts are bounded first; the ``PROBES`` lowest
+    are scored, and of the rest only those whose bound does not exceed the best score, so the result is the first minimum
+    over all candidates.  Candidates are numbered rotation by rotation, then scale, column and row shift.
+    """
+    from gridwright.session import settle
+    by = list(by)
+    rotations, scales, shifts = axes
+    if any(float(v) % 2 for v in shifts):
+        raise ValueError("shifts must be even numbers of cells")
+    nt, blocks_a_side = len(shifts), -(-len(shifts) // SHIFT_BLOCK)
+    turned = centre.select(*by, "scale", "dcol", "drow", _axis(rotations, "_r", F.col("rotation")))
+    poses = settle(turned.select(*by, "dcol", "drow", "_r", _axis(scales, "_s", F.col("scale"))).select(
+        *by, (F.col("_r.at") * len(scales) + F.col("_s.at")).cast("long").alias("pose"), F.col("_r.v").alias("rotation"), F.col("_s.v").alias("scale"), "dcol", "drow"))
+    cells = settle(_placed_cells(samples, poses.select(*by, "pose", "rotation", "scale"), by, rows, cols))
+    one = poses.select(*by, "pose", "rotation", "scale", "drow", _axis(shifts, "_c", F.col("dcol")))
+    every = one.select(*by, "pose", "rotation", "scale", "_c", _axis(shifts, "_w", F.col("drow")))
+    block = (F.col("pose") * blocks_a_side + F.floor(F.col("_c.at") / SHIFT_BLOCK)) * blocks_a_side + F.floor(F.col("_w.at") / SHIFT_BLOCK)
+    every = settle(every.select(*by, "pose", block.cast("long").alias("block"), ((F.col("pose") * nt + F.col("_c.at")) * nt + F.col("_w.at")).alias("candidate"),
+                                "rotation", "scale", F.col("_c.v").alias("dcol"), F.col("_w.v").alias("drow")))
+    middle = lambda c: F.rint((F.min(c) + F.max(c)) / 2)
+    blocks = every.groupBy(*by, "pose", "block").agg(
+        middle("dcol").alias("mid_col"), middle("drow").alias("mid_row"), F.min("dcol").alias("_c0"), F.max("dcol").alias("_c1"), F.min("drow").alias("_r0"), F.max("drow").alias("_r1"))
+    wide = F.greatest(F.col("_c1") - F.col("mid_col"), F.col("mid_col") - F.col("_c0"))
+    high = F.greatest(F.col("_r1") - F.col("mid_row"), F.col("mid_row") - F.col("_r0"))
+    blocks = blocks.withColumns({"radius": F.hypot(wide, high), "reach": F.greatest(wide, high)})
+    bounds = settle(_bounds_of_blocks(cells, blocks, distance, by, rows, cols))
+    order = W.partitionBy(*by).orderBy("bound", "block")  # blocks of one stage: a few thousand
+    ranked = bounds.withColumn("_rn", F.row_number().over(order))
+    moves = [*by, "pose", "candidate", "dcol", "drow"]
+    tried = settle(_scores(cells, every.join(ranked.filter(F.col("_rn") <= PROBES), [*by, "block"]).select(*moves), distance, by, rows, cols))
+    best = tried.groupBy(*by).agg(F.min("score").alias("_best"))
+    rest = ranked.filter(F.col("_rn") > PROBES)
+    rest = (rest.join(best, by) if by else rest.crossJoin(best)).filter(F.col("bound") <= F.col("_best"))  # one row a key
+    scored = settle(tried.unionByName(_scores(cells, every.join(rest, [*by, "block"]).select(*moves), distance, by, rows, cols)))
+    won = argmin(scored, by, ["score", "candidate"], ["score", "candidate", "coverage", "p80"])
+    names = [*by, "candidate", "score", "coverage", "p80", "rotation", "scale", "dcol", "drow"]
+    count = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("scored")).withColumn("candidates", F.lit(len(rotations) * len(scales) * nt * nt).cast("long"))
+    return settle(won.join(every, [*by, "candidate"]).select(*names)), count
+
+
+def register_plans(samples: DataFrame, distance: DataFrame, rows: int, cols: int, nominal_scale: float, by: Sequence[str] = (),
+                   coarse: tuple = COARSE, fine: tuple = FINE) -> DataFrame:
+    """Both stages for every key: (by…, stage, candidate, score, coverage, p80, rotation, scale, dcol, drow), the last stage that
+    improved on the score; a key without samples has no row."""
+    by = list(by)
+    zero = samples.select(*by).distinct() if by else samples.limit(1).select()
+    start = zero.select(*by, F.lit(0.0).alias("rotation"), F.lit(0.0).alias("scale"), F.lit(0.0).alias("dcol"), F.lit(0.0).alias("drow"))
+    first, _ = search_stage(samples, distance, rows, cols, start, (coarse[0], [nominal_scale * s for s in coarse[1]], coarse[2]), by)
+    second, _ = search_stage(samples, distance, rows, cols, first.select(*by, "rotation", "scale", "dcol", "drow"), fine, by)
+    both = first.withColumn("stage", F.lit(1)).unionByName(second.withColumn("stage", F.lit(2)))
+    return argmin(both, by, ["score", "stage"], ["stage", "candidate", "score", "coverage", "p80", "rotation", "scale", "dcol", "drow"])

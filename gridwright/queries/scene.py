@@ -271,6 +271,42 @@ def _(spark, sf):
     return raster.alignment_scores(cand, b, dist, 40, 50)
 
 
+def register_stage(n: int, centre: str, axes: tuple) -> str:
+    """SQL of one stage over every candidate: o<n> has the first minimum of each band."""
+    rot, scale, shift = ("[" + ",".join(f"{float(v)!r}e0" for v in a) + "]" for a in axes)
+    nr, ns, nt = map(len, axes)
+    pick = "min(d) FILTER (up>{f}({q}e0*(ins-1)))"
+    line = lambda q: f"{pick.format(f='floor', q=q)}+({pick.format(f='ceil', q=q)}-{pick.format(f='floor', q=q)})*any_value({q}e0*(ins-1)-floor({q}e0*(ins-1)))"
+    return f"""p{n} AS (SELECT k.band, i*{ns}+j AS pose, k.rotation+{rot}[i+1] AS rot, k.scale+{scale}[j+1] AS s, k.dcol, k.drow FROM {centre} k, range({nr}) a(i), range({ns}) c(j)),
+ q{n} AS (SELECT band, pose, CAST(round_even((nc-1)/2e0+0e0+s*(cos(radians(rot))*x-sin(radians(rot))*y),0) AS BIGINT) AS col,
+   CAST(round_even((nr-1)/2e0+0e0-s*(sin(radians(rot))*x+cos(radians(rot))*y),0) AS BIGINT) AS row, count(*) AS n FROM b JOIN p{n} USING (band), w GROUP BY ALL),
+ m{n} AS (SELECT band, pose, (pose*{nt}+u)*{nt}+v AS candidate, rot AS rotation, s AS scale, dcol+{shift}[u+1] AS dcol, drow+{shift}[v+1] AS drow FROM p{n}, range({nt}) uu(u), range({nt}) vv(v)),
+ h{n} AS (SELECT m.band, m.candidate, dist.d, CAST(sum(q.n) AS BIGINT) AS n FROM q{n} q JOIN m{n} m ON q.band=m.band AND q.pose=m.pose LEFT JOIN dist ON dist.row=q.row+CAST(m.drow AS BIGINT) AND dist.col=q.col+CAST(m.dcol AS BIGINT) GROUP BY ALL),
+ t{n} AS (SELECT band, candidate, sum(n) AS al, coalesce(sum(CASE WHEN d IS NOT NULL THEN n END),0) AS ins FROM h{n} GROUP BY ALL),
+ l{n} AS (SELECT h.band, h.candidate, h.d, t.ins, sum(h.n) OVER (PARTITION BY h.band, h.candidate ORDER BY h.d) AS up FROM h{n} h JOIN t{n} t ON h.band=t.band AND h.candidate=t.candidate WHERE h.d IS NOT NULL AND t.ins>=0.85e0*t.al),
+ v{n} AS (SELECT band, candidate, {line("0.5")} AS md, {line("0.8")} AS p8 FROM l{n} GROUP BY ALL),
+ z{n} AS (SELECT t.band, t.candidate, t.ins/CAST(t.al AS DOUBLE) AS coverage, coalesce(v.md+0.35e0*v.p8+20e0*(1e0-t.ins/CAST(t.al AS DOUBLE)),1e6) AS score, coalesce(v.p8,1e6) AS p80 FROM t{n} t LEFT JOIN v{n} v ON t.band=v.band AND t.candidate=v.candidate),
+ o{n} AS (SELECT {n} AS stage, band, candidate, score, coverage, p80, rotation, scale, dcol, drow FROM (SELECT z.*, row_number() OVER (PARTITION BY z.band ORDER BY z.score, z.candidate) AS rn FROM z{n} z) z JOIN m{n} m USING (band, candidate) WHERE rn=1)"""
+
+
+NOMINAL = 0.05  # cells a metre
+
+
+@query("register_plans_a26", f"""WITH b AS (SELECT band, x-550e0 AS x, y-450e0 AS y FROM f_points), k0 AS (SELECT DISTINCT band, 0e0 AS rotation, 0e0 AS scale, 0e0 AS dcol, 0e0 AS drow FROM b),
+ w AS (SELECT max(row)+1 AS nr, max(col)+1 AS nc FROM f_cells), ed AS (SELECT row, col FROM f_cells WHERE dsm>=51),
+ g1 AS (SELECT unnest(range(nr)) AS row, nc FROM w), gd AS (SELECT row, unnest(range(nc)) AS col FROM g1),
+ dist AS (SELECT g.row, g.col, min(sqrt(CAST((g.row-e.row)*(g.row-e.row)+(g.col-e.col)*(g.col-e.col) AS DOUBLE))) AS d FROM gd g, ed e GROUP BY g.row, g.col),
+ {register_stage(1, "k0", (raster.COARSE[0], [NOMINAL * v for v in raster.COARSE[1]], raster.COARSE[2]))},
+ {register_stage(2, "o1", raster.FINE)}
+ SELECT band, stage, candidate, score, coverage, p80, rotation, scale, dcol, drow FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY score, stage) AS pick FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o2)) WHERE pick=1""")
+def _(spark, sf):
+    """Both bands, both stages, all 23,409 + 5,103 candidates of each, on the raster of the table."""
+    c = cells(spark, sf)
+    size = c.agg(F.max("row") + 1, F.max("col") + 1).first()
+    samples = fx.points(spark, sf).selectExpr("band", "x-550D as x", "y-450D as y")
+    return raster.register_plans(samples, settle(regions.distance_raster(c.filter("dsm >= 51"), *size)), *size, NOMINAL, ["band"])
+
+
 # --- faces ----------------------------------------------------------------------------------------
 
 def face_geometry(spark, sf):

@@ -385,7 +385,7 @@ def _(spark, sf):
     b = fx.base_gain(spark, sf).filter("role='train' and raw is not null")
     res = attach(b, calibrate.mean_offset(b, ["band"], "raw"), ["band"]).withColumn("res", F.expr("observed_dbm-raw-beta_db"))
     grid = rays.GridSpec(0.0, 0.0, 20.0, 60, 50)
-    return rays.influence_field(rays.segment_cells(fx_with_tx(res), ["band"], grid), res, ["band"], "res", grid, tolerance=0.05)
+    return rays.influence_field(rays.segment_cells(fx_with_tx(res), ["band"], grid), res, ["band"], "res", grid, tolerance=0.1)
 
 
 def fx_with_tx(df):
