@@ -92,7 +92,13 @@ def components(cells: DataFrame, by: Sequence[str], tile: int = 256) -> DataFram
     A tile of the raster is labelled locally; the labels that touch across tile borders form a graph that
     is far smaller than the raster and is solved by min-label propagation with pointer jumping.
     """
-    by = list(by)
+    names, by = list(by), [f"_key{i}" for i in range(len(by))]
+    # the keys get names of their own, so that no name of a caller's key can meet one of the steps below
+    cells = cells.select(*[F.col(c).alias(k) for c, k in zip(names, by)], "row", "col")
+    return _labelled(cells, by, tile).withColumnsRenamed(dict(zip(by, names)))
+
+
+def _labelled(cells: DataFrame, by: list[str], tile: int) -> DataFrame:
     span = 2**31
     # row * span + col names a cell uniquely only while columns stay within half of the span
     within = lambda c, most: F.when(F.abs(c) < most, c).otherwise(F.raise_error(F.concat(F.lit("cell out of range: "), c.cast("string"))).cast("bigint"))

@@ -29,3 +29,12 @@ def test_expert_pool_keeps_queries_of_a_split_without_fit_rows(spark):
     data = spark.createDataFrame(rows, "split string, point_id long, role string, x double, y double, z double, d3 double, raw double, los boolean, observed_dbm double")
     out = experts.expert_pool(data, ["split"]).filter("split = 'b'").collect()
     assert len(out) == len(experts.EXPERTS) and all(r.pred is None for r in out)
+
+
+@pytest.mark.parametrize("key", ["_l", "label", "node", "a", "local"])
+def test_components_across_tiles_with_any_key_name(spark, key):
+    # two bars over the tile border at column 256, one cell between them and the next key's bar
+    cells = [(k, row, col) for k in (0, 1) for row in (3, 5) for col in range(250, 262)]
+    found = regions.components(spark.createDataFrame(cells, f"{key} long, row long, col long"), [key])
+    assert found.columns == [key, "row", "col", "component"]
+    assert {tuple(r) for r in found.collect()} == {(k, row, col, row * 2**31 + 250) for k, row, col in cells}
