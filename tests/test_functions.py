@@ -42,3 +42,23 @@ def test_bad_values_raise(spark):
     for c in (columns.normalize_bool(F.col("b")), columns.unit_scale(F.col("u")), columns.bounded_pair(F.col("lo"), F.col("hi"))):
         with pytest.raises(Exception):
             df.select(c).collect()
+
+
+def test_attach_never_broadcasts_the_rows(spark):
+    from gridwright.functions.quantiles import attach
+    from gridwright.session import settle
+    # many rows of few values: a file far smaller than its rows
+    rows = settle(spark.range(400_000).selectExpr("if(id % 3 = 0, null, id % 2) as k", "cast(id % 11 = 0 as double) as v"))
+    joined = attach(rows, rows.groupBy("k").agg(F.collect_set("v").alias("seen"), *[f("v").alias(f.__name__) for f in (F.min, F.max, F.count)]), ["k"])
+    assert joined.count() == 400_000 and joined.columns == ["k", "v", "seen", "min", "max", "count"]
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_attach_of_many_groups_is_a_shuffle(spark, monkeypatch):
+    from gridwright.functions import quantiles
+    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", 3)
+    rows = spark.range(100).selectExpr("if(id % 5 = 0, null, id % 5) as k", "id")
+    joined = quantiles.attach(rows, rows.groupBy("k").agg(F.max("id").alias("top")), ["k"])
+    assert {(r.k, r.id, r.top) for r in joined.collect()} == {(i % 5 or None, i, 95 + i % 5) for i in range(100)}
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
