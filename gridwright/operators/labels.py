@@ -14,13 +14,17 @@ from gridwright.operators.score import _with
 
 
 def resolve_vertices(faces: DataFrame, vertices: DataFrame, key: str = "fid", indices: str = "v") -> DataFrame:
-    """faces(key…, v ARRAY of three vertex ids) -> corner structs a, b, c, by one join instead of three."""
+    """faces(key…, v ARRAY of three vertex ids) -> corner structs a, b, c, by one join instead of three.
+
+    Both joins are sorted merges: faces grow out of rows by ``explode``, which Spark's size estimate does not see, so
+    left to itself it sends a whole vertex table through the driver.
+    """
     rest = [c for c in faces.columns if c not in (key, indices)]
     flat = faces.select(key, F.posexplode(indices).alias("_p", "vid"))
-    joined = flat.join(vertices.select("vid", F.struct("x", "y", "z").alias("_v")), "vid")
+    joined = flat.join(vertices.select("vid", F.struct("x", "y", "z").alias("_v")).hint("merge"), "vid")
     corners = joined.groupBy(key).agg(*[
         F.max(F.when(F.col("_p") == i, F.col("_v"))).alias(n) for i, n in enumerate("abc")])
-    return faces.select(key, *rest).join(corners, key) if rest else corners
+    return faces.select(key, *rest).join(corners.hint("merge"), key) if rest else corners
 
 
 def triangle_geometry(faces: DataFrame) -> DataFrame:
