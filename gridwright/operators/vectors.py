@@ -6,15 +6,18 @@ cells of the nearest pivot; rows are ordered by cell and by distance to the cell
 most ``BLOCK_ROWS`` rows.  A block knows the smallest and largest distance of its rows to its own pivot and to the
 first ``GUARDS`` pivots, so the triangle inequality bounds its distance to any query block from below and above:
 
-1. query blocks meet cells (at most ``PIVOTS`` in a split); cells that cannot hold a neighbour are dropped;
-2. the blocks of the remaining cells are bounded alike; the ``SEEDS`` blocks with the least upper bounds are
-   ranked first, and the k-th distances they give are the reach of the query block;
+1. neighbouring blocks form tiles, and each pair of a query tile and a train tile is one task, which bounds all its
+   pairs of blocks from their few numbers; a pair of blocks is never a row with bounds of its own;
+2. the ``SEEDS`` blocks with the least upper bounds are ranked first, and the k-th distances they give are the
+   reach of the query block;
 3. blocks within the reach are ranked by blocked matrix products.  The products only choose the rows whose
    distance is then computed from the differences, so order and distances do not depend on rounding in the products.
 
+A vector is shipped once to each tile of the other side that needs its block, not once to each block.
+
 Skew: a hot cell is only more blocks, and more than ``k`` train rows with one and the same vector are reduced to
-the ``k`` smallest ids, which is exact because the order is (distance, id).  Candidates of a query block are
-ranked in parts of at most ``PART_VALUES`` numbers.  Nothing but the pivots reaches the driver.
+the ``k`` smallest ids, which is exact because the order is (distance, id).  A tile holds about ``PART_VALUES``
+numbers, four times as many at most.  Nothing but the pivots reaches the driver.
 
 Defined results: a query vector that is null, of another length, or holds a null or non-finite component raises
 an error; such a train row is nobody's neighbour; train vectors of several lengths are an error; a split with fewer
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridwright.functions.ranking import global_position
 from gridwright.operators.knn import MAX_K, _by_runs
 from gridwright.session import settle
 
@@ -38,7 +42,7 @@ PIVOTS = 1024
 GUARDS = 32
 BLOCK_ROWS = 128
 SEEDS = 8
-PART_VALUES = 4 << 20  # numbers of the candidates that one ranking step holds
+PART_VALUES = 4 << 20  # numbers of a tile's vectors; a task holds two tiles
 SLACK = 1e-9  # relative allowance for rounding in bounds and matrix products
 
 
@@ -119,58 +123,97 @@ def _blocks(df: DataFrame, by: list[str], pivots: np.ndarray, copies: int | None
     return settle(placed.mapInPandas(cut, schema))
 
 
-def _bounded(pairs: DataFrame, guards: int) -> DataFrame:
-    """Least (``near``) and largest (``far``) possible distance of the rows of a pair of blocks."""
-    minus, plus = (lambda a, b: a - b), (lambda a, b: a + b)
-    q_lo, q_hi = F.slice("q_lo", 1, guards), F.slice("q_hi", 1, guards)
-    own_lo, own_hi = (F.element_at(c, F.col("cell") + 1) for c in ("q_lo", "q_hi"))
-    return pairs.withColumn("near", F.greatest(
-        F.lit(0.0), F.array_max(F.zip_with("lo", q_hi, minus)), F.array_max(F.zip_with(q_lo, "hi", minus)), own_lo - F.col("r_hi"), F.col("r_lo") - own_hi,
-    )).withColumn("far", F.least(F.array_min(F.zip_with("hi", q_hi, plus)), own_hi + F.col("r_hi")))
-
-
-def _rank(pairs: DataFrame, qb: DataFrame, tb: DataFrame, want: int, width: int, id_type: T.DataType, train_type: T.DataType) -> DataFrame:
-    """(q_block, q_row, query_id, train_id, d) of the ``want`` first train rows of each query row in the paired blocks."""
-    rows = max(1, PART_VALUES // width)
-    load = pairs.groupBy("q_block").agg(F.ceil(F.sum("n") / rows).cast("int").alias("_parts"))
-    links = pairs.join(load, "q_block").withColumn("part", F.pmod(F.xxhash64("t_block"), F.col("_parts")).cast("int"))
-    left = qb.select("q_block", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")).join(load, "q_block").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    right = links.select(F.col("q_block").alias("_for"), F.col("part").alias("_of"), "t_block").join(tb.select("t_block", "ids", "vs"), "t_block")
+def _tiled(blocks: DataFrame, by: list[str], block: str, tile: str, width: int) -> DataFrame:
+    """``blocks`` with ``tile``, the first block of its tile: consecutive blocks of one split, so many that a tile has
+    about ``PART_VALUES`` numbers, or fewer while there are not enough tasks otherwise."""
+    size = blocks.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("b")).agg(
+        F.count(F.lit(1)).alias("splits"), F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    if not size["b"]:
+        return blocks.withColumn(tile, F.lit(0).cast("long"))
+    side = np.ceil(np.sqrt(4 * blocks.sparkSession.sparkContext.defaultParallelism / size["splits"]))
+    rows = min(PART_VALUES // width, max(4 * BLOCK_ROWS, size["n"] / size["splits"] / side))
+    most = max(1, 4 * PART_VALUES // width // BLOCK_ROWS)
+    per = int(min(most, max(1, rows // (size["n"] / size["b"]))))
+    placed = global_position(blocks.select(*by, block), by, [F.col(block)], "_at").withColumn("_at", F.floor((F.col("_at") - 1) / per))
+    first = placed.select(F.col(block).alias("_b"), F.min(block).over(W.partitionBy(*by, "_at")).alias(tile))  # the blocks of a tile
+    return settle(blocks.join(first, F.col(block) == F.col("_b")).drop("_b"))
+
+
+def _bounds(q: pd.DataFrame, t: pd.DataFrame, guards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest possible distances of the rows of each query block (row) and train block (column)."""
+    q_lo, q_hi, lo, hi = (np.stack(c.to_numpy()) for c in (q["q_lo"], q["q_hi"], t["lo"], t["hi"]))
+    cell, r_lo, r_hi = (t[c].to_numpy() for c in ("cell", "r_lo", "r_hi"))
+    own_lo, own_hi = q_lo[:, cell], q_hi[:, cell]
+    near = np.maximum(np.maximum(own_lo - r_hi, r_lo - own_hi), 0.0)
+    far = own_hi + r_hi
+    for g in range(guards):
+        a, b = q_lo[:, g, None], q_hi[:, g, None]
+        near = np.maximum(near, np.maximum(lo[:, g] - b, a - hi[:, g]))
+        far = np.minimum(far, hi[:, g] + b)
+    return near, far
+
+
+def _boxes(q: DataFrame, tb: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The numbers of the query and the train blocks of every pair of tiles of one split."""
+    on = by or ["_all"]
+    sides = [(df if by else df.withColumn("_all", F.lit(0))).select(*on, c).distinct() for df, c in ((q, "q_tile"), (tb, "t_tile"))]
+    pairs = sides[0].join(sides[1], on).select("q_tile", "t_tile")  # a few tiles a split
+    left = q.select("q_tile", *[c for c in ("q_block", "q_lo", "q_hi", "reach") if c in q.columns]).join(pairs, "q_tile")
+    right = tb.select("t_tile", "t_block", "n", "cell", "r_lo", "r_hi", "lo", "hi").join(
+        pairs.select(F.col("q_tile").alias("_for"), F.col("t_tile").alias("_of")), F.col("t_tile") == F.col("_of")).drop("t_tile")
+    return left, right
+
+
+def _rank(links: DataFrame, qb: DataFrame, tb: DataFrame, want: int, width: int, id_type: T.DataType, train_type: T.DataType) -> DataFrame:
+    """(q_block, q_row, query_id, train_id, d): per train tile the ``want`` first train rows of each query row in the linked blocks."""
+    pair = ["q_tile", "t_tile"]
+    left = links.select(*pair, F.explode("for").alias("q_block")).distinct().join(
+        qb.select("q_block", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")), "q_block")
+    right = links.select(F.col("q_tile").alias("_for"), F.col("t_tile").alias("_of"), "t_block", "for").join(tb.select("t_block", "ids", "vs"), "t_block")
     schema = T.StructType([T.StructField("q_block", T.LongType()), T.StructField("q_row", T.IntegerType()), T.StructField("query_id", id_type),
                            T.StructField("train_id", train_type), T.StructField("d", T.DoubleType())])
 
     def nearest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
             return pd.DataFrame(columns=schema.names)
-        qm, qid = np.asarray(q["q_vs"].iloc[0], float).reshape(-1, width), np.asarray(q["q_ids"].iloc[0])
-        tm = np.concatenate([np.asarray(v, float) for v in t["vs"]]).reshape(-1, width)
-        tid = np.concatenate([np.asarray(v) for v in t["ids"]])
+        every = np.concatenate([np.asarray(v, float) for v in t["vs"]]).reshape(-1, width)
+        ids = np.concatenate([np.asarray(v) for v in t["ids"]])
+        stops = np.cumsum([len(v) for v in t["ids"]])
+        place = {b: n for n, b in enumerate(q["q_block"])}
+        linked = np.zeros((len(q), len(t)), bool)
+        for n, blocks in enumerate(t["for"]):
+            linked[[place[b] for b in blocks], n] = True
         out = []
-        scale = np.sqrt((qm * qm).sum(1).max()) + np.sqrt((tm * tm).sum(1).max())
-        for a in range(0, len(qm), 16):
-            close = distances(qm[a:a + 16], tm)
-            top = min(want, len(tm)) - 1
-            limit = np.partition(close, top, axis=1)[:, top]
-            # the product may be off by about sqrt(machine precision) of the norms near zero
-            r, c = np.nonzero(close <= (limit + 1e-6 * scale)[:, None])
-            sq = np.zeros(len(r))
-            for i in range(width):
-                diff = qm[a + r, i] - tm[c, i]
-                sq += diff * diff
-            d = np.sqrt(sq)
-            o = np.lexsort((tid[c], d, r))
-            r, c, d = r[o], c[o], d[o]
-            first = np.arange(len(r)) - np.searchsorted(r, r, side="left") < want
-            r, c, d = r[first] + a, c[first], d[first]
-            out.append(pd.DataFrame({"q_block": q["q_block"].iloc[0], "q_row": r.astype("int32"), "query_id": qid[r], "train_id": tid[c], "d": d}))
+        for n, (block, q_ids, q_vs) in enumerate(zip(q["q_block"], q["q_ids"], q["q_vs"])):
+            qm, qid = np.asarray(q_vs, float).reshape(-1, width), np.asarray(q_ids)
+            tm, tid = every, ids
+            if not linked[n].all():
+                rows = np.repeat(linked[n], np.diff(stops, prepend=0))
+                tm, tid = every[rows], ids[rows]
+            scale = np.sqrt((qm * qm).sum(1).max()) + np.sqrt((tm * tm).sum(1).max())
+            for a in range(0, len(qm), 16):
+                close = distances(qm[a:a + 16], tm)
+                top = min(want, len(tm)) - 1
+                limit = np.partition(close, top, axis=1)[:, top]
+                # the product may be off by about sqrt(machine precision) of the norms near zero
+                r, c = np.nonzero(close <= (limit + 1e-6 * scale)[:, None])
+                sq = np.zeros(len(r))
+                for i in range(width):
+                    diff = qm[a + r, i] - tm[c, i]
+                    sq += diff * diff
+                d = np.sqrt(sq)
+                o = np.lexsort((tid[c], d, r))
+                r, c, d = r[o], c[o], d[o]
+                first = np.arange(len(r)) - np.searchsorted(r, r, side="left") < want
+                r, c, d = r[first] + a, c[first], d[first]
+                out.append(pd.DataFrame({"q_block": block, "q_row": r.astype("int32"), "query_id": qid[r], "train_id": tid[c], "d": d}))
         return pd.concat(out)[schema.names]
 
-    return left.groupBy("q_block", "part").cogroup(right.groupBy("_for", "_of")).applyInPandas(nearest, schema)
+    return left.groupBy(*pair).cogroup(right.groupBy("_for", "_of")).applyInPandas(nearest, schema)
 
 
 def _search(query: DataFrame, train: DataFrame, k: int, by: list[str], vector: str, query_id: str, train_id: str, want: int):
-    """(pairs of blocks to rank, query blocks, train blocks, number of components), or None without train rows."""
+    """(linked blocks to rank, query blocks, train blocks, number of components), or None without train rows."""
     t = train.select(*by, F.col(train_id).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull() & _finite(F.col("_v")))
     size = t.agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("_v")).alias("low"), F.max(F.size("_v")).alias("high")).first()
     if not size["rows"]:
@@ -184,31 +227,54 @@ def _search(query: DataFrame, train: DataFrame, k: int, by: list[str], vector: s
         F.raise_error(F.lit(f"query row without {width} finite components")).cast("array<double>")).alias("_v"))
     pivots = choose_pivots(t, size["rows"])
     guards = min(GUARDS, len(pivots))
-    tb = _blocks(t, by, pivots, want).withColumnRenamed("block", "t_block")
-    qb = _blocks(q, by, pivots, None).withColumnsRenamed({"block": "q_block", "lo": "q_lo", "hi": "q_hi"})
-
-    state = qb.select(*by, "q_block", "q_lo", "q_hi")
-    leaves = tb.select(*by, "cell", "t_block", "n", "r_lo", "r_hi", "lo", "hi")
-    on = by or [F.lit(0).alias("_all")]
-    cells = leaves.groupBy(*on, "cell").agg(
-        F.sum("n").alias("n"), F.min("r_lo").alias("r_lo"), F.max("r_hi").alias("r_hi"),
-        F.array(*[F.min(F.col("lo")[i]) for i in range(guards)]).alias("lo"), F.array(*[F.max(F.col("hi")[i]) for i in range(guards)]).alias("hi"))
-    pairs = _bounded((state if by else state.withColumn("_all", F.lit(0))).join(cells, by or ["_all"]), guards)
-    block = W.partitionBy("q_block")  # at most PIVOTS cells a query block
-    pairs = pairs.withColumn("_upto", F.sum("n").over(block.orderBy("far").rowsBetween(W.unboundedPreceding, 0)))
-    pairs = pairs.withColumn("reach", F.coalesce(F.min(F.when(F.col("_upto") >= want, F.col("far"))).over(block), F.lit(float("inf"))))
-    within = F.col("near") <= F.col("reach") * (1 + SLACK) + SLACK
-    pairs = pairs.filter(within).select(*by, "q_block", "q_lo", "q_hi", "cell", "reach").join(leaves, [*by, "cell"])
-    pairs = settle(_bounded(pairs, guards).filter(within).select("q_block", "t_block", "n", "near", "far", "reach"))
-
-    seeds = pairs.withColumn("_rn", F.row_number().over(block.orderBy("far", "t_block"))).filter(F.col("_rn") <= SEEDS)
+    tb = _tiled(_blocks(t, by, pivots, want).withColumnRenamed("block", "t_block"), by, "t_block", "t_tile", width)
+    qb = _tiled(_blocks(q, by, pivots, None).withColumnsRenamed({"block": "q_block", "lo": "q_lo", "hi": "q_hi"}), by, "q_block", "q_tile", width)
+    pair = ["q_tile", "t_tile"]
+
+    def seed(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = [*pair, "q_block", "t_block", "far", "reach"]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=names)
+        _, far = _bounds(a, b, guards)
+        order = np.argsort(far, axis=1, kind="stable")
+        upto = np.cumsum(b["n"].to_numpy()[order], axis=1)
+        # the nearest blocks that hold ``want`` rows together bound the distance of the last of them
+        enough = np.minimum((upto < want).sum(1), len(b) - 1)
+        sure = far[np.arange(len(a)), order[np.arange(len(a)), enough]]
+        reach = np.where(upto[:, -1] >= want, sure, np.inf)
+        top = order[:, :SEEDS]
+        line = np.repeat(np.arange(len(a)), top.shape[1])
+        return pd.DataFrame({"q_tile": a["q_tile"].iloc[0], "t_tile": a["t_tile"].iloc[0], "q_block": a["q_block"].to_numpy()[line],
+                             "t_block": b["t_block"].to_numpy()[top.ravel()], "far": far[line, top.ravel()], "reach": reach[line]}, columns=names)
+
+    def link(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = [*pair, "t_block", "n", "for"]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=names)
+        near, _ = _bounds(a, b, guards)
+        within = near <= a["reach"].to_numpy()[:, None] * (1 + SLACK) + SLACK
+        blocks = a["q_block"].to_numpy()
+        some = np.flatnonzero(within.any(0))
+        if not len(some):
+            return pd.DataFrame(columns=names)
+        return pd.DataFrame({"q_tile": a["q_tile"].iloc[0], "t_tile": a["t_tile"].iloc[0], "t_block": b["t_block"].to_numpy()[some],
+                             "n": b["n"].to_numpy()[some], "for": [blocks[within[:, i]] for i in some]}, columns=names)
+
+    left, right = _boxes(qb, tb, by)
+    seeds = settle(left.groupBy(*pair).cogroup(right.groupBy("_for", "_of")).applyInPandas(
+        seed, "q_tile long, t_tile long, q_block long, t_block long, far double, reach double"))
+    best = W.partitionBy("q_block").orderBy("far", "t_block")  # SEEDS rows a train tile
+    first = seeds.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= SEEDS).groupBy(*pair, "t_block").agg(F.collect_list("q_block").alias("for"))
     types = (query.schema[query_id].dataType, train.schema[train_id].dataType)
-    seen = _rank(seeds, qb, tb, want, width, *types).groupBy("q_block", "q_row").agg(
-        F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("d")).alias("_d"))  # at most k rows of each part of SEEDS blocks
+    seen = _rank(settle(first), qb, tb, want, width, *types).groupBy("q_block", "q_row").agg(
+        F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("d")).alias("_d"))  # at most k rows of each of SEEDS tiles
     kth = F.when(F.col("_n") >= want, F.element_at("_d", want)).otherwise(F.lit(float("inf")))
-    tight = seen.groupBy("q_block").agg(F.max(kth).alias("_reach"))
-    pairs = pairs.join(tight, "q_block").filter(F.col("near") <= F.col("_reach") * (1 + SLACK) + SLACK).select("q_block", "t_block", "n")
-    return settle(pairs), qb, tb, width
+    tight = seen.groupBy("q_block").agg(F.max(kth).alias("_reach")).join(seeds.groupBy("q_block").agg(F.min("reach").alias("_sure")), "q_block")
+    reach = settle(tight.select(F.col("q_block").alias("_b"), F.least("_reach", "_sure").alias("reach")))
+    left, right = _boxes(qb.drop("ids", "vs").join(reach, F.col("q_block") == F.col("_b")).drop("_b"), tb, by)
+    links = settle(left.groupBy(*pair).cogroup(right.groupBy("_for", "_of")).applyInPandas(
+        link, "q_tile long, t_tile long, t_block long, n int, for array<long>"))
+    return links, qb, tb, width
 
 
 def vector_knn(query: DataFrame, train: DataFrame, k: int, vector: str = "embedding", by: Sequence[str] = (), query_id: str = "point_id",
@@ -224,11 +290,11 @@ def vector_knn(query: DataFrame, train: DataFrame, k: int, vector: str = "embedd
         fields = [query.schema[c] for c in by] + [T.StructField("query_id", query.schema[query_id].dataType), T.StructField(
             "train_id", train.schema[train_id].dataType), T.StructField("rank", T.IntegerType()), T.StructField("d", T.DoubleType())]
         return query.sparkSession.createDataFrame([], T.StructType(fields))
-    pairs, qb, tb, width = found
-    ranked = _rank(pairs, qb, tb, want, width, query.schema[query_id].dataType, train.schema[train_id].dataType)
+    links, qb, tb, width = found
+    ranked = _rank(links, qb, tb, want, width, query.schema[query_id].dataType, train.schema[train_id].dataType)
     if exclude_same_id:
         ranked = ranked.filter("query_id <> train_id")
-    first = W.partitionBy("q_block", "q_row").orderBy("d", "train_id")  # at most k rows of each part
+    first = W.partitionBy("q_block", "q_row").orderBy("d", "train_id")  # at most k rows of each train tile
     ranked = ranked.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
     return (ranked.join(qb.select("q_block", *by), "q_block") if by else ranked).select(*names)
 
@@ -239,7 +305,8 @@ def search_cost(query: DataFrame, train: DataFrame, k: int, **kw) -> DataFrame:
     found = _search(query, train, k, by, kw.get("vector", "embedding"), kw.get("query_id", "point_id"), kw.get("train_id", "point_id"), k)
     if found is None:
         return query.sparkSession.createDataFrame([(0, 0)], "ranked_pairs long, all_pairs long")
-    pairs, qb, tb, _ = found
+    links, qb, tb, _ = found
+    pairs = links.select("n", F.explode("for").alias("q_block"))
     ranked = pairs.join(qb.select("q_block", F.col("n").alias("_q")), "q_block").agg(F.coalesce(F.sum(F.col("n") * F.col("_q")), F.lit(0)).alias("ranked_pairs"))
     sizes = [b.groupBy(*by).agg(F.sum("n").alias(c)) for b, c in ((qb, "_a"), (tb, "_b"))]
     every = (sizes[0].join(sizes[1], by) if by else sizes[0].crossJoin(sizes[1])).agg(F.coalesce(F.sum(F.col("_a") * F.col("_b")), F.lit(0)).alias("all_pairs"))

@@ -60,3 +60,11 @@ def test_most_pairs_are_never_ranked(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "point_id long, embedding array<double>")
     cost = vectors.search_cost(df, df, 5).first()
     assert cost.all_pairs == 9_000_000 and cost.ranked_pairs < 0.1 * cost.all_pairs
+
+
+def test_a_block_is_shipped_once_to_a_tile(spark):
+    """One cloud that no bound can prune: blocks meet tiles of blocks, not one another."""
+    m = np.random.default_rng(7).normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "_id long, embedding array<double>")
+    links, qb, tb, _ = vectors._search(df, df, 5, [], "embedding", "_id", "_id", 5)
+    assert links.count() < 0.2 * qb.count() * tb.count()
