@@ -170,9 +170,9 @@ def group_buildings(faces: DataFrame, name: str = "name") -> tuple[DataFrame, Da
 
 def mesh_edges(faces: DataFrame, part: str = "part_id") -> DataFrame:
     """(part, edge_a, edge_b): the three undirected edges of each triangle on coordinates rounded to 1e-6."""
-    key = lambda s: F.struct(*[F.bround(F.col(f"{s}.{ax}") * 1e6, 0).cast("bigint").alias(ax) for ax in "xyz"])
-    pair = lambda a, b: F.struct(F.least(key(a), key(b)).alias("edge_a"), F.greatest(key(a), key(b)).alias("edge_b"))
-    return faces.select(part, F.explode(F.array(pair("a", "b"), pair("b", "c"), pair("c", "a"))).alias("_e")).select(part, "_e.*")
+    key = lambda s: F.struct(*[F.rint(F.col(f"{s}.{ax}") * 1e6).cast("bigint").alias(ax) for ax in "xyz"])  # half to even
+    pair = lambda a, b: F.struct(F.least(a, b).alias("edge_a"), F.greatest(a, b).alias("edge_b"))
+    return faces.select(part, *[key(s).alias(s) for s in "abc"]).select(part, F.explode(F.array(pair("a", "b"), pair("b", "c"), pair("c", "a"))).alias("_e")).select(part, "_e.*")
 
 
 def edge_audit(faces: DataFrame, part: str = "part_id") -> DataFrame:
