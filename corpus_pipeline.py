@@ -11,6 +11,8 @@ are kept up to the last stage, whose columns are those of the packing.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,31 +20,46 @@ from gridwright.llm import exact_dedup, langid, packing, secret_scan, simhash
 from gridwright.llm.membership import without_ids
 from gridwright.llm.queries import tokenizer_path
 from gridwright.llm.store import release, settle
+from gridwright.llm.text_batches import bound_batches
 
 #: A document farther than this from every profile (0: nothing in common) is in none of the languages.
 MIN_LANGUAGE_SCORE = 0.2
 
 
+def bounded(stage):
+    """The stage on small Arrow batches: all stages run in the same executors, whose memory adds up."""
+    @wraps(stage)
+    def run_bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run_bounded
+
+
+@bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify_documents(docs, hold_out=False)
     told = (F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.score") >= MIN_LANGUAGE_SCORE)
     return found.filter(told).select("_row.*")
 
 
+@bounded
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
 
+@bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = settle(simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return without_ids(docs, "doc_id", gone)
 
 
+@bounded
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 STEP_BYTES = 2 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches: one is held whole on both sides, outside the heap and in the worker, and by default is
+    10,000 rows however long their texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives freed memory back, where there is one."""
+    name = ctypes.util.find_library("c")
+    return getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
 
 
 def text_bytes(column: pa.Array) -> np.ndarray:
@@ -27,6 +46,8 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             yield batch.slice(a, b - a)
         del batch
         pa.default_memory_pool().release_unused()  # idle workers share the executor's memory
+    if trim := _trim():
+        trim(0)
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -66,3 +66,14 @@ def test_odd_rows_pass_every_stage(spark, frame):
             out = corpus_pipeline.settle(stage(spark, out, SF))
         assert sorted((r.doc_id for r in out.filter("piece = 0").collect()), key=str) == (sorted([3, 3, None, 6], key=str) if table is docs else [])
     assert langid.UNKNOWN == "und"
+
+
+def test_stages_read_small_batches(spark):
+    docs = spark.range(9_000).selectExpr("id as doc_id", "'a b c' as text", "'en' as lang").coalesce(1)
+    corpus_pipeline.language_id(spark, docs, "")
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 2_000
