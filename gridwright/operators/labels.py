@@ -82,16 +82,17 @@ def low_rank_value(df: DataFrame, value: str) -> DataFrame:
 
 def label_ground(faces: DataFrame, category: Column, normal_z: str = "nz", centroid_z: str = "gz", threshold: float | None = None) -> DataFrame:
     """Add ``ground``: category rules first, then horizontal low faces become terrain."""
-    c = F.lower(F.trim(F.coalesce(category, F.lit(""))))
     if threshold is None:
         t = faces.crossJoin(F.broadcast(low_rank_value(faces, centroid_z).select((F.col("low_z") + 1.0).alias("_low"))))  # one row
     else:
         t = faces.withColumn("_low", F.lit(float(threshold)))
+    t = t.withColumn("_c", F.lower(F.trim(F.coalesce(category, F.lit("")))))
+    c = F.col("_c")
     rule = (
         F.when(c.isin("road", "asphalt"), "road").when(c.isin("walkway", "stone", "stone_paving", "paving"), "walkway")
         .when(c == "water", "water").when(c.isin("vegetation", "grass"), "vegetation").when(c.isin("ground", "terrain", "soil"), "terrain")
         .when((F.abs(normal_z) >= 0.85) & (F.col(centroid_z) <= F.col("_low")), "terrain").otherwise("unknown"))
-    return t.withColumn("ground", rule).drop("_low")
+    return t.withColumn("ground", rule).drop("_low", "_c")
 
 
 def geometry_evidence(faces: DataFrame, name: Column, annotations: DataFrame | None = None) -> DataFrame:
@@ -106,7 +107,8 @@ def geometry_evidence(faces: DataFrame, name: Column, annotations: DataFrame | N
     geo = item(
         F.when(flat & ground, "ground").when(flat, "roof").when(steep, "wall").otherwise("other_surface"), "geometry",
         F.when(flat & ground, 0.75).when(flat, 0.60).when(steep, 0.65).otherwise(0.40), 0.70)
-    known = category_from_name(name)
+    t = t.withColumn("_known", category_from_name(name))
+    known = F.col("_known")
     named = F.when(known.isNotNull(), item(known, "existing_mesh_semantic", F.lit(0.95), 0.95))
     rows = t.select(entity.alias("entity_id"), F.lit("face").alias("level"), F.explode(F.array_compact(F.array(named, geo))).alias("_e"))
     out = rows.select("entity_id", "level", "_e.*")

@@ -10,3 +10,13 @@ def test_vertices_are_resolved_without_a_broadcast(spark):
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     rows = found.select("fid", "name", "a.x", F.col("b.y"), F.col("c.z")).collect()
     assert {tuple(r) for r in rows} == {(i, f"n{i}", i, 2.0 * (i + 1), 3.0 * (i + 3)) for i in range(50)}
+
+
+def test_a_name_is_spelled_plainly_once_a_face(spark):
+    faces = spark.createDataFrame([(1, "Glass Facade"), (2, "curtain-wall"), (3, "misc"), (4, None)], "fid long, name string").selectExpr(
+        "*", "1D as nz", "0D as gz", "0D as z_lo", "1D as z_hi")
+    for made in (labels.geometry_evidence(faces, F.col("name")), labels.label_ground(faces, labels.category_from_name(F.col("name")), threshold=-1.0)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(name") == 1
+    found = labels.geometry_evidence(faces, F.col("name")).filter("source = 'existing_mesh_semantic'")
+    assert {r.entity_id for r in found.collect()} == {"face:1", "face:2"}
