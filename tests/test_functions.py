@@ -62,3 +62,10 @@ def test_attach_of_many_groups_is_a_shuffle(spark, monkeypatch):
     joined = quantiles.attach(rows, rows.groupBy("k").agg(F.max("id").alias("top")), ["k"])
     assert {(r.k, r.id, r.top) for r in joined.collect()} == {(i % 5 or None, i, 95 + i % 5) for i in range(100)}
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_settle_keeps_generated_methods_compiled(spark):
+    from gridwright.session import HUGE_METHOD_KEY, settle
+    spark.conf.unset(HUGE_METHOD_KEY)
+    settle(spark.range(3))
+    assert int(spark.conf.get(HUGE_METHOD_KEY)) <= 8000
