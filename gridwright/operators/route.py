@@ -157,9 +157,9 @@ def field_search(
     for t in tables[1:]:
         nbrs = nbrs.unionByName(t)
     nbrs = nbrs.join(usable.withColumnRenamed(fold, "_vf"), [*by, "_vf"], "left_semi")
-    grid = interp.param_grid(nbrs, k=[int(k) for k in ks], power=[float(p) for p in powers]).filter(F.col("rank") <= F.col("k"))
-    pred = interp.idw(grid, [*by, "_vf", "query_id", "penalty", "k", "power"], value, F.col("k"), F.col("power"))
+    pred = interp.idw_grid(nbrs, [*by, "_vf", "query_id", "penalty"], value, ks, powers)
     scored = pred.join(rows.select(*by, F.col("point_id").alias("query_id"), F.col(value).alias("_obs")), [*by, "query_id"])
+    scored = scored.select(*by, "_vf", "penalty", "_obs", F.explode("_grid").alias("_g")).select(*by, "_vf", "penalty", "_obs", "_g.*")
     s = cv_score(scored, by, ["penalty", "k", "power"], "_vf", obs="_obs")
     best = argmin(s, by, ["rmse", "penalty", "k", "power"], ["penalty", "k", "power", "rmse"])
     everyone = points.select(*by).distinct()

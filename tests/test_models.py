@@ -110,3 +110,25 @@ def test_uniform_voxels_make_every_facade_glass(spark):
 def test_isolation_rule(spark):
     df = spark.createDataFrame([("fit", 1.0), ("query", 2.0)], "role string, observed_dbm double")
     assert [r.observed_dbm for r in experts.isolate_labels(df).orderBy("role").collect()] == [1.0, None]
+
+
+def test_idw_grid_equals_one_idw_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(q, t, t + 1, 0.0 if q == 3 and t < 2 else float(d), float(rng.normal())) for q in range(12)
+            for t, d in enumerate(np.sort(rng.uniform(0.1, 50, 3 if q == 5 else 20)))]
+    n = spark.createDataFrame(rows, "query_id long, train_id long, rank int, d double, v double")
+    plan = interp.idw_grid(n, ["query_id"], "v", [4, 16], [1.0, 2.0])
+    # neighbour rows are not repeated per combination: the only explode is the reader's
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {(r["query_id"], g["k"], g["power"]): g["pred"] for r in plan.collect() for g in r["_grid"]}
+    for k in (4, 16):
+        for p in (1.0, 2.0):
+            for r in interp.idw(n, ["query_id"], "v", k, p).collect():
+                assert np.isclose(got[r["query_id"], k, p], r["pred"], rtol=1e-12)
+
+
+def test_squared_distance_builds_no_array_of_components():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3, 7, 6))
+    got = interp.squared_distance(x[:, :, None, :], x[:, None, :, :])
+    assert np.allclose(got, ((x[:, :, None, :] - x[:, None, :, :]) ** 2).sum(-1), rtol=1e-14)
