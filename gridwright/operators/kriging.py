@@ -77,7 +77,7 @@ def block_likelihoods(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, signals
         part, values = x[s:s + STEP_BLOCKS], y[s:s + STEP_BLOCKS]
         for i, length in enumerate(lengths):
             scaled = part / length
-            r2 = ((scaled[:, :, None, :] - scaled[:, None, :, :]) ** 2).sum(-1)
+            r2 = interp.squared_distance(scaled[:, :, None, :], scaled[:, None, :, :])
             size, turn = np.linalg.eigh(correlation(r2, kernel))
             along = np.einsum("bij,bi->bj", turn, values) ** 2
             spread = signals[:, None, None, None] * np.maximum(size, 0.0) + noises[:, None, None] + JITTER
