@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from gridwright import fixtures as fx
 from gridwright.operators import labels
+from gridwright.queries import load
 
 
 def test_boxes_are_spread_over_tasks_and_made_once(spark, tmp_path):
@@ -21,3 +22,11 @@ def test_edge_corners_round_half_to_even(spark):
     faces = spark.range(1).select(F.lit(1).alias("part_id"), corner(0.5e-6).alias("a"), corner(1.5e-6).alias("b"), corner(-2.5e-6).alias("c"))
     found = {e for r in labels.mesh_edges(faces).collect() for e in (r.edge_a.x, r.edge_b.x)}
     assert found == {0, 2, -2}
+
+
+def test_confidence_model_is_fitted_for_every_method(spark, tmp_path):
+    events = spark.range(1, 2001).selectExpr("id as event_id", "id % 97 as user_id", "cast(id % 83 as double) as value", "timestamp '2024-01-01' as ts", "'view' as event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    model = load()["confidence_model_a31"](spark, str(tmp_path)).toPandas()
+    assert set(zip(model.band, model.method)) == {(b, f"M{i}") for b in ("n41", "n79") for i in range(10)}
+    assert (model[[f"k{i}" for i in range(4)]] >= 0).all(axis=None)
