@@ -70,3 +70,14 @@ def test_designs_ask_once_for_a_coordinate(spark, monkeypatch):
             d.append(nearest(v, f))
         got = np.quantile(np.log1p(np.concatenate(d)), [0.1, 0.25, 0.5, 0.75, 0.9])
         assert np.isclose(row["mismatch"], np.abs(got - target).mean())
+
+
+def test_points_are_not_broadcast_to_meet_their_cells(spark):
+    from gridwright.session import settle
+    # few bytes, many rows: a file of this table is below Spark's broadcast threshold
+    points = settle(spark.range(200_000).selectExpr("'a' as band", "id as point_id", "cast(id % 300 as double) as x", "1D as y"))
+    folds = splits.balanced_cell_folds(points, ["band"], 3, 10.0, 7)
+    folded = splits.fold_points(points, folds, ["band"], 10.0)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "BuildRight" in plan
+    assert folded.count() == 200_000
