@@ -118,3 +118,21 @@ def test_odd_rows(spark):
     assert {r.s for r in finer} == {None, "b"}
     assert list(got["b"].length) == [5.0, 5.0]  # every length scores alike here: the first wins
     assert kriging.search(spark.createDataFrame(rows, kind).filter("false"), ["s"], "query_id", "v").count() == 0
+
+
+def test_likelihoods_need_no_eigenvectors(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = np.floor(rng.uniform(0, 9, (5, 12, 2))), rng.normal(0, 1, (5, 12))  # some rows share a place
+    lengths, signals, noises = np.array([(3.0, 8.0), (40.0, 2.0)]), np.array([0.3, 2.0]), np.array([0.001, 0.2, 1.5])
+    dense = np.zeros((2, 2, 3))
+    for (i, length), (j, s), (k, n) in product(enumerate(lengths), enumerate(signals), enumerate(noises)):
+        for a, b in zip(x, y):
+            z = np.sqrt(3.0) * np.sqrt((((a[:, None] - a[None]) / length) ** 2).sum(-1))
+            cov = s * (1 + z) * np.exp(-z) + (n + kriging.JITTER) * np.eye(12)
+            dense[i, j, k] -= 0.5 * (b @ np.linalg.solve(cov, b) + np.linalg.slogdet(cov)[1] + 12 * np.log(2 * np.pi))
+    assert kriging._sytrd() is not None
+    with monkeypatch.context() as m:
+        m.setattr(np.linalg, "eigh", None)
+        assert np.allclose(kriging.block_likelihoods(x, y, lengths, signals, noises, "matern32"), dense, rtol=1e-9)
+    monkeypatch.setattr(kriging, "_sytrd", lambda: None)  # a NumPy whose library has other names
+    assert np.allclose(kriging.block_likelihoods(x, y, lengths, signals, noises, "matern32"), dense, rtol=1e-9)
