@@ -50,3 +50,13 @@ def test_no_rays(spark, monkeypatch):
     grid = rays.GridSpec(0.0, 0.0, 1.0, 8, 8)
     points = rays_of(spark, 3, 8.0, ["a"], 1)
     assert rays.influence_field(rays.segment_cells(points, ["s"], grid).filter("false"), points, ["s"], "r", grid).count() == 0
+
+
+def test_pieces_are_not_exchanged(spark):
+    points = spark.range(200).selectExpr("'s' as s", "id as point_id", "cast(id % 17 as double) as x", "cast(id % 13 as double) as y", "0.1D as tx_x", "0.2D as tx_y", "1D as r")
+    grid = rays.GridSpec(0.0, 0.0, 1.0, 17, 13)
+    seg = rays.segment_cells(points, ["s"], grid)
+    joined = seg.join(points.select("s", "point_id", "r").hint("merge"), ["s", "point_id"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    # a point becomes many pieces: points are dealt once before that, and neither the sum per cell nor the join deals pieces
+    assert plan.count("hashpartitioning") == 2 and "cell_id" not in "".join(line.split("hashpartitioning")[1] for line in plan.splitlines() if "hashpartitioning" in line)
