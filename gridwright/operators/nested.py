@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +26,15 @@ from gridwright.session import settle
 MIN_FIT, MIN_VALID, MIN_FOLDS = 8, 2, 2
 NEIGHBOURS = 128
 
-# A candidate maps (neighbours, keys, target) to its predictions.
-CANDIDATES: dict[str, Callable[[DataFrame, list[str], str], DataFrame]] = {
-    "IDW_8_1": lambda n, keys, v: interp.idw(n, keys, v, 8, 1.0),
-    "IDW_16_2": lambda n, keys, v: interp.idw(n, keys, v, 16, 2.0),
-    "IDW_32_2": lambda n, keys, v: interp.idw(n, keys, v, 32, 2.0),
-    "NW_25": lambda n, keys, v: interp.gaussian_nw(n, keys, v, 25.0),
-    "NW_50": lambda n, keys, v: interp.gaussian_nw(n, keys, v, 50.0),
-    "ADAPTIVE_16": lambda n, keys, v: interp.adaptive_gaussian(n, keys, v, 16),
-    "MEDIAN_16": lambda n, keys, v: interp.weighted_median(n, keys, v, 16, 1.0),
+# A candidate maps matrices (query, rank) of distances and values to its predictions.
+CANDIDATES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "IDW_8_1": lambda d, v: interp.idw_values(d, v, 8, 1.0),
+    "IDW_16_2": lambda d, v: interp.idw_values(d, v, 16, 2.0),
+    "IDW_32_2": lambda d, v: interp.idw_values(d, v, 32, 2.0),
+    "NW_25": lambda d, v: interp.gaussian_values(d, v, 25.0),
+    "NW_50": lambda d, v: interp.gaussian_values(d, v, 50.0),
+    "ADAPTIVE_16": lambda d, v: interp.adaptive_values(d, v, 16),
+    "MEDIAN_16": lambda d, v: interp.median_values(d, v, 16, 1.0),
 }
 
 
@@ -92,16 +93,19 @@ def nested_selection(points: DataFrame, by: Sequence[str], splits: Sequence[int]
     folds = condition_folds(train, by).filter("usable").join(ready, key).select(*key, "valid_fold")
     many = settle(train.join(folds, key))
     fold = [*key, "valid_fold"]
-    inner = settle(knn.knn_join(many.filter("inner = valid_fold"), many.filter("inner <> valid_fold"), NEIGHBOURS, fold, carry=["_v"]))
+    # all candidates are numbers of a query by the time its neighbours are ranked
+    places = {name: f"_p{i}" for i, name in enumerate(candidates)}
+    reduce = (lambda d, carried: [fit(d, carried["_v"]) for fit in candidates.values()], list(places.values()))
+    near = lambda q, t, keys: settle(knn.knn_join(q, t, NEIGHBOURS, keys, carry=["_v"], reduce=reduce))
+    inner = near(many.filter("inner = valid_fold"), many.filter("inner <> valid_fold"), fold)
     tests = points.withColumnRenamed("outer", "split").join(ready, [*by, "split"])
-    outer = settle(knn.knn_join(tests, train.join(ready, key), NEIGHBOURS, key, carry=["_v"]))
-
-    def predicted(near: DataFrame, keys: list[str]) -> DataFrame:
-        out = None
-        for name, fit in candidates.items():
-            one = fit(near, [*keys, "query_id"], "_v").select(*keys, F.col("query_id").alias("point_id"), "pred", F.lit(name).alias("method"))
-            out = one if out is None else out.unionByName(one)
-        return out.join(points.select(*by, "point_id", F.col("_v").alias("observed_dbm")), [*by, "point_id"])
+    outer = near(tests, train.join(ready, key), key)
+
+    def predicted(wide: DataFrame, keys: list[str]) -> DataFrame:
+        observed = points.select(*by, "point_id", F.col("_v").alias("observed_dbm"))
+        rows = wide.withColumnRenamed("query_id", "point_id").join(observed, [*by, "point_id"])
+        each = F.explode(F.array(*[F.struct(F.col(c).alias("pred"), F.lit(name).alias("method")) for name, c in places.items()])).alias("_e")
+        return rows.select(*keys, "point_id", "observed_dbm", each).select(*keys, "point_id", "_e.pred", "_e.method", "observed_dbm")
 
     choice = settle(score.choose_params(score.cv_score(predicted(inner, fold), key, ["method"], "valid_fold"), key, ["method"]))
     return status, choice, predicted(outer, key).join(choice.select(*key, "method"), [*key, "method"])

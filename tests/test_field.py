@@ -53,7 +53,7 @@ def test_no_rays(spark, monkeypatch):
 
 
 def test_pieces_are_not_exchanged(spark):
-    points = spark.range(200).selectExpr("'s' as s", "id as point_id", "cast(id % 17 as double) as x", "cast(id % 13 as double) as y", "0.1D as tx_x", "0.2D as tx_y", "1D as r")
+    points = spark.range(200).selectExpr("concat('s', id % 2) as s", "id as point_id", "cast(id % 17 as double) as x", "cast(id % 13 as double) as y", "0.1D as tx_x", "0.2D as tx_y", "1D as r")
     grid = rays.GridSpec(0.0, 0.0, 1.0, 17, 13)
     seg = rays.segment_cells(points, ["s"], grid)
     joined = seg.join(points.select("s", "point_id", "r").hint("merge"), ["s", "point_id"])

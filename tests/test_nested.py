@@ -57,3 +57,27 @@ def test_too_few_folds(spark):
     assert choice.count() == 0 and answer.count() == 0
     with pytest.raises(ValueError, match="usable inner folds"):
         nested.nested_selection(one, ["band"], [0], [None], [], strict=True)
+
+
+@pytest.mark.parametrize("budget", [65_536, 40])
+def test_candidates_equal_the_interpolators_without_neighbour_rows(spark, monkeypatch, budget):
+    from gridwright.operators import interp, knn
+    rng = np.random.default_rng(6)
+    p = pd.DataFrame({"band": np.where(np.arange(260) % 3 == 0, "a", "b"), "point_id": range(260), "x": rng.integers(0, 30, 260) * 4.0, "y": rng.integers(0, 30, 260) * 4.0,
+                      "v": np.where(np.arange(260) % 11 == 0, np.nan, rng.normal(0, 3, 260).round(1))})
+    df = spark.createDataFrame(p).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    q, t = df.filter("point_id % 2 = 0"), df.filter("point_id % 2 = 1 or point_id < 20")
+    monkeypatch.setattr(knn, "CANDIDATE_ROWS", budget)
+    rows = knn.knn_join(q, t, 128, ["band"], carry=["v"])
+    by = ["band", "query_id"]
+    plain = {"IDW_8_1": interp.idw(rows, by, "v", 8, 1.0), "IDW_16_2": interp.idw(rows, by, "v", 16, 2.0), "IDW_32_2": interp.idw(rows, by, "v", 32, 2.0),
+             "NW_25": interp.gaussian_nw(rows, by, "v", 25.0), "NW_50": interp.gaussian_nw(rows, by, "v", 50.0),
+             "ADAPTIVE_16": interp.adaptive_gaussian(rows, by, "v", 16), "MEDIAN_16": interp.weighted_median(rows, by, "v", 16, 1.0)}
+    fits = nested.CANDIDATES
+    wide = knn.knn_join(q, t, 128, ["band"], carry=["v"], reduce=(lambda d, c: [f(d, c["v"]) for f in fits.values()], list(fits)))
+    assert wide.columns == ["band", "query_id", *fits]
+    got = wide.toPandas().set_index(by).sort_index()
+    assert len(got) == q.count() and set(plain) == set(fits)
+    for name, table in plain.items():
+        want = table.toPandas().set_index(by).sort_index()["pred"]
+        assert np.allclose(got[name].reindex(want.index), want, rtol=1e-9, equal_nan=True), name
