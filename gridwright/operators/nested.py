@@ -103,7 +103,9 @@ def nested_selection(points: DataFrame, by: Sequence[str], splits: Sequence[int]
 
     def predicted(wide: DataFrame, keys: list[str]) -> DataFrame:
         observed = points.select(*by, "point_id", F.col("_v").alias("observed_dbm"))
-        rows = wide.withColumnRenamed("query_id", "point_id").join(observed, [*by, "point_id"])
+        # rows of one id are one prediction; dealt by id, as the join needs it
+        once = wide.withColumnRenamed("query_id", "point_id").repartition(*by, "point_id").groupBy(*keys, "point_id").agg(*[F.avg(c).alias(c) for c in places.values()])
+        rows = once.join(observed, [*by, "point_id"])
         each = F.explode(F.array(*[F.struct(F.col(c).alias("pred"), F.lit(name).alias("method")) for name, c in places.items()])).alias("_e")
         return rows.select(*keys, "point_id", "observed_dbm", each).select(*keys, "point_id", "_e.pred", "_e.method", "observed_dbm")
 

@@ -81,3 +81,11 @@ def test_candidates_equal_the_interpolators_without_neighbour_rows(spark, monkey
     for name, table in plain.items():
         want = table.toPandas().set_index(by).sort_index()["pred"]
         assert np.allclose(got[name].reindex(want.index), want, rtol=1e-9, equal_nan=True), name
+
+
+def test_rows_of_one_id_are_one_prediction(spark):
+    p = table()
+    twice = spark.createDataFrame(pd.concat([p, p[p.point_id < 30]]))
+    _, choice, answer = nested.nested_selection(twice, ["band"], range(3), [None], [])
+    assert choice.count() == 3
+    assert {(r.point_id, r["count"]) for r in answer.groupBy("point_id").count().collect()} == {(i, 2 if i < 30 else 1) for i in range(90)}
